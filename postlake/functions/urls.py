@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlake.functions import lexicons as lex
-from postlake.functions.text import any_contains, filled, first_match, or_empty, strip
+from postlake.functions.text import any_contains, filled, first_match, let, or_empty, strip
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _NO_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
@@ -47,8 +49,9 @@ def get_domain(c: Column) -> Column:
 
 
 def get_origin(c: Column) -> Column:
-    site = normalize_site_url(c)
-    return F.concat(url_scheme(site), F.lit("://"), url_netloc(site))
+    return let(
+        normalize_site_url(c), lambda site: F.concat(url_scheme(site), F.lit("://"), url_netloc(site))
+    )
 
 
 def path_segments(c: Column) -> Column:
@@ -85,45 +88,74 @@ def _unsplit(scheme: Column, netloc: Column, path: Column, query: Column, fragme
     )
 
 
+def _split_url(c: Column) -> Column:
+    return F.struct(
+        url_scheme(c).alias("scheme"),
+        url_netloc(c).alias("host"),
+        url_path(c).alias("path"),
+        url_query(c).alias("query"),
+        url_fragment(c).alias("fragment"),
+    )
+
+
+def _merge_paths(base_path: Column, path: Column) -> Column:
+    """Path of a relative link below the folder of ``base_path``, dot segments folded."""
+    folder = F.split(F.regexp_replace(base_path, r"(?<=/)[^/]+$|^[^/]+$", ""), "/")
+    own = F.split(path, "/")
+    # The folder ends in an empty segment, which dropping inner empties removes again.
+    below = let(F.concat(folder, own), _drop_inner_empty)
+    joined = let(
+        F.when(path.startswith("/"), own).otherwise(below), lambda s: F.array_join(_fold_dots(s), "/")
+    )
+    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("/"))
+
+
 def absolutize_url(base: Column, href: Column) -> Column:
     """Resolve ``href`` against a site URL the way RFC 3986 does."""
-    site = normalize_site_url(base)
-    link = F.translate(or_empty(href), "\t\r\n", "")
-    base_scheme, base_host, base_path = url_scheme(site), url_netloc(site), url_path(site)
-    scheme = F.coalesce(F.nullif(url_scheme(link), F.lit("")), base_scheme)
-    host, path = url_netloc(link), url_path(link)
-    query, fragment = url_query(link), url_fragment(link)
-
-    base_parts = F.split(base_path, "/")
-    base_dirs = F.when(
-        F.element_at(base_parts, -1) != "", F.slice(base_parts, 1, F.size(base_parts) - 1)
-    ).otherwise(base_parts)
-    own_parts = F.split(path, "/")
-    segments = F.when(path.startswith("/"), own_parts).otherwise(F.concat(base_dirs, own_parts))
-    resolved = F.array_join(_fold_dots(_drop_inner_empty(segments)), "/")
-    resolved = F.when(resolved == "", F.lit("/")).otherwise(resolved)
 
-    return (
-        F.when(site == "", or_empty(href))
-        .when(link == "", site)
-        .when(scheme != base_scheme, or_empty(href))
-        .when(host != "", _unsplit(scheme, host, path, query, fragment))
-        .when(
-            path == "",
-            _unsplit(
-                scheme,
-                base_host,
-                base_path,
-                F.when(query == "", url_query(site)).otherwise(query),
-                fragment,
-            ),
+    def resolve(x: Column) -> Column:
+        b, r = x.b, x.r
+        scheme = F.coalesce(F.nullif(r.scheme, F.lit("")), b.scheme)
+        return (
+            F.when(x.site == "", x.href)
+            .when(x.link == "", x.site)
+            .when(scheme != b.scheme, x.href)
+            .when(r.host != "", _unsplit(scheme, r.host, r.path, r["query"], r.fragment))
+            .when(
+                r.path == "",
+                _unsplit(
+                    scheme,
+                    b.host,
+                    b.path,
+                    F.when(r["query"] == "", b["query"]).otherwise(r["query"]),
+                    r.fragment,
+                ),
+            )
+            .otherwise(_unsplit(scheme, b.host, _merge_paths(b.path, r.path), r["query"], r.fragment))
         )
-        .otherwise(_unsplit(scheme, base_host, resolved, query, fragment))
+
+    texts = F.struct(
+        normalize_site_url(base).alias("site"),
+        F.translate(or_empty(href), "\t\r\n", "").alias("link"),
+        or_empty(href).alias("href"),
+    )
+    return let(
+        texts,
+        lambda x: let(
+            F.struct(
+                x.site.alias("site"),
+                x.link.alias("link"),
+                x.href.alias("href"),
+                _split_url(x.site).alias("b"),
+                _split_url(x.link).alias("r"),
+            ),
+            resolve,
+        ),
     )
 
 
-def looks_like_api_url(c: Column) -> Column:
-    return any_contains(F.lower(or_empty(c)), lex.API_URL_TOKENS)
+def looks_like_api_url(c: Column, tokens: Sequence[str] = lex.API_URL_TOKENS) -> Column:
+    return any_contains(F.lower(or_empty(c)), tokens)
 
 
 def _decode(c: Column) -> Column:

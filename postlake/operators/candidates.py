@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.functions import lexicons as lex
-from postlake.functions.text import any_contains, filled, lit_array, or_empty
+from postlake.functions.text import any_contains, filled, let, lit_array, or_empty
 from postlake.functions.urls import (
     absolutize_url,
     get_origin,
@@ -139,9 +139,11 @@ def workday_candidates(
             .when(candidate.startswith("http"), candidate)
             .otherwise(absolutize_url(get_origin(F.col("_home")), candidate))
         )
-        plain = F.rtrim(full, F.lit("/"))
-        return F.array(
-            plain, F.when(plain.endswith("/jobs"), plain).otherwise(F.concat(plain, F.lit("/jobs")))
+        return let(
+            F.rtrim(full, F.lit("/")),
+            lambda plain: F.array(
+                plain, F.when(plain.endswith("/jobs"), plain).otherwise(F.concat(plain, F.lit("/jobs")))
+            ),
         )
 
     def endpoint(origin: Column, token: Column) -> Column:

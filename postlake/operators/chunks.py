@@ -265,11 +265,12 @@ def chunk_stats(
     relevant: Sequence[str] = lex.RELEVANT_TERMS,
     irrelevant: Sequence[str] = lex.IRRELEVANT_TERMS,
     text: str = "text",
+    each: int = 1500,
 ) -> DataFrame:
     """Summary, kept chunks and their statistics per document."""
     blank = strip(or_empty(F.col(text))) == ""
     ranked = top_chunks(score_chunks(pack_chunks(docs, size, sep, text), relevant, irrelevant), k, text)
-    kept = within_budget(ranked, cap).withColumn(
+    kept = within_budget(ranked, cap, each).withColumn(
         "chunks", F.when(blank, lit_array([])).otherwise(F.col("chunks"))
     )
     lengths = F.transform("chunks", lambda c: F.length(c))

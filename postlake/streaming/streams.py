@@ -73,7 +73,7 @@ def stream_dedupe(
 def posting_lifetime(snapshots: DataFrame, site: str = "site", url: str = "url", ts: str = "captured_at") -> DataFrame:
     """First and last sighting per posting, and whether the site's newest run still has it."""
     seen = snapshots.groupBy(site, url).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
-    newest = snapshots.groupBy(site).agg(F.max(ts).alias("_newest"))
+    newest = seen.groupBy(site).agg(F.max("last_seen").alias("_newest"))
     return seen.join(newest, site).select(
         site, url, "first_seen", "last_seen", (F.col("last_seen") == F.col("_newest")).alias("is_active")
     )
