@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postlake.functions.text import filled, strip
+from postlake.functions.text import filled, lit_array, strip
 
 # JSON texts of empty values.
 _FALSY = ("null", '""', "0", "0.0", "-0.0", "false", "{}", "[]")
@@ -69,9 +69,18 @@ def scalar_text(v: Column) -> Column:
     return F.when(is_scalar(v), strip(as_text(v))).otherwise("")
 
 
-def first_truthy(v: Column, keys: Sequence[str]) -> Column:
+def first_of(m: Column, keys: Sequence[str], pick: Callable[[Column], Column]) -> Column:
+    """First value of a ``map<string,variant>`` that ``pick`` turns into something.
+
+    The expression has the same size for any number of keys.
+    """
+    picked = F.transform(lit_array(keys), lambda k: pick(F.try_element_at(m, k)))
+    return F.try_element_at(F.filter(picked, lambda x: x.isNotNull()), F.lit(1))
+
+
+def first_truthy(m: Column, keys: Sequence[str]) -> Column:
     """Value of the first key that is not empty, zero, false or null."""
-    return F.coalesce(*[F.when(truthy(field(v, k)), field(v, k)) for k in keys])
+    return first_of(m, keys, lambda x: F.when(truthy(x), x))
 
 
 def ordered_entries(raw: Column) -> Column:

@@ -159,7 +159,7 @@ def assign_ids(new: DataFrame, known: DataFrame, keys: Sequence[str], id_col: st
     gives each bucket its offset. ``keys`` are unique, so buckets are even, and no task ever
     sees all rows.
     """
-    hashed = F.md5(F.concat_ws("", *[F.col(k).cast("string") for k in keys]))
+    hashed = F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))
     bucketed = new.withColumn("_bucket", F.substring(hashed, 1, 3))
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

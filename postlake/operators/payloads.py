@@ -29,17 +29,17 @@ LIST_CAP = 15
 # --- D20 - D24: one raw object ----------------------------------------------
 
 
-def _nested_string(v: Column, keys: Sequence[str]) -> Column:
-    return jv.string_value(jv.first_truthy(v, keys))
+def first_key(m: Column, keys: Sequence[str], nested: Sequence[str] = ("value", "text")) -> Column:
+    """First key of a ``map<string,variant>`` holding a string that is not blank.
 
+    The string may also sit in a small object, under one of the ``nested`` keys.
+    """
 
-def first_key(v: Column, keys: Sequence[str], nested: Sequence[str] = ("value", "text")) -> Column:
-    """First key holding a string that is not blank, directly or in a small object."""
-    picks = []
-    for key in keys:
-        value = jv.field(v, key)
-        picks += [jv.string_value(value), F.when(jv.is_object(value), _nested_string(value, nested))]
-    return F.coalesce(*picks)
+    def pick(x: Column) -> Column:
+        inner = jv.string_value(jv.first_truthy(jv.as_map(x), nested))
+        return F.coalesce(jv.string_value(x), inner)
+
+    return jv.first_of(m, keys, pick)
 
 
 def _texts(v: Column, cap: int = LIST_CAP) -> Column:
@@ -121,17 +121,17 @@ def raw_sections(raw: Column, known: Sequence[str] = lex.RAW_KNOWN_KEYS, cap: in
 
 def enrich_from_raw(listings: DataFrame, raw: str = "raw") -> DataFrame:
     """Detail columns from the raw API object; listing values win for the core fields."""
-    v = F.col("_v")
+    v, m = F.col("_v"), F.col("_m")
 
     def key(name: str) -> Column:
-        return or_empty(first_key(v, lex.RAW_KEYS[name]))
+        return or_empty(first_key(m, lex.RAW_KEYS[name]))
 
     def keep_or(name: str) -> Column:
         if name in listings.columns:
-            return F.coalesce(filled(F.col(name)), first_key(v, lex.RAW_KEYS[name]))
-        return first_key(v, lex.RAW_KEYS[name])
+            return F.coalesce(filled(F.col(name)), first_key(m, lex.RAW_KEYS[name]))
+        return first_key(m, lex.RAW_KEYS[name])
 
-    place_parts = join_filled(", ", *[first_key(v, (k,)) for k in lex.RAW_PLACE_PARTS])
+    place_parts = join_filled(", ", *[first_key(m, (k,)) for k in lex.RAW_PLACE_PARTS])
     out = {
         "title": or_empty(keep_or("title")),
         "location": or_empty(F.coalesce(keep_or("location"), place_parts)),
@@ -146,7 +146,12 @@ def enrich_from_raw(listings: DataFrame, raw: str = "raw") -> DataFrame:
     out["skills"] = raw_skills(v)
     out["qualifications"] = raw_list(v)
     out["additional_sections"] = raw_sections(F.col(raw))
-    return listings.withColumn("_v", jv.parse(F.col(raw))).withColumns(out).drop("_v")
+    return (
+        listings.withColumn("_v", jv.parse(F.col(raw)))
+        .withColumn("_m", jv.as_map(v))
+        .withColumns(out)
+        .drop("_v", "_m")
+    )
 
 
 # --- D25 - D30: job objects in a payload ------------------------------------
@@ -205,44 +210,40 @@ def find_job_list(responses: DataFrame, body: str = "body") -> DataFrame:
 
 def normalize_job_entry(jobs: DataFrame, base: str, raw: str = "raw") -> DataFrame:
     """Title, location, URL, id and five extras of a job object; rows without a title go."""
-    v = F.col("_v")
-    nested = ("value", "text", "label")
+    m = F.col("_m")
 
     def pick(keys: Sequence[str]) -> Column:
-        return first_key(v, keys, nested)
-
-    job_id = pick(lex.ENTRY_ID_KEYS)
-    has_url = pick(lex.ENTRY_URL_KEYS).isNotNull()
-    url = (
-        F.when(has_url, absolutize_url(F.col(base), pick(lex.ENTRY_URL_KEYS)))
-        .when(job_id.isNotNull(), absolutize_url(F.col(base), F.concat(F.lit("/job/"), job_id)))
-        .otherwise(F.col(base))
-    )
-    place = F.coalesce(
-        pick(lex.ENTRY_PLACE_KEYS), join_filled(", ", *[pick(k) for k in lex.ENTRY_PLACE_PARTS])
-    )
-    out = {
+        return first_key(m, keys, ("value", "text", "label"))
+
+    found = {
         "title": pick(lex.ENTRY_TITLE_KEYS),
-        "location": or_empty(place),
-        "url": url,
-        "job_id": or_empty(job_id),
+        "location": or_empty(
+            F.coalesce(
+                pick(lex.ENTRY_PLACE_KEYS), join_filled(", ", *[pick(k) for k in lex.ENTRY_PLACE_PARTS])
+            )
+        ),
+        "_link": pick(lex.ENTRY_URL_KEYS),
+        "job_id": or_empty(pick(lex.ENTRY_ID_KEYS)),
     }
     for extra in lex.ENTRY_EXTRAS:
-        value = jv.field(v, extra)
-        out[extra] = F.when(jv.is_string(value), F.nullif(jv.as_text(value), F.lit("")))
+        value = F.try_element_at(m, F.lit(extra))
+        found[extra] = F.when(jv.is_string(value), F.nullif(jv.as_text(value), F.lit("")))
+    by_id = F.when(F.col("job_id") != "", F.concat(F.lit("/job/"), "job_id"))
+    link = F.coalesce("_link", by_id)
     return (
-        jobs.withColumn("_v", jv.parse(F.col(raw)))
-        .where(jv.is_object(v))
-        .withColumns(out)
+        jobs.withColumn("_m", jv.as_map(jv.parse(F.col(raw))))
+        .where(F.col("_m").isNotNull())
+        .withColumns(found)
         .where(F.length("title") >= 2)
-        .drop("_v")
+        .withColumn("url", F.when(link.isNull(), F.col(base)).otherwise(absolutize_url(F.col(base), link)))
+        .drop("_m", "_link")
     )
 
 
 def location_text(v: Column) -> Column:
     """Text of a location value: named part of an object, joined list, or scalar."""
     listed = F.filter(F.transform(jv.as_list(v), lambda x: filled(jv.as_text(x))), lambda s: s.isNotNull())
-    named = F.coalesce(*[jv.string_value(jv.field(v, k)) for k in lex.PLACE_NAME_KEYS], F.lit(""))
+    named = or_empty(jv.first_of(jv.as_map(v), lex.PLACE_NAME_KEYS, jv.string_value))
     return (
         F.when(jv.is_object(v), named)
         .when(jv.is_array(v), F.array_join(listed, ", "))
@@ -256,18 +257,27 @@ _JOB = "array<struct<title:string,location:string,url:string>>"
 
 def _simple_job(v: Column, base: Column) -> Column:
     """Job struct of an object with a title string and a location, else null."""
-    title = jv.first_truthy(v, lex.SIMPLE_TITLE_KEYS)
-    place = jv.first_truthy(v, lex.SIMPLE_PLACE_KEYS)
-    url = strip(or_empty(jv.as_text(jv.first_truthy(v, lex.SIMPLE_URL_KEYS))))
-    ok = jv.is_object(v) & jv.string_value(title).isNotNull() & filled(jv.as_text(place)).isNotNull()
-    return F.when(
-        ok,
-        F.struct(
-            jv.string_value(title).alias("title"),
-            location_text(place).alias("location"),
-            F.when(url != "", absolutize_url(base, url)).otherwise("").alias("url"),
-        ),
-    )
+
+    def of(x: Column) -> Column:
+        url = strip(or_empty(jv.as_text(x.link)))
+        ok = jv.string_value(x.title).isNotNull() & filled(jv.as_text(x.place)).isNotNull()
+        return F.when(
+            ok,
+            F.struct(
+                jv.string_value(x.title).alias("title"),
+                location_text(x.place).alias("location"),
+                F.when(url != "", absolutize_url(base, url)).otherwise("").alias("url"),
+            ),
+        )
+
+    def parts(m: Column) -> Column:
+        return F.struct(
+            jv.first_truthy(m, lex.SIMPLE_TITLE_KEYS).alias("title"),
+            jv.first_truthy(m, lex.SIMPLE_PLACE_KEYS).alias("place"),
+            jv.first_truthy(m, lex.SIMPLE_URL_KEYS).alias("link"),
+        )
+
+    return let(jv.as_map(v), lambda m: let(parts(m), of))
 
 
 def _first_jobs(jobs: Column) -> Column:
@@ -285,91 +295,91 @@ def _first_jobs(jobs: Column) -> Column:
     return let(F.filter(jobs, lambda j: j.isNotNull()), dedupe)
 
 
-def _walk(raw: Column, base: Column, depth: int) -> Column:
-    """Jobs anywhere in a payload, in document order.
+_NODES = "array<struct<raw:string,done:boolean>>"
+
+
+def _node(text: Column, done: bool) -> Column:
+    return F.struct(text.alias("raw"), F.lit(done).alias("done"))
+
 
-    A level opens the containers found by the level above, in place, so the order is that of
-    a depth-first walk. Payloads nested deeper than ``depth`` raise instead of losing rows.
+def _open_level(nodes: Column) -> Column:
+    """Replace every unopened container by itself and its child containers, in place.
+
+    Applied level by level this keeps the order of a depth-first walk. Child texts come from
+    the source text, so key order survives; their types come from VARIANT.
     """
     skipped = (*lex.SIMPLE_TITLE_KEYS, *lex.SIMPLE_PLACE_KEYS, *lex.SIMPLE_URL_KEYS)
 
-    def node(text: Column, done: bool) -> Column:
-        return F.struct(text.alias("raw"), F.lit(done).alias("done"))
+    def is_container(x: Column) -> Column:
+        return jv.is_object(x) | jv.is_array(x)
 
     def open_node(n: Column) -> Column:
-        def children(v: Column) -> Column:
-            items = F.transform(
-                F.filter(jv.as_list(v), lambda x: jv.is_object(x) | jv.is_array(x)), jv.text_of
-            )
-            # Texts come from the source so that key order survives; types come from VARIANT.
-            fields = let(
-                jv.as_map(v),
-                lambda m: F.transform(
-                    F.filter(
-                        jv.ordered_entries(n.raw),
-                        lambda e: ~e.key.isin(*skipped)
-                        & (jv.is_object(m[e.key]) | jv.is_array(m[e.key])),
-                    ),
-                    lambda e: e.value,
+        fields = let(
+            jv.as_map(jv.parse(n.raw)),
+            lambda m: F.transform(
+                F.filter(
+                    jv.ordered_entries(n.raw), lambda e: ~e.key.isin(*skipped) & is_container(m[e.key])
                 ),
-            )
-            listed = F.filter(jv.raw_items(n.raw), lambda s: s.rlike(r"^\s*[\[{]"))
-            found = F.when(jv.is_array(v), F.when(F.size(items) == F.size(listed), listed).otherwise(items))
-            texts = F.coalesce(found, fields, lit_array([]))
-            own = F.when(jv.is_object(v), F.array(node(n.raw, True))).otherwise(
-                F.array().cast("array<struct<raw:string,done:boolean>>")
-            )
-            return F.concat(own, F.transform(texts, lambda t: node(t, False)))
+                lambda e: _node(e.value, False),
+            ),
+        )
+        items = let(
+            jv.as_list(jv.parse(n.raw)),
+            lambda vs: F.transform(
+                F.filter(jv.raw_items(n.raw), lambda _, i: is_container(vs[i])),
+                lambda s: _node(s, False),
+            ),
+        )
+        return (
+            F.when(n.done, F.array(n))
+            .when(n.raw.startswith("{"), F.concat(F.array(_node(n.raw, True)), fields))
+            .otherwise(F.coalesce(items, F.array().cast(_NODES)))
+        )
 
-        return F.when(n.done, F.array(n)).otherwise(let(jv.parse(n.raw), children))
-
-    nodes = F.array(node(raw, False))
-    for _ in range(depth):
-        nodes = F.flatten(F.transform(nodes, open_node))
-    jobs = let(
-        nodes,
-        lambda ns: F.when(
-            F.exists(ns, lambda n: ~n.done), F.raise_error(F.lit("payload nested too deep"))
-        ).otherwise(F.transform(ns, lambda n: _simple_job(jv.parse(n.raw), base)).cast(_JOB)),
-    )
-    return _first_jobs(jobs)
+    return F.flatten(F.transform(nodes, open_node))
 
 
 def extract_listing_jobs(
-    responses: DataFrame, base: str = "base_url", body: str = "body", depth: int = 12
+    responses: DataFrame, base: str = "base_url", body: str = "body", depth: int = 10
 ) -> DataFrame:
-    """Adds ``jobs`` and the flags ``has_list_key``, ``from_list``, ``has_fields``."""
-    v = jv.parse(F.col(body))
-    base_col = F.col(base)
-
-    def jobs_of(value: Column) -> Column:
-        return _first_jobs(F.transform(jv.as_list(value), lambda x: _simple_job(x, base_col)).cast(_JOB))
-
-    lists = [jv.field(F.col("_v"), k) for k in lex.SIMPLE_LIST_KEYS]
-    has_key = F.lit(False)
-    for value in lists:
-        has_key = has_key | jv.is_array(value)
-    from_list = F.coalesce(
-        *[let(jobs_of(value), lambda js: F.when(F.size(js) > 0, js)) for value in lists],
-        F.when(
-            jv.is_array(F.col("_v")), let(jobs_of(F.col("_v")), lambda js: F.when(F.size(js) > 0, js))
-        ),
+    """Adds ``jobs`` and the flags ``has_list_key``, ``from_list``, ``has_fields``.
+
+    Payloads without a job list are walked ``depth`` levels down; deeper ones raise instead
+    of losing rows.
+    """
+    v, base_col, nodes = F.col("_v"), F.col(base), F.col("_nodes")
+
+    def jobs_of(values: Column) -> Column:
+        found = _first_jobs(F.transform(values, lambda x: _simple_job(x, base_col)).cast(_JOB))
+        return let(found, lambda js: F.when(F.size(js) > 0, js))
+
+    lists = F.filter(
+        F.transform(lit_array(lex.SIMPLE_LIST_KEYS), lambda k: jv.as_list(F.try_element_at(jv.as_map(v), k))),
+        lambda x: x.isNotNull(),
     )
+    first_list = F.try_element_at(
+        F.filter(F.transform(F.col("_lists"), jobs_of), lambda js: js.isNotNull()), F.lit(1)
+    )
+    walk = F.when(
+        F.col("_listed").isNull() & v.isNotNull(), F.array(_node(strip(F.col(body)), False))
+    ).otherwise(F.array().cast(_NODES))
+    out = (
+        responses.withColumn("_v", jv.parse(F.col(body)))
+        .withColumn("_lists", F.coalesce(lists, F.array().cast("array<array<variant>>")))
+        .withColumn("_listed", F.coalesce(first_list, jobs_of(jv.as_list(v))))
+        .withColumn("_nodes", walk)
+    )
+    for _ in range(depth):
+        out = out.withColumn("_nodes", _open_level(nodes))
+    walked = F.when(
+        F.exists(nodes, lambda n: ~n.done), F.raise_error(F.lit("payload nested too deep")).cast(_JOB)
+    ).otherwise(F.transform(nodes, lambda n: _simple_job(jv.parse(n.raw), base_col)).cast(_JOB))
     return (
-        responses.withColumn("_v", v)
-        .withColumn("_listed", from_list)
-        .withColumn(
-            "jobs",
-            F.coalesce(
-                F.col("_listed"),
-                F.when(F.col("_v").isNotNull(), _walk(F.col(body), base_col, depth)),
-                F.array().cast(_JOB),
-            ),
-        )
-        .withColumn("has_list_key", jv.is_object(F.col("_v")) & has_key)
+        out.withColumn("jobs", F.coalesce("_listed", _first_jobs(walked)))
+        .withColumn("has_list_key", F.size("_lists") > 0)
         .withColumn("from_list", F.col("_listed").isNotNull())
         .withColumn("has_fields", F.size("jobs") > 0)
-        .drop("_v", "_listed")
+        .drop("_v", "_lists", "_listed", "_nodes")
     )
 
 
@@ -404,10 +414,10 @@ def workday_postings(responses: DataFrame, site_url: str = "site_url", body: str
     """Postings of a Workday payload; ``join_urls`` is the older mapper."""
     kept = [c for c in responses.columns if c != body]
     v, site = F.col("_v"), F.col(site_url)
-    path = or_empty(jv.as_text(jv.first_truthy(v, ("externalPath",))))
-    place = jv.first_truthy(v, ("locationsText", "location"))
+    path = or_empty(jv.as_text(jv.first_truthy(jv.as_map(v), ("externalPath",))))
+    place = jv.first_truthy(jv.as_map(v), ("locationsText", "location"))
     if join_urls:
-        bullet = jv.first_truthy(jv.field(v, "bulletFields"), ("url",))
+        bullet = jv.first_truthy(jv.as_map(jv.field(v, "bulletFields")), ("url",))
         link = F.coalesce(F.nullif(path, F.lit("")), jv.as_text(bullet))
         url = F.when(link.isNotNull(), absolutize_url(site, link))
     else:

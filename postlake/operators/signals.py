@@ -389,15 +389,16 @@ def validate_endpoints(responses: DataFrame, base: str = "base_url", body: str =
 
 def best_endpoint(validated: DataFrame, site: str = "site", rank: str = "rank") -> DataFrame:
     """Accepted endpoint with the highest score per site, the first on ties."""
+    # Rejected rows have a null order, which max_by skips; a filter here would be pushed down
+    # and would evaluate the whole payload walk twice.
+    order = F.when(F.col("accepted"), F.struct(F.col("score"), -F.col(rank)))
     return (
-        validated.where("accepted")
-        .groupBy(site)
+        validated.groupBy(site)
         .agg(
-            F.max_by(
-                F.struct("url", "score", "jobs_found"),
-                F.struct(F.col("score"), -F.col(rank)),
-            ).alias("b")
+            F.max_by(F.struct("url", "score", "jobs_found"), order).alias("b"),
+            F.max("accepted").alias("_any"),
         )
+        .where("_any")
         .select(
             site,
             F.lit("SIMPLE_API").alias("detector"),

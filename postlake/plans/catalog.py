@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from postlake.plans import page_queries, text_queries, url_queries  # noqa: F401
+from postlake.plans import (  # noqa: F401
+    merge_queries,
+    page_queries,
+    payload_queries,
+    signal_queries,
+    text_queries,
+    url_queries,
+)
 from postlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

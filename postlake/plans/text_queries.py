@@ -206,8 +206,8 @@ HEADING = r"""length(s) > 3 AND length(s) < 60 AND NOT regexp_matches(lower(s),
     rf"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line
             FROM (SELECT doc_id, string_split(text, E'\n') AS ls FROM documents)),
       p AS (SELECT doc_id, trim(line, E' \t\r') AS s, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM l)
-      SELECT doc_id, coalesce(min(at) FILTER ({HEADING}), -1)::BIGINT AS heading_at FROM p GROUP BY doc_id""",
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at FROM l)
+      SELECT doc_id, coalesce(min(start_at) FILTER ({HEADING}), -1)::BIGINT AS heading_at FROM p GROUP BY doc_id""",
 )
 def _(t: Tables) -> DataFrame:
     return ck.next_heading(t.documents).select("doc_id", "heading_at")
