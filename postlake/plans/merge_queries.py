@@ -23,7 +23,7 @@ from postlake.streaming import streams as st
 
 @query(
     "dedupe_first",
-    """SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem
+    """SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem
       QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) = 1""",
 )
 def _(t: Tables) -> DataFrame:
@@ -41,7 +41,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "top_n_per",
-    """SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+    """SELECT l_suppkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_extendedprice FROM lineitem
       QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 5""",
 )
 def _(t: Tables) -> DataFrame:
@@ -61,7 +61,7 @@ def _(t: Tables) -> DataFrame:
 
 def growth_sql(patience: int, min_page: int, max_pages: int) -> str:
     """Streaks of pages without new keys, counted over every page of a group in order."""
-    return f"""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS n, round(value * 2) AS k FROM events),
+    return f"""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS n, floor(value / 4) AS k FROM events),
       e AS (SELECT *, n // 6 AS page FROM r WHERE n // 6 < {max_pages}),
       f AS (SELECT user_id, k, min(page) AS page FROM e GROUP BY ALL),
       pages AS (SELECT user_id, unnest(range(0, max(page) + 1)) AS page FROM e GROUP BY 1),
@@ -78,7 +78,7 @@ def _growth(t: Tables, patience: int, min_page: int, max_pages: int) -> DataFram
 
     # The page number of an event comes from its order, as the captured pages would give it.
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1
-    rows = t.events.select("user_id", "event_id", F.floor(n / 6).alias("page"), F.round(F.col("value") * 2).alias("k"))
+    rows = t.events.select("user_id", "event_id", F.floor(n / 6).alias("page"), F.floor(F.col("value") / 4).alias("k"))
     kept = dd.stop_on_no_growth(rows, "user_id", "page", "k", ["event_id"], patience, min_page, max_pages)
     return kept.select("user_id", "page", "event_id")
 
@@ -489,14 +489,15 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "samples")
     io.write_samples(_saved_listings(t), root, ["title", "url"])
-    return t.spark.read.schema("domain string, jobs_count long").json(root)
+    return t.spark.read.schema("domain string, jobs_count long").json(root).select("domain", "jobs_count")
 
 
 @query("write_api_responses", f"SELECT {DOMAIN_SQL} AS domain, page_id, 'board_response' AS source FROM pages")
 def _(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "responses")
     io.write_api_responses(t.pages.select(u.get_domain(F.col("url")).alias("domain"), "page_id"), root, "board")
-    return t.spark.read.schema("domain string, page_id long, source string").json(root)
+    back = t.spark.read.schema("domain string, page_id long, source string").json(root)
+    return back.select("domain", "page_id", "source")
 
 
 @query(
@@ -574,7 +575,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     mark, out = scratch_path(t.spark, "offsets"), scratch_path(t.spark, "deduped")
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
-    rows = stream.select("user_id", "event_type", "ts", F.round("value").alias("v"))
+    rows = stream.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.round("value").alias("v"))
     unique = st.stream_dedupe(rows, "ts", "60 days", ("user_id", "event_type"), F.col("v").cast("string"))
     query = unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
     query.awaitTermination()

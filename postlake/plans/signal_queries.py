@@ -197,7 +197,7 @@ CLASSIFY_SQL = f"""{LOAD_SQL},
     UNION ALL SELECT site, 'INTERACTIVE_DOM', site % 7 = 0, 3, 0.9::DOUBLE, 3 FROM base),
   best AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY confidence DESC, jobs_found DESC, prio DESC) AS k FROM det WHERE viable),
   chosen AS (SELECT base.site, coalesce(best.detector, 'UNKNOWN') AS type,
-    coalesce(({CONF_SQL})[least(greatest(best.jobs_found, 1), 25)::BIGINT], 0::DOUBLE) AS confidence FROM base LEFT JOIN (SELECT * FROM best WHERE k = 1) best USING (site))"""
+    CASE WHEN best.detector IS NULL THEN 0::DOUBLE ELSE ({CONF_SQL})[least(greatest(best.jobs_found, 1), 25)::BIGINT] END AS confidence FROM base LEFT JOIN (SELECT * FROM best WHERE k = 1) best USING (site))"""
 
 
 def detections(t: Tables) -> DataFrame:
