@@ -369,8 +369,9 @@ def extract_listing_jobs(
         .withColumn("_listed", F.coalesce(first_list, jobs_of(jv.as_list(v))))
         .withColumn("_nodes", walk)
     )
+    opened = _open_level(nodes)
     for _ in range(depth):
-        out = out.withColumn("_nodes", _open_level(nodes))
+        out = out.withColumn("_nodes", opened)
     walked = F.when(
         F.exists(nodes, lambda n: ~n.done), F.raise_error(F.lit("payload nested too deep")).cast(_JOB)
     ).otherwise(F.transform(nodes, lambda n: _simple_job(jv.parse(n.raw), base_col)).cast(_JOB))
