@@ -13,7 +13,7 @@ from postlake.operators import merge as mg
 from postlake.operators import records as rec
 from postlake.plans.page_queries import with_posting
 from postlake.plans.registry import Tables, query
-from postlake.plans.url_queries import ANCHOR_SQL, DOMAIN_SQL, ORIGIN_SQL
+from postlake.plans.url_queries import ANCHOR_SQL, DOMAIN_SQL, ORIGIN_SQL, form
 from postlake.session import scratch_path
 from postlake.sources import io
 from postlake.streaming import streams as st
@@ -521,19 +521,21 @@ def _(t: Tables) -> DataFrame:
     return io.read_table(t.spark, root, "jobs", io.JOBS_SCHEMA)
 
 
-@query("read_page_snapshots", "SELECT md5(url) AS domain, page_id::VARCHAR AS job_id, length(html) AS n FROM pages")
+@query(
+    "read_page_snapshots",
+    f"""SELECT {DOMAIN_SQL} AS domain, CASE WHEN page_id % 2 = 0 THEN '_R' ELSE 'R_' END || page_id AS job_id,
+        TIMESTAMP '2026-04-06 11:24:46' AS captured_at, length(html) AS n FROM pages""",
+)
 def _(t: Tables) -> DataFrame:
-    # Landing a table as one file per page: the writer's folders give domain and file name.
     root = scratch_path(t.spark, "landed")
-    name = F.concat(F.col("page_id").cast("string"), F.lit("_20260406_112446.html"))
-    files = t.pages.select(F.md5("url").alias("domain"), name.alias("name"), F.col("html").alias("value"))
-    files.write.partitionBy("domain", "name").option("lineSep", "\x1e").text(root)
-    landed = (
-        t.spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
+    job_id = F.concat(F.when(form(2) == 0, F.lit("_R")).otherwise("R/"), F.col("page_id").cast("string"))
+    stamp = F.to_timestamp(F.lit("2026-04-06 11:24:46"))
+    pages = t.pages.select(
+        u.get_domain(F.col("url")).alias("domain"), job_id.alias("job_id"), stamp.alias("captured_at"), "html"
     )
-    path = F.regexp_replace(F.col("_metadata.file_path"), "/domain=([^/]+)/name=([^/]+)/.*$", "/$1/$2")
-    pages = landed.select(*io.snapshot_columns(path, F.rtrim("value", F.lit("\x1e"))))
-    return pages.where(F.year("captured_at") == 2026).select("domain", "job_id", F.length("html").alias("n"))
+    io.write_page_snapshots(pages, root)
+    back = io.read_page_snapshots(t.spark, root)
+    return back.select("domain", "job_id", "captured_at", F.length("html").alias("n"))
 
 
 @query("json_responses", "SELECT page_id AS seq, CASE WHEN page_id % 2 = 0 THEN 5 ELSE length('{\"n\":' || page_id || '}') END AS body_length FROM pages WHERE page_id % 4 < 2")

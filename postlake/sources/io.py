@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,16 +44,91 @@ def snapshot_columns(path: Column, html: Column) -> list[Column]:
     ]
 
 
+def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    if uri.startswith("/"):
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", uri))
+
+
+def _hidden_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """Files that Spark's own sources skip because their name starts with ``_`` or ``.``.
+
+    The driver lists the domain folders only. Tasks list one folder each, the paths are spread
+    evenly, and tasks read the files.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [(s.getPath().toString(),) for s in fs.listStatus(path) if s.isDirectory()]
+
+    def list_folder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, folder = _open_fs(uri)
+                names = [
+                    f"{uri}/{f.base_name}"
+                    for f in store.get_file_info(pafs.FileSelector(folder))
+                    if f.base_name.startswith(("_", ".")) and f.base_name.endswith(suffix)
+                ]
+                yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
+
+    def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, name = _open_fs(uri)
+                with store.open_input_stream(name) as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_pydict({"path": [uri], "value": [text]})
+
+    if not folders:
+        return spark.createDataFrame([], "path string, value string")
+    parts = min(len(folders), spark.sparkContext.defaultParallelism * 4)
+    listed = spark.createDataFrame(folders, "uri string").repartition(parts, "uri")
+    paths = listed.mapInArrow(list_folder, "path string")
+    return paths.repartition("path").mapInArrow(read_files, "path string, value string")
+
+
 def read_page_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Landed pages ``{domain}/{job_id}_{stamp}.html``, one row per file."""
+    """Landed pages ``{domain}/{job_id}_{stamp}.html``, one row per file.
+
+    Job ids taken from posting URLs start with an underscore, and so do their file names.
+    """
     files = (
         spark.read.format("text")
         .option("wholetext", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.html")
         .load(root)
+        .select(F.col("_metadata.file_path").alias("path"), "value")
+    )
+    every = files.unionByName(_hidden_files(spark, root, ".html"))
+    return every.select(*snapshot_columns(F.col("path"), F.col("value")))
+
+
+def write_page_snapshots(pages: DataFrame, root: str) -> None:
+    """One file per page, as `read_page_snapshots` expects it; tasks write their own rows.
+
+    A file name follows from the row, so a task that runs again writes the same files.
+    """
+    safe_id = F.regexp_replace(or_empty(F.col("job_id")), r"[/\\]", "_")
+    name = F.concat(
+        F.coalesce(F.nullif(safe_id, F.lit("")), F.lit("unknown")),
+        F.lit("_"),
+        F.date_format("captured_at", STAMP),
+        F.lit(".html"),
     )
-    return files.select(*snapshot_columns(F.col("_metadata.file_path"), F.col("value")))
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _open_fs(root)
+        for batch in batches:
+            for folder, file, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store.create_dir(f"{base}/{folder}", recursive=True)
+                with store.open_output_stream(f"{base}/{folder}/{file}") as out:
+                    out.write((html or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows = pages.select("domain", name.alias("name"), "html")
+    rows.mapInArrow(save, "n long").write.format("noop").mode("overwrite").save()
 
 
 def _listing_rows(files: DataFrame) -> DataFrame:

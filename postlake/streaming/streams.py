@@ -20,7 +20,11 @@ from postlake.sources.io import (
 
 
 def stream_pages(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:
-    """New page snapshots as a stream of `read_page_snapshots` rows."""
+    """New page snapshots as a stream of `read_page_snapshots` rows.
+
+    Spark's file stream skips names that start with an underscore, so a page for a job id like
+    ``_R1`` must be landed under another first character to be streamed.
+    """
     files = (
         spark.readStream.format("text")
         .option("wholetext", True)
