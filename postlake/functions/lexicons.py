@@ -114,6 +114,7 @@ COMPANY_PATTERNS = (
     r"(?U)at\s+([A-Z][A-Za-z\s&]+?)(?:\n|$)",
     r"(?U)([A-Z][A-Za-z\s&]+?)\sis\s+(?:hiring|looking|seeking)",
 )
+COMPANY_HINT = r"(?U)\sis\s+(?:hiring|looking|seeking)"
 LOCATION_PATTERNS = (
     r"(?U)(?:Location|City|Place|Where)\s*[:\-]\s*([^\n]{2,80})",
     r"(?U)([A-Za-z\s]+,\s*[A-Za-z\s]{2,40})",

@@ -62,13 +62,15 @@ def first_match(c: Column, patterns: Sequence[tuple[str, int]]) -> Column:
 
 
 def whole_word(term: str) -> str:
-    """Pattern for ``term`` between word boundaries, spelled with explicit classes.
+    """Pattern for ``term`` between word boundaries, for text and term in lower case.
 
-    A boundary next to a symbol (``C++``) needs a word character on the far side.
+    A boundary next to a symbol (``c++``) needs a word character on the far side. The literal
+    comes first, so that the engine searches for it and only then looks around.
     """
-    head = rf"(?:^|[^{WORD}])" if term[:1].isalnum() or term[:1] == "_" else rf"[{WORD}]"
-    tail = rf"(?:[^{WORD}]|$)" if term[-1:].isalnum() or term[-1:] == "_" else rf"[{WORD}]"
-    return f"(?i){head}{quote(term)}{tail}"
+    text = quote(term)
+    before = "!" if term[:1].isalnum() or term[:1] == "_" else "="
+    after = "!" if term[-1:].isalnum() or term[-1:] == "_" else "="
+    return rf"{text}(?<{before}[{WORD}]{text})(?{after}[{WORD}])"
 
 
 def join_filled(sep: str, *cols: Column) -> Column:

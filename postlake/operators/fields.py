@@ -36,24 +36,17 @@ from postlake.operators.html import (
 
 
 def _is_posting(v: Column) -> Column:
-    return jv.is_object(v) & F.coalesce(
-        jv.text_of(jv.field(v, "@type")).contains("JobPosting"), F.lit(False)
-    )
-
+    kind = jv.text_of(jv.field(v, "@type"))
+    return F.coalesce(kind.contains("JobPosting"), F.lit(False))
 
-def _items(doc: Column) -> Column:
-    return F.coalesce(
-        jv.as_list(doc), F.when(jv.is_object(doc), F.array(doc)), F.array().cast("array<variant>")
-    )
 
-
-def find_posting_in(docs: Column, graph_depth: int = 6) -> Column:
+def find_posting_in(docs: Column, graph_depth: int = 4) -> Column:
     """First posting, in block and item order, of an ``array<variant>`` of documents.
 
     A level replaces every other object by its ``@graph`` children in place, so the order
     of a depth-first walk is kept; postings themselves are not opened.
     """
-    nodes = F.flatten(F.transform(docs, _items))
+    nodes = F.flatten(F.transform(docs, lambda d: F.coalesce(jv.as_list(d), F.array(d))))
     for _ in range(graph_depth):
         nodes = F.flatten(
             F.transform(
@@ -90,105 +83,129 @@ def _loose(v: Column) -> Column:
     return F.when(F.coalesce(jv.text_of(v) != "null", F.lit(False)), filled(jv.as_text(v)))
 
 
-def posting_location(posting: Column) -> Column:
-    place = jv.field(posting, "jobLocation")
-    address = jv.field(place, "address")
-    parts = [_loose(jv.field(address, k)) for k in ("addressLocality", "addressRegion", "addressCountry")]
+def _get(v: Column, key: str) -> Column:
+    return _loose(jv.field(v, key))
+
+
+def _address(v: Column) -> Column:
+    return join_filled(", ", *[_get(v, k) for k in ("addressLocality", "addressRegion", "addressCountry")])
+
+
+def _location(place: Column) -> Column:
     return F.coalesce(
-        F.when(jv.is_object(address), join_filled(", ", *parts)),
-        F.when(jv.is_object(place), _loose(jv.field(place, "name"))),
+        _address(jv.field(place, "address")),
+        _get(place, "name"),
         jv.string_value(place),
     )
 
 
+def posting_location(posting: Column) -> Column:
+    return let(jv.field(posting, "jobLocation"), _location)
+
+
+def _salary(pay: Column) -> Column:
+    def priced(value: Column) -> Column:
+        bounds = F.transform(
+            F.array(jv.field(value, "minValue"), jv.field(value, "maxValue")),
+            lambda b: F.when(jv.truthy(b), jv.as_text(b)),
+        )
+        span = F.nullif(F.array_join(bounds, "-"), F.lit(""))
+        return strip(F.concat(or_empty(jv.as_text(jv.field(pay, "currency"))), F.lit(" "), span))
+
+    return F.coalesce(let(jv.field(pay, "value"), priced), _get(pay, "text"))
+
+
 def posting_salary(posting: Column) -> Column:
-    pay = jv.field(posting, "baseSalary")
-    value = jv.field(pay, "value")
-    bounds = [
-        F.when(jv.truthy(jv.field(value, k)), jv.as_text(jv.field(value, k)))
-        for k in ("minValue", "maxValue")
-    ]
-    span = F.nullif(F.concat_ws("-", *bounds), F.lit(""))
-    currency = or_empty(jv.as_text(jv.field(pay, "currency")))
-    return F.coalesce(
-        F.when(jv.is_object(value), strip(F.concat(currency, F.lit(" "), span))),
-        F.when(jv.is_object(pay), _loose(jv.field(pay, "text"))),
-    )
+    return let(jv.field(posting, "baseSalary"), _salary)
 
 
 def split_list(c: Column, sep: str = ",") -> Column:
     return F.filter(F.transform(F.split(c, sep), strip), lambda s: s != "")
 
 
-def posting_skills(posting: Column) -> Column:
-    skills = jv.field(posting, "skills")
+def _skill_list(skills: Column) -> Column:
     listed = F.filter(F.transform(jv.as_list(skills), _loose), lambda s: s.isNotNull())
     return F.coalesce(
-        F.when(jv.is_array(skills), listed),
-        F.when(jv.is_string(skills), split_list(jv.as_text(skills))),
-        lit_array([]),
+        listed, F.when(jv.is_string(skills), split_list(jv.as_text(skills))), lit_array([])
     )
 
 
+def posting_skills(posting: Column) -> Column:
+    return let(jv.field(posting, "skills"), _skill_list)
+
+
+def _named(v: Column) -> Column:
+    """Name or id of an object, or the value itself."""
+    return F.when(jv.is_object(v), F.coalesce(_get(v, "name"), _get(v, "@id"))).otherwise(
+        F.when(jv.truthy(v), _loose(v))
+    )
+
+
+# Fields that are plain texts, read by one expression.
+_POSTING_TEXTS = (
+    "title", "description", "experienceRequirements", "baseSalary", "employmentType",
+    "datePosted", "validThrough",
+)
+
+
+def _posting_texts(posting: Column) -> Column:
+    return F.transform(F.array(*[jv.field(posting, k) for k in _POSTING_TEXTS]), _loose)
+
+
 def posting_fields(posting: Column) -> Column:
     """The nine-field record of a posting object."""
-    company = jv.field(posting, "hiringOrganization")
-    kind = jv.field(posting, "employmentType")
 
-    def get(key: str) -> Column:
-        return _loose(jv.field(posting, key))
-
-    return F.struct(
-        get("title").alias("title"),
-        F.when(
-            jv.is_object(company),
-            F.coalesce(_loose(jv.field(company, "name")), _loose(jv.field(company, "@id"))),
+    def record(texts: Column) -> Column:
+        title, description, experience, pay, kind, posted, valid = (
+            texts[i] for i in range(len(_POSTING_TEXTS))
         )
-        .when(jv.truthy(company), _loose(company))
-        .alias("company_name"),
-        posting_location(posting).alias("location"),
-        get("description").alias("description"),
-        posting_salary(posting).alias("salary"),
-        F.coalesce(get("experienceRequirements"), get("baseSalary")).alias("experience"),
-        F.when(jv.truthy(kind), F.lower(_loose(kind))).alias("employment_type"),
-        F.coalesce(get("datePosted"), get("validThrough")).alias("posted_on"),
-        posting_skills(posting).alias("skills"),
-    )
+        return F.struct(
+            title.alias("title"),
+            let(jv.field(posting, "hiringOrganization"), _named).alias("company_name"),
+            posting_location(posting).alias("location"),
+            description.alias("description"),
+            posting_salary(posting).alias("salary"),
+            F.coalesce(experience, pay).alias("experience"),
+            F.lower(kind).alias("employment_type"),
+            F.coalesce(posted, valid).alias("posted_on"),
+            posting_skills(posting).alias("skills"),
+        )
+
+    return let(_posting_texts(posting), record)
 
 
 def posting_fields_light(posting: Column, url: Column) -> Column:
     """Nine-field record of the light scrape: other location and salary sources, no nulls."""
-    company = jv.field(posting, "hiringOrganization")
-    address = jv.field(posting, "jobLocationAddress")
-    place = jv.field(posting, "jobLocation")
-    pay = jv.field(posting, "baseSalary")
-    kind = jv.field(posting, "employmentType")
-    parts = [_loose(jv.field(address, k)) for k in ("addressLocality", "addressRegion", "addressCountry")]
 
-    def get(key: str) -> Column:
-        return or_empty(_loose(jv.field(posting, key)))
+    def place_name(place: Column) -> Column:
+        return F.when(jv.is_object(place), _get(place, "name")).otherwise(_loose(place))
 
-    return F.struct(
-        get("title").alias("title"),
-        or_empty(
-            F.when(jv.is_object(company), _loose(jv.field(company, "name"))).otherwise(_loose(company))
-        ).alias("company_name"),
-        url.alias("job_link"),
-        or_empty(
-            F.when(address.isNull() | jv.is_object(address), join_filled(", ", *parts))
-            .when(jv.is_object(place), _loose(jv.field(place, "name")))
-            .otherwise(_loose(place))
-        ).alias("location"),
-        get("experienceRequirements").alias("experience"),
-        or_empty(
-            F.when(jv.is_object(pay), _loose(jv.field(jv.field(pay, "value"), "minValue"))).otherwise(
-                _loose(pay)
-            )
-        ).alias("salary"),
-        get("description").alias("job_summary"),
-        F.when(jv.truthy(kind), F.lower(or_empty(_loose(kind)))).otherwise("unknown").alias("remote_type"),
-        get("datePosted").alias("posted_on"),
-    )
+    def pay_text(pay: Column) -> Column:
+        least = _get(jv.field(pay, "value"), "minValue")
+        return F.when(jv.is_object(pay), least).otherwise(_loose(pay))
+
+    def record(texts: Column) -> Column:
+        title, description, experience, _pay, kind, posted, _valid = (
+            texts[i] for i in range(len(_POSTING_TEXTS))
+        )
+        address = jv.field(posting, "jobLocationAddress")
+        place = F.when(address.isNull() | jv.is_object(address), _address(address)).otherwise(
+            let(jv.field(posting, "jobLocation"), place_name)
+        )
+        company = let(jv.field(posting, "hiringOrganization"), place_name)
+        return F.struct(
+            or_empty(title).alias("title"),
+            or_empty(company).alias("company_name"),
+            url.alias("job_link"),
+            or_empty(place).alias("location"),
+            or_empty(experience).alias("experience"),
+            or_empty(let(jv.field(posting, "baseSalary"), pay_text)).alias("salary"),
+            or_empty(description).alias("job_summary"),
+            F.coalesce(F.lower(kind), F.lit("unknown")).alias("remote_type"),
+            or_empty(posted).alias("posted_on"),
+        )
+
+    return let(_posting_texts(posting), record)
 
 
 # --- Markup (D7 - D10, D17) -------------------------------------------------
@@ -201,20 +218,22 @@ def first_line(text: Column) -> Column:
 
 def html_title(dom: Column, text: Column, tags: Sequence[str] = ("h1", "h2"), hide: int = HIDE_PARSER) -> Column:
     """First heading longer than three characters, else the first line of text."""
-    headings = []
-    for tag in tags:
-        texts = F.transform(
-            F.filter(dom_elements(dom, hide), matches(tag)),
-            lambda e: element_text(dom, e, hide, " "),
-        )
-        headings.append(F.try_element_at(F.filter(texts, lambda t: F.length(t) > 3), F.lit(1)))
-    return F.coalesce(*headings, first_line(text))
+
+    def first_heading(els: Column) -> Column:
+        found = []
+        for tag in tags:
+            texts = F.transform(F.filter(els, matches(tag)), lambda e: element_text(dom, e, hide, " "))
+            found.append(F.try_element_at(F.filter(texts, lambda t: F.length(t) > 3), F.lit(1)))
+        return F.coalesce(*found)
+
+    return F.coalesce(let(dom_elements(dom, hide), first_heading), first_line(text))
 
 
 def html_company(dom: Column, text: Column, selectors: Sequence[str] = lex.COMPANY_SELECTORS) -> Column:
+    at, hiring = (first_match(text, [(p, 1)]) for p in lex.COMPANY_PATTERNS)
+    # The second pattern tries every capital letter; most texts lack the words it ends in.
     return F.coalesce(
-        selector_text(dom, selectors, HIDE_PARSER),
-        first_match(text, [(p, 1) for p in lex.COMPANY_PATTERNS]),
+        selector_text(dom, selectors, HIDE_PARSER), at, F.when(text.rlike(lex.COMPANY_HINT), hiring)
     )
 
 
@@ -277,9 +296,13 @@ def text_remote_type(text: Column, pattern: str = lex.REMOTE_PATTERN) -> Column:
 
 
 def term_tags(text: Column, terms: Sequence[str] = lex.SKILL_TERMS) -> Column:
-    """Sorted terms that occur as whole words."""
-    hits = [F.when(text.rlike(whole_word(t)), F.lit(t)) for t in terms]
-    return F.array_sort(F.array_compact(F.array(*hits)))
+    """Sorted terms that occur as whole words, ignoring case."""
+
+    def tags(low: Column) -> Column:
+        hits = [F.when(low.rlike(whole_word(t.lower())), F.lit(t)) for t in terms]
+        return F.array_sort(F.array_compact(F.array(*hits)))
+
+    return let(F.lower(text), tags)
 
 
 def tag_terms(

@@ -259,14 +259,17 @@ def selector_text(
 
     ``skip_empty=False`` stops at the first element found, even when it has no text.
     """
-    picks = []
-    for selector in selectors:
-        first = F.try_element_at(F.filter(dom_elements(dom, hide), matches(selector)), F.lit(1))
-        text = F.when(first.isNotNull(), element_text(dom, first, hide, sep))
+
+    def pick(els: Column) -> Column:
+        firsts = F.array(*[F.try_element_at(F.filter(els, matches(s)), F.lit(1)) for s in selectors])
+        texts = F.transform(
+            F.filter(firsts, lambda e: e.isNotNull()), lambda e: element_text(dom, e, hide, sep)
+        )
         if skip_empty:
-            text = let(text, lambda t: F.when(F.length(t) > min_len, t))
-        picks.append(text)
-    return F.coalesce(*picks)
+            texts = F.filter(texts, lambda t: F.length(t) > min_len)
+        return F.try_element_at(texts, F.lit(1))
+
+    return let(dom_elements(dom, hide), pick)
 
 
 # --- C1, C2, C13 ------------------------------------------------------------

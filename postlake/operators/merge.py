@@ -153,26 +153,21 @@ def empty_of(kind: T.DataType) -> Column:
 
 
 def assign_ids(new: DataFrame, known: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Dense ids for new rows after the largest known id, the same on every retry.
+    """Unique ids after the largest known id, the same on every retry.
 
-    Rows are numbered inside buckets of a key hash; a table of at most ``ID_BUCKETS`` counts
-    gives each bucket its offset. ``keys`` are unique, so buckets are even, and no task ever
-    sees all rows.
+    Rows are numbered inside ``ID_BUCKETS`` buckets of a key hash and the buckets interleave,
+    so one shuffle suffices and no task ever sees all rows. ``keys`` are unique, hence buckets
+    are even and the ids nearly dense.
     """
     hashed = F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))
-    bucketed = new.withColumn("_bucket", F.substring(hashed, 1, 3))
-    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
+    bucket = F.conv(F.substring(hashed, 1, 3), 16, 10).cast("long")
     top = known.agg(F.coalesce(F.max(id_col).cast("long"), F.lit(0).cast("long"))).scalar()
     inside = Window.partitionBy("_bucket").orderBy(*keys)
     return (
-        bucketed.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(id_col, top + F.col("_before") + F.col("_rn"))
-        .drop("_bucket", "_rn", "_before")
+        new.withColumn("_bucket", bucket)
+        .withColumn("_rn", F.row_number().over(inside).cast("long") - 1)
+        .withColumn(id_col, top + F.col("_rn") * ID_BUCKETS + F.col("_bucket") + 1)
+        .drop("_bucket", "_rn")
     )
 
 

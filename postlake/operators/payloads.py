@@ -295,92 +295,43 @@ def _first_jobs(jobs: Column) -> Column:
     return let(F.filter(jobs, lambda j: j.isNotNull()), dedupe)
 
 
-_NODES = "array<struct<raw:string,done:boolean>>"
-
-
-def _node(text: Column, done: bool) -> Column:
-    return F.struct(text.alias("raw"), F.lit(done).alias("done"))
-
-
-def _open_level(nodes: Column) -> Column:
-    """Replace every unopened container by itself and its child containers, in place.
-
-    Applied level by level this keeps the order of a depth-first walk. Child texts come from
-    the source text, so key order survives; their types come from VARIANT.
-    """
-    skipped = (*lex.SIMPLE_TITLE_KEYS, *lex.SIMPLE_PLACE_KEYS, *lex.SIMPLE_URL_KEYS)
-
-    def is_container(x: Column) -> Column:
-        return jv.is_object(x) | jv.is_array(x)
-
-    def open_node(n: Column) -> Column:
-        fields = let(
-            jv.as_map(jv.parse(n.raw)),
-            lambda m: F.transform(
-                F.filter(
-                    jv.ordered_entries(n.raw), lambda e: ~e.key.isin(*skipped) & is_container(m[e.key])
-                ),
-                lambda e: _node(e.value, False),
-            ),
-        )
-        items = let(
-            jv.as_list(jv.parse(n.raw)),
-            lambda vs: F.transform(
-                F.filter(jv.raw_items(n.raw), lambda _, i: is_container(vs[i])),
-                lambda s: _node(s, False),
-            ),
-        )
-        return (
-            F.when(n.done, F.array(n))
-            .when(n.raw.startswith("{"), F.concat(F.array(_node(n.raw, True)), fields))
-            .otherwise(F.coalesce(items, F.array().cast(_NODES)))
-        )
-
-    return F.flatten(F.transform(nodes, open_node))
-
-
-def extract_listing_jobs(
-    responses: DataFrame, base: str = "base_url", body: str = "body", depth: int = 10
-) -> DataFrame:
+def extract_listing_jobs(responses: DataFrame, base: str = "base_url", body: str = "body") -> DataFrame:
     """Adds ``jobs`` and the flags ``has_list_key``, ``from_list``, ``has_fields``.
 
-    Payloads without a job list are walked ``depth`` levels down; deeper ones raise instead
-    of losing rows.
+    Payloads without a job list are searched for job objects at any depth.
     """
-    v, base_col, nodes = F.col("_v"), F.col(base), F.col("_nodes")
+    v, base_col = F.col("_v"), F.col(base)
 
     def jobs_of(values: Column) -> Column:
         found = _first_jobs(F.transform(values, lambda x: _simple_job(x, base_col)).cast(_JOB))
         return let(found, lambda js: F.when(F.size(js) > 0, js))
 
-    lists = F.filter(
+    keyed = F.filter(
         F.transform(lit_array(lex.SIMPLE_LIST_KEYS), lambda k: jv.as_list(F.try_element_at(jv.as_map(v), k))),
         lambda x: x.isNotNull(),
     )
+    no_lists = F.array().cast("array<array<variant>>")
+    # A list at the top counts as one more list to try, but not as a list key.
+    tried = F.concat(F.col("_lists"), F.when(jv.is_array(v), F.array(jv.as_list(v))).otherwise(no_lists))
     first_list = F.try_element_at(
-        F.filter(F.transform(F.col("_lists"), jobs_of), lambda js: js.isNotNull()), F.lit(1)
+        F.filter(F.transform(tried, jobs_of), lambda js: js.isNotNull()), F.lit(1)
     )
-    walk = F.when(
-        F.col("_listed").isNull() & v.isNotNull(), F.array(_node(strip(F.col(body)), False))
-    ).otherwise(F.array().cast(_NODES))
-    out = (
+    keys = (lex.SIMPLE_TITLE_KEYS, lex.SIMPLE_PLACE_KEYS)
+    known = (*lex.SIMPLE_TITLE_KEYS, *lex.SIMPLE_PLACE_KEYS, *lex.SIMPLE_URL_KEYS)
+    tried_lists = (
         responses.withColumn("_v", jv.parse(F.col(body)))
-        .withColumn("_lists", F.coalesce(lists, F.array().cast("array<array<variant>>")))
-        .withColumn("_listed", F.coalesce(first_list, jobs_of(jv.as_list(v))))
-        .withColumn("_nodes", walk)
+        .withColumn("_lists", F.coalesce(keyed, no_lists))
+        .withColumn("_listed", first_list)
+        .withColumn("has_list_key", F.size("_lists") > 0)
+        .withColumn("_unlisted", F.when(F.col("_listed").isNull() & v.isNotNull(), F.col(body)))
+        .drop("_v", "_lists")
     )
-    opened = _open_level(nodes)
-    for _ in range(depth):
-        out = out.withColumn("_nodes", opened)
-    walked = F.when(
-        F.exists(nodes, lambda n: ~n.done), F.raise_error(F.lit("payload nested too deep")).cast(_JOB)
-    ).otherwise(F.transform(nodes, lambda n: _simple_job(jv.parse(n.raw), base_col)).cast(_JOB))
     return (
-        out.withColumn("jobs", F.coalesce("_listed", _first_jobs(walked)))
-        .withColumn("has_list_key", F.size("_lists") > 0)
+        jv.nested_objects(tried_lists, "_unlisted", "_found", keys, known)
+        .withColumn("jobs", F.coalesce("_listed", jobs_of(F.transform("_found", jv.parse)), F.array().cast(_JOB)))
         .withColumn("from_list", F.col("_listed").isNotNull())
         .withColumn("has_fields", F.size("jobs") > 0)
-        .drop("_v", "_lists", "_listed", "_nodes")
+        .drop("_listed", "_found", "_unlisted")
     )
 
 
@@ -475,24 +426,32 @@ def parse_replies(replies: DataFrame, content: str = "content") -> DataFrame:
     """Typed reply columns; a reply that is not a JSON object gives the empty record."""
     v = F.col("_v")
     parsed = jv.parse(unfence(F.col(content)))
-    out: dict[str, Column] = {"is_valid": v.isNotNull()}
-    for name in ("title", "company_name", "employment_type", "posted_on", "remote_type", "job_id"):
-        out[name] = jv.scalar_text(jv.field(v, name))
-    out["location"] = records.norm_location(jv.field(v, "location"))
-    out["experience"] = records.norm_experience(jv.field(v, "experience"))
-    out["salary"] = records.norm_salary(jv.field(v, "salary"))
-    out["education"] = records.norm_education(jv.field(v, "education"))
-    for name in (
+    strings = ("title", "company_name", "employment_type", "posted_on", "remote_type", "job_id")
+    lists = (
         "skills", "required_skills", "preferred_skills", "soft_skills", "inferred_skills",
         "qualifications", "certifications", "tools_and_technologies",
-    ):
-        out[name] = records.norm_list(jv.field(v, name))
-    for name in ("key_responsibilities", "benefits"):
-        out[name] = lit_array([])
-    for name in ("job_description", "description", "about_company"):
-        out[name] = F.lit("")
-    out["additional_sections"] = records.norm_sections(jv.field(v, "additional_sections"))
-    return replies.withColumn("_v", F.when(jv.is_object(parsed), parsed)).withColumns(out).drop("_v")
+    )
+    # One expression per kind of field, applied to all fields of that kind.
+    fields = {
+        "_strings": F.transform(F.array(*[jv.field(v, n) for n in strings]), jv.scalar_text),
+        "_lists": F.transform(F.array(*[jv.field(v, n) for n in lists]), lambda x: records.norm_list(x)),
+        "location": let(jv.field(v, "location"), records.norm_location),
+        "experience": let(jv.field(v, "experience"), records.norm_experience),
+        "salary": let(jv.field(v, "salary"), records.norm_salary),
+        "education": let(jv.field(v, "education"), records.norm_education),
+        "additional_sections": records.norm_sections(jv.field(v, "additional_sections")),
+        "is_valid": v.isNotNull(),
+    }
+    named = {n: F.col("_strings")[i] for i, n in enumerate(strings)}
+    named |= {n: F.col("_lists")[i] for i, n in enumerate(lists)}
+    named |= {n: lit_array([]) for n in ("key_responsibilities", "benefits")}
+    named |= {n: F.lit("") for n in ("job_description", "description", "about_company")}
+    return (
+        replies.withColumn("_v", F.when(jv.is_object(parsed), parsed))
+        .withColumns(fields)
+        .withColumns(named)
+        .drop("_v", "_strings", "_lists")
+    )
 
 
 def _quoted(c: Column) -> Column:

@@ -233,7 +233,7 @@ UPSERT_SITES_SQL = """
   l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY coalesce('#' || id, final_url) ORDER BY seq DESC) = 1),
   merged AS (SELECT id, domain, type, confidence FROM sites WHERE id NOT IN (SELECT id FROM l WHERE id IS NOT NULL)
     UNION ALL SELECT id, final_url, type, confidence FROM l WHERE id IS NOT NULL
-    UNION ALL SELECT (SELECT max(id) FROM sites) + row_number() OVER (ORDER BY left(md5(final_url), 3), final_url), final_url, type, confidence FROM l WHERE id IS NULL)"""
+    UNION ALL SELECT (SELECT max(id) FROM sites) + (row_number() OVER (PARTITION BY left(md5(final_url), 3) ORDER BY final_url) - 1) * 4096 + ('0x' || left(md5(final_url), 3))::BIGINT + 1, final_url, type, confidence FROM l WHERE id IS NULL)"""
 
 
 def site_table(t: Tables) -> DataFrame:
@@ -265,7 +265,8 @@ JOBS_SQL = """
   m AS (SELECT j.id, coalesce(j.site_id, f.site_id) AS site_id, coalesce(f.title, j.title) AS title, coalesce(f.location, j.location) AS location,
       coalesce(j.url, f.url) AS url, coalesce(f.raw_json, j.raw_json) AS raw_json FROM jobs j FULL JOIN fresh f ON j.site_id = f.site_id AND j.url = f.url),
   merged AS (SELECT * FROM m WHERE id IS NOT NULL UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM jobs)
-      + row_number() OVER (ORDER BY left(md5(site_id || chr(31) || url), 3), site_id, url), site_id, title, location, url, raw_json FROM m WHERE id IS NULL)"""
+      + (row_number() OVER (PARTITION BY left(md5(site_id || chr(31) || url), 3) ORDER BY site_id, url) - 1) * 4096
+      + ('0x' || left(md5(site_id || chr(31) || url), 3))::BIGINT + 1, site_id, title, location, url, raw_json FROM m WHERE id IS NULL)"""
 
 
 def job_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
