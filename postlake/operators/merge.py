@@ -187,15 +187,14 @@ def upsert_sites(sites: DataFrame, runs: DataFrame) -> DataFrame:
     target = F.coalesce(F.concat(F.lit("#"), F.col("id").cast("string")), F.col("final_url"))
     last = dedupe_first(matched.withColumn("_target", target), ["_target"], [F.desc("seq")])
     fields = ("id", F.col("final_url").alias("domain"), "type", "confidence")
-    updates = last.where(F.col("id").isNotNull()).select(*fields)
-    inserts = last.where(F.col("id").isNull()).select(*fields[1:])
-    kept = sites.join(updates, "id", "left_anti")
-    columns = ["id", "domain", "type", "confidence"]
-    return (
-        kept.select(columns)
-        .unionByName(updates.select(columns))
-        .unionByName(assign_ids(inserts, sites, ["domain"]).select(columns))
+    values = ("domain", "type", "confidence")
+    found = last.select("id", F.col("final_url").alias("domain"), "type", "confidence")
+    updates = found.where(F.col("id").isNotNull()).select("id", F.struct(*values).alias("_new"))
+    known = sites.join(updates, "id", "left").select(
+        "id", *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in values]
     )
+    inserts = found.where(F.col("id").isNull()).drop("id")
+    return known.unionByName(assign_ids(inserts, sites, ["domain"]).select("id", *values))
 
 
 def clean_batch(batch: DataFrame, order: str = "seq") -> DataFrame:

@@ -61,8 +61,7 @@ def _(t: Tables) -> DataFrame:
 
 def growth_sql(patience: int, min_page: int, max_pages: int) -> str:
     """Streaks of pages without new keys, counted over every page of a group in order."""
-    return f"""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS n, floor(value / 4) AS k FROM events),
-      e AS (SELECT *, n // 6 AS page FROM r WHERE n // 6 < {max_pages}),
+    return f"""WITH e AS (SELECT user_id, event_id, floor(value / 4) AS k, day(ts) - 1 AS page FROM events WHERE day(ts) - 1 < {max_pages}),
       f AS (SELECT user_id, k, min(page) AS page FROM e GROUP BY ALL),
       pages AS (SELECT user_id, unnest(range(0, max(page) + 1)) AS page FROM e GROUP BY 1),
       c AS (SELECT user_id, p.page, count(f.k) AS fresh FROM pages p LEFT JOIN f USING (user_id, page) GROUP BY ALL),
@@ -74,11 +73,9 @@ def growth_sql(patience: int, min_page: int, max_pages: int) -> str:
 
 
 def _growth(t: Tables, patience: int, min_page: int, max_pages: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    # The page number of an event comes from its order, as the captured pages would give it.
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1
-    rows = t.events.select("user_id", "event_id", F.floor(n / 6).alias("page"), F.floor(F.col("value") / 4).alias("k"))
+    rows = t.events.select(
+        "user_id", "event_id", (F.dayofmonth("ts") - 1).alias("page"), F.floor(F.col("value") / 4).alias("k")
+    )
     kept = dd.stop_on_no_growth(rows, "user_id", "page", "k", ["event_id"], patience, min_page, max_pages)
     return kept.select("user_id", "page", "event_id")
 
@@ -392,12 +389,9 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("empty_job", "SELECT page_id, url AS job_link, regexp_extract(url, '([^/]*)$', 1) AS id, 'unknown' AS remote_type FROM pages")
+@query("empty_job", "SELECT url AS job_link, regexp_extract(url, '([^/]*)$', 1) AS id, 'unknown' AS remote_type FROM pages")
 def _(t: Tables) -> DataFrame:
-    gone = mg.empty_job(t.pages.select("url"))
-    return t.pages.select("page_id", F.col("url").alias("job_link")).join(
-        gone.select("job_link", "id", "remote_type").distinct(), "job_link"
-    ).select("page_id", "job_link", "id", "remote_type")
+    return mg.empty_job(t.pages).select("job_link", "id", "remote_type")
 
 
 @query(
@@ -408,11 +402,8 @@ def _(t: Tables) -> DataFrame:
         CASE WHEN page_id % 3 = 0 THEN 30 ELSE 0 END::BIGINT AS total_tokens FROM pages""",
 )
 def _(t: Tables) -> DataFrame:
-    rich = with_posting(t.pages)
-    pages = t.pages.select("page_id", F.col("url").alias("link")).join(
-        rich.select("page_id", F.col("html").alias("_rich")), "page_id"
-    ).join(t.pages.select("page_id", "html"), "page_id")
-    pages = pages.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("_rich")).otherwise(F.col("html")).alias("html"))
+    even = t.pages.where("page_id % 2 = 0")
+    pages = with_posting(even).unionByName(t.pages.where("page_id % 2 = 1")).select("page_id", "html")
     replies = t.pages.where("page_id % 3 = 0").select(
         "page_id", F.lit('{"required_skills": ["SQL", "sql"], "location": ["Pune", "Goa"]}').alias("content"),
         F.lit(20).alias("prompt_tokens"), F.lit(10).alias("completion_tokens"), F.lit(30).alias("total_tokens"),

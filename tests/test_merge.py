@@ -184,3 +184,18 @@ def test_extract_details(spark):
     assert (forced.title, forced.salary, forced._meta.ai_forced) == ("Dev", "9", True)
     alone = rec.extract_details(pages).where("page_id = 1").first()
     assert (alone.title, alone.ai_usage.total_tokens) == ("Dev", 0)
+
+
+def test_a_hot_key_changes_nothing(spark):
+    """A third of all rows share one key; results equal brute force for any partitioning."""
+    data = [("hot" if i % 3 == 0 else f"k{i % 40}", i % 17, i) for i in range(3000)]
+    df = spark.createDataFrame(data, "site string, v int, seq int").repartition(9, "seq")
+    best, first, top = {}, {}, {}
+    for site, v, seq in data:
+        best[site] = min(best.get(site, (99, 9999)), (v, seq))
+        first.setdefault((site, v), seq)
+        top.setdefault(site, []).append((v, seq))
+    assert rows(dd.dedupe_first(df, ["site"], ["v", "seq"]), "site", "v", "seq") == sorted((s, *b) for s, b in best.items())
+    assert rows(dd.ordered_distinct(df, "v", ["seq"], ["site"]), "site", "v", "seq") == sorted((s, v, q) for (s, v), q in first.items())
+    want = sorted((s, q) for s, vs in top.items() for _, q in sorted(vs)[:5])
+    assert rows(dd.top_n_per(df, ["site"], ["v", "seq"], 5), "site", "seq") == want
