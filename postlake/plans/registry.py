@@ -13,8 +13,15 @@ from postlake.session import spread
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Tables whose rows are long texts: worth one split per core while they are small.
-_WIDE = {"pages": "page_id", "documents": "doc_id", "conversations": "conv_id"}
+# The test tables are single files; these are worth one split per core while they are small.
+_SPREAD = {
+    "pages": "page_id",
+    "documents": "doc_id",
+    "conversations": "conv_id",
+    "lineitem": "l_orderkey",
+    "orders": "o_orderkey",
+    "events": "event_id",
+}
 
 
 class Tables:
@@ -28,7 +35,7 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df, _WIDE[name]) if name in _WIDE else df
+        return spread(df, _SPREAD[name]) if name in _SPREAD else df
 
 
 def _plain_types(df: DataFrame) -> DataFrame:
