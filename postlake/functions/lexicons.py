@@ -117,7 +117,8 @@ COMPANY_PATTERNS = (
 COMPANY_HINT = r"(?U)\sis\s+(?:hiring|looking|seeking)"
 LOCATION_PATTERNS = (
     r"(?U)(?:Location|City|Place|Where)\s*[:\-]\s*([^\n]{2,80})",
-    r"(?U)([A-Za-z\s]+,\s*[A-Za-z\s]{2,40})",
+    # A match can only start where a run of letters starts; saying so keeps the search linear.
+    r"(?U)((?<![A-Za-z\s])[A-Za-z\s]++,\s*[A-Za-z\s]{2,40})",
 )
 DESCRIPTION_PATTERN = (
     r"(?iU)(?:about\s+the\s+role|job\s+summary|overview|description)\s*[:\-]?\s*"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters a Unicode-aware strip removes.
@@ -57,8 +57,15 @@ def quote(term: str) -> str:
 
 
 def first_match(c: Column, patterns: Sequence[tuple[str, int]]) -> Column:
-    """Stripped group of the first pattern that matches, else null."""
-    return F.coalesce(*[filled(F.regexp_extract(c, p, g)) for p, g in patterns])
+    """Stripped group of the first pattern that matches, else null.
+
+    Later patterns run only where earlier ones fail, and none runs twice.
+    """
+
+    def stripped(pattern: str, group: int) -> Column:
+        return let(strip(F.regexp_extract(c, pattern, group)), lambda s: F.when(s != "", s))
+
+    return F.coalesce(*[stripped(p, g) for p, g in patterns])
 
 
 def whole_word(term: str) -> str:
@@ -85,3 +92,12 @@ def cut_at_last_line(c: Column, cap: int, keep: float = 0.8) -> Column:
     has_newline = F.locate("\n", head) > 0
     back = F.when(has_newline & (last_newline > cap * keep), F.left(head, last_newline)).otherwise(head)
     return F.when(F.length(c) > cap, back).otherwise(c)
+
+
+def explode_rows(df: DataFrame, keys: Sequence[str], column: str, name: str, pos: str = "pos") -> DataFrame:
+    """One row per element of a computed array column, with its position.
+
+    A plain explode of a column makes Spark infer a filter on its size, push it below the
+    projection and compute the array again for it; the outer form does not.
+    """
+    return df.select(*keys, F.posexplode_outer(column).alias(pos, name)).where(F.col(pos).isNotNull())

@@ -15,6 +15,7 @@ from postlake.functions import lexicons as lex
 from postlake.functions.text import (
     any_contains,
     count_contains,
+    explode_rows,
     let,
     lit_array,
     or_empty,
@@ -216,7 +217,7 @@ def summary_of(
 
 
 def explode_chunks(df: DataFrame, *keys: str, column: str = "chunks", name: str = "chunk") -> DataFrame:
-    return df.select(*keys, F.posexplode(column).alias("pos", name))
+    return explode_rows(df, keys, column, name)
 
 
 def paragraphs(docs: DataFrame, sep: str = BLANK_LINE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

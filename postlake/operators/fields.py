@@ -238,8 +238,10 @@ def html_company(dom: Column, text: Column, selectors: Sequence[str] = lex.COMPA
 
 
 def html_location(dom: Column, text: Column, selectors: Sequence[str] = lex.LOCATION_SELECTORS) -> Column:
-    found = [first_match(text, [(p, 1)]) for p in lex.LOCATION_PATTERNS]
-    sized = [F.when((F.length(f) > 2) & (F.length(f) < 80), f) for f in found]
+    sized = [
+        let(first_match(text, [(p, 1)]), lambda f: F.when((F.length(f) > 2) & (F.length(f) < 80), f))
+        for p in lex.LOCATION_PATTERNS
+    ]
     return F.coalesce(selector_text(dom, selectors, HIDE_PARSER), *sized)
 
 

@@ -108,18 +108,19 @@ def norm_list(v: Column, cap: int = LIST_CAP) -> Column:
 
 def norm_lists(df: DataFrame, fields: Sequence[str] = lex.LIST_FIELDS, cap: int = LIST_CAP) -> DataFrame:
     """Clean every list field of a typed frame; missing fields become empty lists."""
-    out = {}
-    for name in fields:
-        if name not in df.columns:
-            out[name] = lit_array([])
-        elif isinstance(df.schema[name].dataType, T.ArrayType):
-            out[name] = F.coalesce(distinct_ci(F.col(name), cap), lit_array([]))
+    listed = [
+        n for n in fields if n in df.columns and isinstance(df.schema[n].dataType, T.ArrayType)
+    ]
+    # One expression cleans all list columns.
+    cleaned = F.transform(F.array(*listed), lambda c: F.coalesce(distinct_ci(c, cap), lit_array([])))
+    out = {n: F.col("_lists")[i] for i, n in enumerate(listed)}
+    for name in (n for n in fields if n not in listed):
+        if name in df.columns:
+            text = or_empty(F.col(name).cast("string"))
+            out[name] = F.when(text != "", F.array(strip(text))).otherwise(lit_array([]))
         else:
-            text = strip(F.col(name).cast("string"))
-            out[name] = F.when(or_empty(F.col(name).cast("string")) != "", F.array(text)).otherwise(
-                lit_array([])
-            )
-    return df.withColumns(out)
+            out[name] = lit_array([])
+    return df.withColumn("_lists", cleaned).withColumns(out).drop("_lists") if listed else df.withColumns(out)
 
 
 def norm_sections(v: Column) -> Column:

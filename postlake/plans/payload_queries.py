@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions import jsonv as jv
 from postlake.functions import urls as u
+from postlake.functions.text import explode_rows
 from postlake.operators import payloads as pl
 from postlake.operators import records as rec
 from postlake.operators import signals as sg
@@ -125,10 +126,8 @@ def _(t: Tables) -> DataFrame:
     )
     body = F.when(form(3) == 0, wrapped("openings")).when(form(3) == 1, F.to_json(jobs)).otherwise(deep)
     rows = pl.extract_listing_jobs(responses(t, body))
-    return (
-        rows.select("site", "seq", "has_list_key", "from_list", F.posexplode("jobs").alias("pos", "j"))
-        .select("site", "seq", "pos", "j.*", "has_list_key", "from_list")
-    )
+    flat = explode_rows(rows, ["site", "seq", "has_list_key", "from_list"], "jobs", "j")
+    return flat.select("site", "seq", "pos", "j.*", "has_list_key", "from_list")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlake.functions.text import explode_rows
 from postlake.operators import chunks as ck
 from postlake.operators import fields as fl
 from postlake.operators import payloads as pl
@@ -85,7 +86,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     tagged = fl.tag_terms(t.documents, ("the", "Que", "ing", "license", "of.", "Go"))
-    return tagged.select("doc_id", F.explode("tags").alias("term"))
+    return explode_rows(tagged, ["doc_id"], "tags", "term").drop("pos")
 
 
 # --- Chunks -----------------------------------------------------------------
@@ -182,7 +183,7 @@ def _scored(t: Tables) -> DataFrame:
 
 @query("score_chunks", f"WITH {RANK_SQL} SELECT doc_id, pos, score::BIGINT AS score FROM scored")
 def _(t: Tables) -> DataFrame:
-    rows = _scored(t).select("doc_id", F.explode("scored").alias("s"))
+    rows = explode_rows(_scored(t), ["doc_id"], "scored", "s", "_")
     return rows.select("doc_id", "s.pos", "s.score")
 
 
