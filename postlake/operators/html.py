@@ -49,9 +49,10 @@ _VOID = frozenset(
 )
 _UNSEEN = frozenset(("script", "style", "template"))
 _KEEPS_SPACE = frozenset(("pre", "textarea"))
+_CARD_TAGS = frozenset(("article", "li", "div"))
 
 _ELEMENT = (
-    "struct<pos:int,parent:int,last:int,tag:string,id:string,classes:array<string>,"
+    "struct<pos:int,parent:int,card:int,last:int,tag:string,id:string,classes:array<string>,"
     "itemprop:string,testid:string,automation:string,role:string,type:string,href:string,"
     "t0:int,t1:int,hide:int,raw:string>"
 )
@@ -106,6 +107,8 @@ class _Markup(HTMLParser):
         element = {
             "pos": len(self.els),
             "parent": above["pos"] if above else None,
+            # The nearest article, li or div around the element.
+            "card": (above["pos"] if above["tag"] in _CARD_TAGS else above["card"]) if above else None,
             "last": len(self.els),
             "tag": tag,
             "id": have.get("id"),
@@ -174,7 +177,7 @@ def read_markup(pages: DataFrame, html: str = "html", keep_html: bool = False) -
                     "els",
                     pa.list_(
                         pa.struct(
-                            [("pos", small), ("parent", small), ("last", small), ("tag", text)]
+                            [("pos", small), ("parent", small), ("card", small), ("last", small), ("tag", text)]
                             + [("id", text), ("classes", pa.list_(text))]
                             + [
                                 (n, text)
@@ -514,11 +517,7 @@ def card_fields(
     dom = F.col("dom")
 
     def card_of(a: Column) -> Column:
-        around = F.filter(
-            dom.els,
-            lambda e: e.tag.isin("article", "li", "div") & (e.pos < a.pos) & (a.pos <= e["last"]),
-        )
-        return F.try_element_at(around, F.lit(-1))
+        return F.when(a.card.isNotNull(), F.try_element_at(dom.els, a.card + 1))
 
     def lines(card: Column) -> Column:
         texts = _shown(F.slice(dom.texts, card.t0 + 1, card.t1 - card.t0), HIDE_NONE)
