@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlake.llm import bpe, simhash
+from postlake.llm import bpe, langid, mixing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,58 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document and of every page, fused from text, declared language, suffix and host.
+
+    A document's source stands for its host and its lang column for the declared language; pages
+    have all four kinds of evidence. One of doc_id and page_id is set.
+    """
+    docs, pages = table(spark, folder, "documents"), langid.page_parts(table(spark, folder, "pages"))
+    model = langid.fit(docs, "doc_id", "text", "lang")
+    found = langid.identify(docs, model, declared=F.col("lang"), host=F.col("source"), keep=["doc_id"])
+    seen = langid.identify(
+        pages, model, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"), keep=["page_id"]
+    )
+    columns = [
+        F.col("_language").alias("language"),
+        F.col("_confidence").alias("confidence"),
+        langid.accepted().alias("kept"),
+    ]
+    none = F.lit(None).cast("long")
+    return found.select("doc_id", none.alias("page_id"), *columns).unionByName(
+        seen.select(none.alias("doc_id"), "page_id", *columns)
+    )
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sampling probability and draw of every document after raking to the default targets."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.weighted(docs).select(
+        "doc_id",
+        F.col("_source").alias("source"),
+        F.col("_lang").alias("lang"),
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("n_tokens"),
+        F.col("_probability").alias("probability"),
+        F.col("_drawn").alias("drawn"),
+    )
+
+
+@query
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Base spans of every document, and all spans with those that the boosted trees add."""
+    docs = table(spark, folder, "documents")
+    found = pii.find(docs, pii.fit(docs), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *[pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed("base"), 256).alias("base_sha256"),
+        pii.listed("base", "added").alias("spans"),
+    )
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document; links at two or fewer differing bits."""
