@@ -7,23 +7,50 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postlake.llm import simhash
+from postlake.llm import langid, mixing, pii, simhash
 from postlake.llm.queries import bpe_digests, table
 from postlake.session import scratch_path
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language stay; those of no known language, or with no letter, go.
+
+    The source stands for the host and the lang column for the declared language.
+    """
+    model = langid.fit(docs, "doc_id", "text", "lang")
+    found = langid.identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+    return found.where(langid.accepted()).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
     return simhash.drop_near_copies(docs)
 
 
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data becomes its kind in brackets; n_chars follows. No document goes."""
+    return pii.redact(docs, pii.fit(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with probabilities that bring sources, languages and topics to their targets."""
+    return mixing.sample(docs)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, and digests of the ids and of the bytes they decode to."""
     return bpe_digests(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("byte_bpe", byte_bpe)]
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", near_dedup),
+    ("pii", redact_pii),
+    ("mixing", mix),
+    ("byte_bpe", byte_bpe),
+]
 
 #: The stages use models and hashes that SQL can't express; tests compare them with brute force.
 ORACLE_SQL = None
