@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,8 @@ from pyspark.sql import types as T
 
 from postlake.llm.common import texts_in, with_columns
 
-#: Entries that a worker keeps of each of: chunks, pieces, prefixes, judged pairs. A full store starts anew.
-CACHE = 300_000
-#: Longest piece in bytes whose prefixes are kept for other pieces; longer ones get a table of their own.
-SHARED = 48
+#: Entries that a worker keeps of chunks, pieces and judged pairs (some 250 bytes each). A full store starts anew.
+CHUNKS, PIECES, PAIRS = 150_000, 500_000, 300_000
 #: Patterns under which a space before a visible character always starts a piece (fixed value).
 SPACE_STARTS = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
@@ -45,12 +44,12 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.split = regex.compile(pattern)
         self.longest = max(map(len, ranks), default=1)
         self.spaced = pattern in SPACE_STARTS
         self._chunks: dict[str, list[int]] = {}
         self._pieces: dict[str, list[int]] = {}
-        self._last_of: dict[bytes, int] = {}
         self._pairs: dict[int, bool] = {}
         self._formed: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -89,9 +88,9 @@ class Vocabulary:
         key = left << 32 | right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= CACHE:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            known = self._pairs[key] = self._stay_apart(left, right)
+            known = self._pairs[key] = self.formed(right) and self._stay_apart(left, right)
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
@@ -108,67 +107,80 @@ class Vocabulary:
             else:
                 before, right = right + 1, b[0]
 
-    def last_token(self, data: bytes, end: int, last: Callable[[int], int]) -> int:
-        """The token that ends the encoding of ``data[:end]``; ``last(i)`` is that of ``data[:i]``."""
-        ranks = self.ranks
-        for start in range(max(0, end - self.longest), end):
-            token = ranks.get(data[start:end])
-            if token is None:
-                continue
-            if (not start or self.valid(last(start), token)) and (end - start < 3 or self.formed(token)):
-                return token
-        raise ValueError(f"byte {data[end - 1]} has no token")
-
-    def _by_prefixes(self, data: bytes) -> list[int]:
-        """Encode a short piece; pieces that begin alike share the tokens of their common prefixes."""
-        known = self._last_of
-        if len(known) >= CACHE:
-            known.clear()
-        size = end = len(data)
-        while end and data[:end] not in known:
-            end -= 1
-        for stop in range(end + 1, size + 1):
-            known[data[:stop]] = self.last_token(data, stop, lambda i: known[data[:i]])
-        found = []
-        while size:
-            token = known[data[:size]]
-            found.append(token)
-            size -= len(self.bytes_of[token])
-        return found[::-1]
+    def extend(self, data: bytes, last: list[int], until: int | None = None) -> None:
+        """Append to ``last`` the last token of each further prefix of ``data``, up to ``until`` bytes.
 
-    def piece(self, text: str) -> list[int]:
-        """Ids of one piece. A piece that is a token is that token."""
-        ids = self._pieces.get(text)
-        if ids is None:
-            data = text.encode("utf-8", "surrogatepass")
+        Exactly one token can end a prefix, so the first that fits is it.
+        """
+        get, pair, longest, sizes = self.ranks.get, self._pairs.get, self.longest, self.sizes
+        for end in range(len(last) + 1, (len(data) if until is None else until) + 1):
+            # Mostly the byte lengthens the token before it or stands alone; then come all other starts.
+            likely = (end - 1 - sizes[last[-1]], end - 1) if last else ()
+            for start in chain(likely, range(end - longest if end > longest else 0, end)):
+                token = get(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    before = last[start - 1]
+                    fits = pair(before << 32 | token)
+                    if fits is None:
+                        fits = self.valid(before, token)
+                else:
+                    fits = self.formed(token)
+                if fits:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"byte {data[end - 1]} has no token")
+
+    def _encoded(self, pieces: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Encode pieces in byte order, so that each starts from the prefixes it shares with the one before."""
+        table = PrefixTable(self)
+        for data, text in sorted((p.encode("utf-8", "surrogatepass"), p) for p in pieces):
             whole = self.ranks.get(data)
-            if whole is not None:
-                ids = [whole]
+            if whole is not None:  # a piece that is a token is that token
+                yield text, [whole]
             else:
-                ids = self._by_prefixes(data) if len(data) <= SHARED else PrefixTable(self, data).ids()
-            if len(self._pieces) >= CACHE:
+                table.become(data)
+                yield text, table.ids()
+
+    def _learn(self, chunks: Iterable[str]) -> None:
+        """Make sure that the ids of these chunks are at hand."""
+        cut = {c: self.split.findall(c) for c in chunks}
+        if len(self._pieces) >= PIECES:
+            self._pieces.clear()
+        pieces = self._pieces
+        new = {p for ps in cut.values() for p in ps if p not in pieces}
+        pieces.update(self._encoded(new))
+        for c, ps in cut.items():
+            self._chunks[c] = pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in pieces[p]]
+
+    def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if not self.spaced:
+            return [np.array([i for p in self.split.findall(t) for i in self.piece(p)], np.int32) for t in texts]
+        cut = [_BEFORE_VISIBLE.split(t) for t in texts]
+        if len(self._chunks) >= CHUNKS:
+            self._chunks.clear()
+        known = self._chunks
+        self._learn({" " + c for parts in cut for c in parts[1:]}.difference(known) | {p[0] for p in cut} - known.keys())
+        return [
+            np.fromiter(
+                chain(known[p[0]], chain.from_iterable(map(known.__getitem__, map(" ".__add__, p[1:])))), np.int32
+            )
+            for p in cut
+        ]
+
+    def piece(self, text: str) -> list[int]:
+        """Ids of one piece."""
+        if text not in self._pieces:
+            if len(self._pieces) >= PIECES:
                 self._pieces.clear()
-            self._pieces[text] = ids
-        return ids
-
-    def _chunk(self, part: str) -> list[int]:
-        """Ids of a space and what follows it up to the next space that starts a piece."""
-        ids = [i for p in self.split.findall(" " + part) for i in self.piece(p)]
-        if len(part) <= SHARED:
-            if len(self._chunks) >= CACHE:
-                self._chunks.clear()
-            self._chunks[part] = ids
-        return ids
+            self._pieces.update(self._encoded([text]))
+        return self._pieces[text]
 
     def encode(self, text: str) -> list[int]:
-        if not self.spaced:
-            return [i for p in self.split.findall(text) for i in self.piece(p)]
-        first, *parts = _BEFORE_VISIBLE.split(text)
-        ids = [i for p in self.split.findall(first) for i in self.piece(p)]
-        known, chunk = self._chunks, self._chunk
-        for p in parts:
-            ids += known.get(p) or chunk(p)
-        return ids
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -186,8 +198,16 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         """Extend the string; the tokens of earlier prefixes stay."""
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self.vocabulary.last_token(self.data, end, lambda i: self.last[i - 1]))
+        self.vocabulary.extend(self.data, self.last)
+
+    def become(self, data: bytes) -> None:
+        """Hold ``data`` instead; the prefixes that it shares with the old string stay."""
+        old, same, most = self.data, 0, min(len(self.data), len(data))
+        while same < most and old[same] == data[same]:
+            same += 1
+        del self.last[same:]
+        self.data = data
+        self.vocabulary.extend(data, self.last)
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of bytes [start, end); returns how many prefixes were judged anew.
@@ -199,8 +219,8 @@ class PrefixTable:
         last, shift, same, done = self.last[:start], len(new) - (end - start), 0, 0
         reach = self.vocabulary.longest
         for stop in range(start + 1, len(data) + 1):
-            token = self.vocabulary.last_token(data, stop, lambda i: last[i - 1])
-            last.append(token)
+            self.vocabulary.extend(data, last, stop)
+            token = last[-1]
             done += 1
             old = stop - 1 - shift
             same = same + 1 if stop > start + len(new) and token == self.last[old] else 0
@@ -212,12 +232,13 @@ class PrefixTable:
 
     def ids(self) -> list[int]:
         """The encoding, read from the end."""
-        found, at = [], len(self.data)
+        found, at, last, sizes = [], len(self.data), self.last, self.vocabulary.sizes
         while at:
-            token = self.last[at - 1]
+            token = last[at - 1]
             found.append(token)
-            at -= len(self.vocabulary.bytes_of[token])
-        return found[::-1]
+            at -= sizes[token]
+        found.reverse()
+        return found
 
 
 class EncodedText:
@@ -273,11 +294,6 @@ def _shipped(spark: SparkSession, ranks_path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def _id_arrays(vocabulary: Vocabulary, texts: list[str]) -> Iterator[np.ndarray]:
-    for text in texts:
-        yield np.array(vocabulary.encode(text), dtype=np.int32)
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the column ``ids`` (array of int) with the encoding of the whole text of each row.
 
@@ -287,7 +303,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     shipped = _shipped(df.sparkSession, ranks_path)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        arrays = list(_id_arrays(_loaded(shipped.value, pattern), texts_in(batch, text)))
+        arrays = _loaded(shipped.value, pattern).encode_all(texts_in(batch, text))
         offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
         values = np.concatenate([np.empty(0, np.int32), *arrays])
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]

@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from postlake.session import scratch_path
 
 
+#: Rows worked on at a time in a task, so that a batch of long texts takes little memory.
+ROWS = 512
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back, which cuts its lineage there."""
     spark = df.sparkSession
@@ -41,10 +45,11 @@ def with_columns(
     schema = T.StructType([df.schema[c] for c in kept] + list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            added = list(make(batch))
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept] + added
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(f.name for f in fields)])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept] + list(make(batch))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(f.name for f in fields)])
 
     return df.mapInArrow(run, schema)
 
