@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlake.llm import bpe, langid, mixing, pii, simhash
+from postlake.llm import bpe, langid, mixing, pii, simhash, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,19 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document from the non-negative PU model."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs, model, keep=["doc_id"]).select(
+        "doc_id",
+        (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document and of every page, fused from text, declared language, suffix and host.
@@ -63,6 +76,22 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Bottom-k fingerprints of every document and of its edited text, and their likeness."""
+    found = sketches.compared_with_next(table(spark, folder, "documents").select("doc_id", "text"))
+    own = F.col("sketch")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.printed(own).alias("fingerprint"),
+        sketches.printed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.resemblance(own, F.col("edited_sketch")).alias("near_edited"),
+        sketches.resemblance(own, F.col("next_sketch")).alias("near_next"),
+    )
+
+
 @query
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Sampling probability and draw of every document after raking to the default targets."""
