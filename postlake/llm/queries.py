@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlake.llm import bpe, langid, mixing, pii, simhash, sketches, toxicity
+from postlake.llm import bpe, langid, mixing, pages, pii, simhash, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,14 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    rows = table(spark, folder, "pages")
+    found = pages.extract(rows, pages.fit(rows), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Bottom-k fingerprints of every document and of its edited text, and their likeness."""
