@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,3 +70,57 @@ def sample_keys(df: DataFrame, key: str, bound: int) -> DataFrame:
 def sample_rows(df: DataFrame, key: str, bound: int) -> DataFrame:
     """The rows of at most ``bound`` keys. The keys are few by ``bound``, so they may be broadcast."""
     return df.join(F.broadcast(sample_keys(df, key, bound)), key, "left_semi")
+
+
+def by_group(
+    df: DataFrame,
+    keys: Sequence[str],
+    schema: str,
+    work: Callable[[dict[str, np.ndarray]], Sequence[np.ndarray] | None],
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """Call ``work`` with the columns of each group of ``keys`` and collect the rows it returns.
+
+    Rows are dealt out by the keys and read as a sorted stream, so a task holds one group and one
+    batch at a time. Callers see to it that a group has a bound. ``work`` returns arrays in the
+    order of ``schema``, or None.
+    """
+    keys, names = list(keys), df.columns
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    types = df.sparkSession.createDataFrame([], schema).schema
+    arrow = [_ARROW[f.dataType.simpleString()] for f in types]
+
+    def out(parts: list[Sequence[np.ndarray]]) -> pa.RecordBatch:
+        columns = [
+            pa.array(np.concatenate([p[i] for p in parts]) if parts else [], kind) for i, kind in enumerate(arrow)
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=types.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: np.empty(0, object) for c in names}
+
+        def groups(last: bool) -> Iterator[dict[str, np.ndarray]]:
+            nonlocal held
+            size = len(held[names[0]])
+            if not size:
+                return
+            new = np.zeros(size, bool)
+            for c in keys:
+                new[1:] |= held[c][1:] != held[c][:-1]
+            starts = np.concatenate([[0], np.flatnonzero(new)])
+            ends = np.concatenate([starts[1:], [size]])
+            stop = len(starts) if last else len(starts) - 1
+            for s, e in zip(starts[:stop], ends[:stop]):
+                yield {c: v[s:e] for c, v in held.items()}
+            held = {c: v[size if last else starts[-1] :] for c, v in held.items()}
+
+        for batch in batches:
+            now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+            held = {c: np.concatenate([held[c], now[c]]) if len(held[c]) else now[c] for c in names}
+            yield out([r for g in groups(False) if (r := work(g)) is not None])
+        yield out([r for g in groups(True) if (r := work(g)) is not None])
+
+    return dealt.mapInArrow(run, types)
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlake.llm import bpe, langid, mixing, pages, pii, simhash, sketches, toxicity
+from postlake.llm import ann, bpe, langid, mixing, pages, pii, simhash, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,14 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors to each whose vec_id is divisible by 50, by graph search over all."""
+    vectors = table(spark, folder, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"))
+    return ann.neighbours(ann.build(vectors), asked)
+
+
 @query
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""

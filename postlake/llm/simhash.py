@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.llm.common import stored, texts_in, with_columns
+from postlake.llm.common import by_group, stored, texts_in, with_columns
 from postlake.llm.graph import components
 
 #: Fingerprints of a shard that one tree may hold.
@@ -183,47 +183,21 @@ def _in_blocks(df: DataFrame, bound: int) -> DataFrame:
 
 
 def _search(df: DataFrame, radius: int, check_radius: int) -> DataFrame:
-    """Forest links (a, b) of every (path, shard, block), read as a sorted stream."""
+    """Forest links (a, b) of every (path, shard, block)."""
     order = ["path", "shard", "block"]
     checked = "check" in df.columns
-    columns = [*order, "fp", *(["check"] if checked else [])]
-    sorted_rows = df.select(*columns).repartition(*order).sortWithinPartitions(*order, "fp")
 
-    def links(fp: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def links(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+        fp = group["fp"]
+        if len(fp) < 2:
+            return None
+        check = group["check"].view(np.uint64) if checked else None
         of = forest(fp.view(np.uint64), radius, check, check_radius)
         on = of != np.arange(len(of))
         return fp[of[on]], fp[on]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-
-        def parts(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            nonlocal held
-            if held is None or not len(held["fp"]):
-                return
-            new = np.zeros(len(held["fp"]), bool)
-            for c in order:
-                new[1:] |= held[c][1:] != held[c][:-1]
-            starts = np.concatenate([[0], np.flatnonzero(new)])
-            ends = np.concatenate([starts[1:], [len(new)]])
-            stop = len(starts) if last else len(starts) - 1
-            for s, e in zip(starts[:stop], ends[:stop]):
-                if e - s > 1:
-                    yield links(held["fp"][s:e], held["check"][s:e].view(np.uint64) if checked else None)
-            cut = len(new) if last else starts[-1]
-            held = {c: v[cut:] for c, v in held.items()}
-
-        def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(columns)}
-            held = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in columns}
-            yield out(list(parts(False)))
-        yield out(list(parts(True)))
-
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    rows = df.select(*order, "fp", *(["check"] if checked else []))
+    return by_group(rows, order, "a long, b long", links, ["fp"])
 
 
 def near_links(fps: DataFrame, radius: int, check_radius: int = 64, bound: int = SHARD) -> DataFrame:
