@@ -78,12 +78,14 @@ def by_group(
     schema: str,
     work: Callable[[dict[str, np.ndarray]], Sequence[np.ndarray] | None],
     order: Sequence[str] = (),
+    least: int = 1,
 ) -> DataFrame:
     """Call ``work`` with the columns of each group of ``keys`` and collect the rows it returns.
 
     Rows are dealt out by the keys and read as a sorted stream, so a task holds one group and one
     batch at a time. Callers see to it that a group has a bound. ``work`` returns arrays in the
-    order of ``schema``, or None.
+    order of ``schema``, or None. Groups of fewer than ``least`` rows are passed over, unless the
+    rows have a column parts with more than 1.
     """
     keys, names = list(keys), df.columns
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
@@ -110,7 +112,10 @@ def by_group(
             starts = np.concatenate([[0], np.flatnonzero(new)])
             ends = np.concatenate([starts[1:], [size]])
             stop = len(starts) if last else len(starts) - 1
-            for s, e in zip(starts[:stop], ends[:stop]):
+            wanted = ends[:stop] - starts[:stop] >= least
+            if "parts" in held:
+                wanted |= held["parts"][starts[:stop]] > 1
+            for s, e in zip(starts[:stop][wanted], ends[:stop][wanted]):
                 yield {c: v[s:e] for c, v in held.items()}
             held = {c: v[size if last else starts[-1] :] for c, v in held.items()}
 

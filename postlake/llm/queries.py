@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlake.llm import ann, bpe, langid, mixing, pages, pii, simhash, sketches, toxicity
+from postlake.llm import ann, bpe, langid, mixing, pages, pii, repeats, simhash, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,34 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 or more words of every document that occur again, by word positions."""
+    return repeats.passages(table(spark, folder, "documents"))
+
+
+ORACLES["op2_repeated_passages"] = r"""
+WITH texts AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w
+    FROM documents
+), windows AS (
+    SELECT doc_id, unnest(range(0, len(w) - 49)) AS a,
+        unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h
+    FROM texts WHERE len(w) >= 50
+), again AS (
+    SELECT doc_id, a FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), cut AS (
+    SELECT doc_id, a,
+        CASE WHEN a > lag(a) OVER (PARTITION BY doc_id ORDER BY a) + 50 THEN 1 ELSE 0 END AS gap
+    FROM again
+), runs AS (
+    SELECT doc_id, a, sum(gap) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM cut
+)
+SELECT doc_id, min(a) AS start_word, max(a) + 50 AS end_word, max(a) + 50 - min(a) AS n_words
+FROM runs GROUP BY doc_id, run
+"""
+
+
 @query
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document and of every page, fused from text, declared language, suffix and host.
