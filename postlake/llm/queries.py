@@ -133,6 +133,7 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         sketches.printed(F.col("edited_sketch")).alias("edited_fingerprint"),
         sketches.resemblance(own, F.col("edited_sketch")).alias("near_edited"),
         sketches.resemblance(own, F.col("next_sketch")).alias("near_next"),
+        "next_id",
     )
 
 

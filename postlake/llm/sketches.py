@@ -94,34 +94,34 @@ def printed(a: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and two hashes that name a row by its id and text; neither is ever null."""
     text = text_of("text")
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
-
-
-def _order(prefix: str = "") -> list[Column]:
-    return [F.col(f"{prefix}doc_id").desc_nulls_last(), F.col(f"{prefix}h")]
+    return docs.select(
+        "doc_id",
+        text.alias("text"),
+        F.xxhash64(F.col("doc_id").cast("string"), text).alias("key"),
+        F.xxhash64(text).alias("h"),
+    )
 
 
 def successors(keys: DataFrame) -> DataFrame:
-    """(doc_id, h, next_id, next_h): each key's follower by descending doc_id, then h; the first follows the last.
+    """Adds next_key and next_h to (doc_id, key, h, ...): the follower by descending doc_id, then h.
 
-    Keys are dealt out by ranges. Followers are found within a range, and for the last of each
-    range among the first keys of the ranges, one row a partition.
+    The first follows the last. Keys are dealt out by ranges. Followers are found within a range,
+    and for the last of each range among the first keys of the ranges, one row a partition.
     """
-    ranged = keys.distinct().repartitionByRange(*_order()).withColumn("part", F.spark_partition_id())
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("key")]
+    ranged = keys.distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     ranged = stored(ranged, "ranges")
-    within = Window.partitionBy("part").orderBy(*_order())
-    here = F.struct("doc_id", "h")
+    within = Window.partitionBy("part").orderBy(*order)
+    here = F.struct("key", "h")
     numbered = ranged.withColumns({"_n": F.row_number().over(within), "_next": F.lead(here).over(within)})
     firsts = numbered.where("_n = 1").select("part", here.alias("first"))
     across = Window.orderBy("part")
-    heads = firsts.select(
-        "part",
-        F.coalesce(F.lead("first").over(across), F.first("first").over(across.rowsBetween(Window.unboundedPreceding, 0))).alias("_head"),
-    )
-    return numbered.join(heads, "part").select(
-        "doc_id", "h", F.coalesce("_next", "_head").alias("_to")
-    ).select("doc_id", "h", F.col("_to.doc_id").alias("next_id"), F.col("_to.h").alias("next_h"))
+    start = F.first("first").over(across.rowsBetween(Window.unboundedPreceding, 0))
+    heads = firsts.select("part", F.coalesce(F.lead("first").over(across), start).alias("_head"))
+    to = F.coalesce("_next", "_head")
+    return numbered.join(heads, "part").select(*keys.columns, to["key"].alias("next_key"), to["h"].alias("next_h"))
 
 
 def compared_with_next(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
@@ -132,28 +132,29 @@ def compared_with_next(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataF
     doc_id are ordered by their text's hash; repeated rows count as one document and get equal rows.
     Null ids come last. A single document follows itself; an empty table gives no rows.
 
-    Texts are shuffled once, by key; what a document lends to the one before it goes as a prefix
-    and a sketch.
+    Texts are shuffled once, by key: the same exchange serves the rows and what they lend to the
+    document before them, which goes as a prefix and a sketch.
     """
     rows = _keyed(docs)
-    follows = stored(successors(rows.select("doc_id", "h")), "followers")
-    sizes = rows.select("doc_id", "h", (F.length("text") / 3).cast("int").alias("cut"))
-    wanted = follows.join(
-        sizes.distinct().select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), "cut"),
-        F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")),
-    ).select(F.col("next_id").alias("_i"), F.col("next_h").alias("_h"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), "cut")
-    one = Window.partitionBy("doc_id", "h").orderBy("h")
-    lent = (
-        rows.withColumn("_n", F.row_number().over(one))
-        .where("_n = 1")
-        .join(wanted, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")))
-        .select("to_id", "to_h", F.expr("left(text, cut)").alias("lent"), sketch(F.col("text"), k, width).alias("next_sketch"))
+    keys = rows.select("doc_id", "key", "h", (F.length("text") / 3).cast("int").alias("cut"))
+    follows = stored(successors(keys), "followers")
+    wanted = follows.select(
+        F.col("next_key").alias("key"), F.col("next_h").alias("h"), F.col("key").alias("to_key"), F.col("h").alias("to_h"), "cut"
+    )
+    lent = rows.join(wanted, ["key", "h"]).select(
+        F.col("to_key").alias("key"),
+        F.col("to_h").alias("h"),
+        F.col("doc_id").alias("next_id"),
+        F.expr("left(text, cut)").alias("lent"),
+        sketch(F.col("text"), k, width).alias("next_sketch"),
     )
-    joined = rows.join(lent, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
+    one = Window.partitionBy("key", "h").orderBy("next_id")
+    lent = lent.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - (n / 3).cast("int")), F.col("lent"))
     return (
-        joined.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_sketch")
+        rows.join(lent, ["key", "h"])
+        .select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_id", "next_sketch")
         .withColumn("sketch", sketch(F.col("text"), k, width))
         .withColumn("edited_sketch", sketch(F.col("edited"), k, width))
         .drop("text")
