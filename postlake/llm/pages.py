@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import html
 import pickle
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,10 +29,10 @@ from pyspark.sql import types as T
 from postlake.llm.boosting import BoostedTrees
 from postlake.llm.common import sample_rows, texts_in, with_columns
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>",
-    re.DOTALL,
-)
+_OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*+>|<!(?!--)[^>]*+>"
+_LOOSE = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|{_OTHER}", re.DOTALL)
+_STRICT = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(<)/?[a-zA-Z]|{_OTHER}", re.DOTALL)
+_BEGINS = re.compile(r"<[a-zA-Z!/?]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -97,7 +99,8 @@ def _words(attributes: str) -> frozenset[str]:
 def parse(markup: str) -> Page:
     """Block elements and text runs, in page order. Never fails, and reads each character a few times at most.
 
-    Inline elements only mark their text as linked or not. An element inside head, script, style or
+    After a tag whose quotes never close, quotes no longer hide the end of a tag. What begins like a
+    tag and has no end is dropped. Inline elements only mark their text as linked or not. An element inside head, script, style or
     other unseen elements has no text.
     """
     nodes = [Node("html", -1, 0, frozenset())]
@@ -132,11 +135,14 @@ def parse(markup: str) -> Page:
             if tag in tags:
                 break
 
-    at, size = 0, len(markup)
+    at, size, pattern = 0, markup.rfind(">") + 1, _STRICT
     while at < size:
-        m = _MARKUP.search(markup, at)
+        m = pattern.search(markup, at, size)
+        if m and pattern is _STRICT and m.group(4):
+            pattern = _LOOSE
+            m = pattern.search(markup, at, size)
         if not m:
-            add(html.unescape(markup[at:]))
+            add(html.unescape(markup[at:size]))
             break
         add(html.unescape(markup[at : m.start()]))
         at = m.end()
@@ -171,7 +177,7 @@ def parse(markup: str) -> Page:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(markup, at)
-            at = end.end() if end else size
+            at = end.end() if end else len(markup)
             continue
         above = stack[-1]
         block = above[1]
@@ -183,6 +189,8 @@ def parse(markup: str) -> Page:
         stack.append((tag, block, above[2] or tag in UNSEEN))
         open_[tag] = open_.get(tag, 0) + 1
         links += tag == "a"
+    if at <= size:
+        add(html.unescape(_BEGINS.split(markup[size:], maxsplit=1)[0]))
     return Page(nodes, runs, borders)
 
 
@@ -256,6 +264,48 @@ def taught(page: Page) -> list[int | None]:
     return [1 if h and x != 0 else 0 if x == 0 else None for h, x in zip(holds, label)]
 
 
+_PARAGRAPH = re.compile(r"<p\b[^>]*>[^<]*(?:</p>)?", re.I)
+
+
+def _other_kind(paragraph: str, rnd: random.Random) -> str:
+    """Now and then a paragraph as another kind of block with the same text."""
+    if rnd.random() > 0.25:
+        return paragraph
+    inner = re.sub(r"</?p\b[^>]*>", "", paragraph, flags=re.I)
+    opening, closing = rnd.choice(
+        (("<blockquote>", "</blockquote>"), ("<blockquote><p>", "</blockquote>"), ("<div>", "</div>"), ("<h2>", "</h2>"),
+         ("<h3>", "</h3>"), ("<ul><li>", "</li></ul>"), ("<pre>", "</pre>"), ("<table><tr><td>", "</td></tr></table>"))
+    )
+    return opening + inner + closing
+
+
+def varied(markup: str, seed: int) -> str:
+    """The page with some of its own paragraphs also put into an aside, and its article told in another way.
+
+    So the trees see paragraphs that are not main text because of what holds them, and main text
+    under other names than the page's own.
+    """
+    rnd = random.Random(seed)
+    found = _PARAGRAPH.findall(markup)
+    markup = _PARAGRAPH.sub(lambda m: _other_kind(m.group(), rnd), markup)
+    some = [rnd.choice(found) for _ in range(rnd.randint(1, 4))] if found else ["<p>More</p>"]
+    if rnd.random() < 0.4:
+        tag, words = rnd.choice(sorted(ASIDE_TAGS)), ""
+    else:
+        tag, words = rnd.choice(("div", "section", "ul", "div")), f' {rnd.choice(("class", "id"))}="{rnd.choice(sorted(ASIDE_WORDS))}"'
+    body = "".join(f"<li>{p}</li>" if tag == "ul" else p for p in some)
+    if rnd.random() < 0.3:
+        body = re.sub(r"</?p\b[^>]*>", " ", body)
+    aside = f"<{tag}{words}>{body}</{tag}>"
+    end = rnd.choice(("</article>", "</body>", "</main>", "<article>"))
+    markup = markup.replace(end, aside + end if end != "<article>" or rnd.random() < 0.5 else end + aside, 1)
+    opening, closing = rnd.choice(
+        (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post">', "</div>"), ('<section id="content">', "</section>"))
+    )
+    markup = markup.replace("<article>", opening).replace("</article>", closing)
+    return markup if rnd.random() < 0.5 else markup.replace(opening, f"{opening}<div>").replace(closing, f"</div>{closing}")
+
+
 def decode(page: Page, odds: np.ndarray) -> np.ndarray:
     """Which nodes to keep: the best sum of log-odds in which no kept node has a dropped ancestor."""
     nodes = page.nodes
@@ -301,30 +351,33 @@ class PageModel:
         return [main_text(p, decode(p, o)) for p, o in zip(pages, np.split(odds, cuts))]
 
 
-def fit(df: DataFrame, key: str = "page_id", markup: str = "html", sample: int = 600) -> PageModel:
+def fit(df: DataFrame, key: str = "page_id", markup: str = "html", sample: int = 300) -> PageModel:
     """Fit on at most ``sample`` pages, chosen by the hash of their key. Without a telling page all is kept."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for value in batch["m"]:
-                page = parse(value or "")
-                said = taught(page)
-                out += [(x.tolist(), y) for x, y in zip(features(page), said) if y is not None]
-            yield pd.DataFrame(out, columns=["x", "y"])
+                seed = zlib.crc32((value or "").encode("utf-8", "surrogatepass"))
+                for turn in range(4):
+                    page = parse(varied(value or "", seed + turn) if turn else value or "")
+                    out += [(x.tolist(), y, turn) for x, y in zip(features(page), taught(page)) if y is not None]
+            yield pd.DataFrame(out, columns=["x", "y", "turn"])
 
     chosen = sample_rows(df, key, sample).select(F.col(markup).cast("string").alias("m"))
-    got = chosen.mapInPandas(rows, "x array<double>, y int").toPandas()
-    got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["key", "y"], kind="stable")
+    got = chosen.mapInPandas(rows, "x array<double>, y int, turn int").toPandas()
+    got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["turn", "key", "y"], kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)
     y = got["y"].to_numpy(int)
     if not len(y) or y.min() == y.max():
         return PageModel(BoostedTrees().fit(np.zeros((1, N_FEATURES)), np.ones(1, int)))
-    part = np.random.default_rng(0).integers(0, 4, len(y))
-    blind = x[part == 2].copy()
+    draw = np.random.default_rng(0).integers(0, 4, len(y))
+    own = got["turn"].to_numpy(int) == 0
+    blind = x[own & (draw == 2)].copy()
     blind[:, _SAID] = 0
-    trees = BoostedTrees(rounds=50).fit(np.concatenate([x[part != 3], blind]), np.concatenate([y[part != 3], y[part == 2]]))
-    return PageModel(trees.calibrate(x[part == 3], y[part == 3]))
+    fitted = np.concatenate([x[draw != 3], blind]), np.concatenate([y[draw != 3], y[own & (draw == 2)]])
+    trees = BoostedTrees(rounds=60).fit(*fitted)
+    return PageModel(trees.calibrate(x[draw == 3], y[draw == 3]))
 
 
 def extract(
