@@ -40,23 +40,29 @@ def _is_posting(v: Column) -> Column:
     return F.coalesce(kind.contains("JobPosting"), F.lit(False))
 
 
-def find_posting_in(docs: Column, graph_depth: int = 4) -> Column:
+def find_posting_in(docs: Column) -> Column:
     """First posting, in block and item order, of an ``array<variant>`` of documents.
 
     A level replaces every other object by its ``@graph`` children in place, so the order
-    of a depth-first walk is kept; postings themselves are not opened.
+    of a depth-first walk is kept; postings themselves are not opened. There are as many
+    levels as a document names ``@graph``, so none is too deep.
     """
     nodes = F.flatten(F.transform(docs, lambda d: F.coalesce(jv.as_list(d), F.array(d))))
-    for _ in range(graph_depth):
-        nodes = F.flatten(
+    graphs = F.array_max(F.transform(docs, lambda d: F.size(F.split(F.to_json(d), '"@graph"')) - 1))
+    levels = F.when(graphs > 0, F.sequence(F.lit(1), graphs)).otherwise(F.array().cast("array<int>"))
+
+    def opened(level: Column) -> Column:
+        return F.flatten(
             F.transform(
-                nodes,
+                level,
                 lambda n: F.when(_is_posting(n), F.array(n)).otherwise(
                     F.coalesce(jv.as_list(jv.field(n, "@graph")), F.array().cast("array<variant>"))
                 ),
             )
         )
-    return F.try_element_at(F.filter(nodes, _is_posting), F.lit(1))
+
+    found = F.aggregate(levels, nodes, lambda level, _: opened(level))
+    return F.try_element_at(F.filter(found, _is_posting), F.lit(1))
 
 
 def page_posting(dom: Column) -> Column:

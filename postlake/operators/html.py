@@ -10,6 +10,7 @@ name, and nothing else is closed implicitly.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -68,16 +69,19 @@ class _Markup(HTMLParser):
         self.els: list[dict] = []
         self.open: list[dict] = []
         self.pending: list[str] = []
+        self.open_tags: Counter[str] = Counter()
+        self.unseen: list[dict] = []  # open elements whose text is never visible
+        self.keeping = 0  # open elements that keep white space
 
     def flush(self) -> None:
         if not self.pending:
             return
         text = "".join(self.pending)
         self.pending.clear()
-        if not text.strip(" \t\n\r\x0c") and not any(e["tag"] in _KEEPS_SPACE for e in self.open):
+        if not self.keeping and not text.strip(" \t\n\r\x0c"):
             text = "\n" if "\n" in text else " "
-        unseen = next((e for e in reversed(self.open) if e["tag"] in _UNSEEN), None)
-        if unseen is not None:
+        if self.unseen:
+            unseen = self.unseen[-1]
             unseen["raw"] = (unseen["raw"] or "") + text
         else:
             self.texts.append({"s": text, "hide": self.open[-1]["hide"] if self.open else 0})
@@ -85,6 +89,13 @@ class _Markup(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.pending.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections of unknown kinds count as comments."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def unknown_decl(self, data: str) -> None:
         self.flush()
         if data.upper().startswith("CDATA["):
@@ -127,6 +138,10 @@ class _Markup(HTMLParser):
         self.els.append(element)
         if tag not in _VOID:
             self.open.append(element)
+            self.open_tags[tag] += 1
+            self.keeping += tag in _KEEPS_SPACE
+            if tag in _UNSEEN:
+                self.unseen.append(element)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -135,12 +150,16 @@ class _Markup(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.flush()
-        if any(e["tag"] == tag for e in self.open):
+        if self.open_tags[tag]:
             while self._shut()["tag"] != tag:
                 pass
 
     def _shut(self) -> dict:
         element = self.open.pop()
+        self.open_tags[element["tag"]] -= 1
+        self.keeping -= element["tag"] in _KEEPS_SPACE
+        if self.unseen and self.unseen[-1] is element:
+            self.unseen.pop()
         element["t1"] = len(self.texts)
         element["last"] = len(self.els) - 1
         return element

@@ -74,9 +74,13 @@ def merge_delta(
 # --- F3 - F6 ----------------------------------------------------------------
 
 
-def _detail_join(listings: DataFrame, details: DataFrame, key: str) -> tuple[DataFrame, dict[str, T.DataType]]:
+def _detail_join(
+    listings: DataFrame, details: DataFrame, key: str, order: Sequence[str] = ()
+) -> tuple[DataFrame, dict[str, T.DataType]]:
+    """Listings with the first detail of their key by ``order``, or by the detail's text without one."""
     kinds = {f.name: f.dataType for f in details.schema.fields if f.name != key}
-    packed = details.select(key, F.struct(*kinds).alias("_detail"))
+    first = dedupe_first(details, [key], list(order) or [F.to_json(F.struct(*kinds))])
+    packed = first.select(key, F.struct(*kinds).alias("_detail"))
     return listings.join(packed, key, "left"), kinds
 
 
@@ -85,9 +89,10 @@ def merge_api_detail(
     details: DataFrame,
     key: str = "url",
     fields: Sequence[str] = (*lex.DETAIL_FIELDS, "job_id", "location"),
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Filled detail fields win over the listing row."""
-    joined, kinds = _detail_join(listings, details, key)
+    joined, kinds = _detail_join(listings, details, key, order)
     out = {}
     for name in fields:
         if name not in kinds:
@@ -98,9 +103,11 @@ def merge_api_detail(
     return joined.withColumns(out).drop("_detail")
 
 
-def merge_dom_detail(listings: DataFrame, details: DataFrame, key: str = "url") -> DataFrame:
+def merge_dom_detail(
+    listings: DataFrame, details: DataFrame, key: str = "url", order: Sequence[str] = ()
+) -> DataFrame:
     """Title and location fall back to the listing; every other field is the detail's."""
-    joined, kinds = _detail_join(listings, details, key)
+    joined, kinds = _detail_join(listings, details, key, order)
     out = {}
     for name, kind in kinds.items():
         new = F.col(f"_detail.{name}")
@@ -125,9 +132,11 @@ def route_details(listings: DataFrame) -> DataFrame:
     )
 
 
-def with_defaults(listings: DataFrame, details: DataFrame, key: str = "url") -> DataFrame:
+def with_defaults(
+    listings: DataFrame, details: DataFrame, key: str = "url", order: Sequence[str] = ()
+) -> DataFrame:
     """Every listing gives one row; without a detail it keeps its values and empties."""
-    joined, kinds = _detail_join(listings, details, key)
+    joined, kinds = _detail_join(listings, details, key, order)
     missing = F.col("_detail").isNull()
     out = {"is_default": missing}
     for name, kind in kinds.items():
@@ -211,15 +220,16 @@ def upsert_jobs(jobs: DataFrame, batch: DataFrame, order: str = "seq") -> DataFr
     key = ["site_id", "url"]
     values = ["title", "location", "raw_json"]
     fresh = clean_batch(batch, order).select(*key, F.struct(*values).alias("_new"))
-    merged = jobs.join(fresh, key, "full_outer")
-    updated = merged.select(
+    columns = ["id", "site_id", "title", "location", "url", "raw_json"]
+    updated = jobs.join(fresh, key, "left").select(
         "id",
         *key,
         *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in values],
     )
-    columns = ["id", "site_id", "title", "location", "url", "raw_json"]
-    known = updated.where(F.col("id").isNotNull()).select(columns)
-    added = assign_ids(updated.where(F.col("id").isNull()).drop("id"), jobs, key).select(columns)
+    known = updated.select(columns)
+    # Only the keys of the table are read again; the batch's exchange serves both joins.
+    new = fresh.join(jobs.select(*key), key, "left_anti").select(*key, "_new.*")
+    added = assign_ids(new, jobs, key).select(columns)
     return known.unionByName(added)
 
 

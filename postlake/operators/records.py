@@ -19,14 +19,18 @@ SECTION_TYPE = "array<struct<section_title:string,content:string>>"
 def distinct_ci(c: Column, cap: int | None = LIST_CAP) -> Column:
     """Distinct strings ignoring case: first spelling, first-seen order, at most ``cap``."""
     cleaned = F.filter(F.transform(c, strip), lambda s: s != "")
+
+    def full(acc: Column) -> Column:
+        return F.size(acc) >= cap if cap else F.lit(False)
+
     firsts = F.aggregate(
         cleaned,
         lit_array([]),
-        lambda acc, s: F.when(F.exists(acc, lambda k: F.lower(k) == F.lower(s)), acc).otherwise(
+        lambda acc, s: F.when(full(acc) | F.exists(acc, lambda k: F.lower(k) == F.lower(s)), acc).otherwise(
             F.array_append(acc, s)
         ),
     )
-    return F.slice(firsts, 1, cap) if cap else firsts
+    return firsts
 
 
 def _texts(v: Column) -> Column:
@@ -182,7 +186,8 @@ def extract_details(
     kept = [c for c in pages.columns if c != "html"]
     base = (
         read_markup(pages)
-        .withColumn("_posting", posting_fields(page_posting(F.col("dom"))))
+        .withColumn("_found", page_posting(F.col("dom")))
+        .withColumn("_posting", posting_fields(F.col("_found")))
         .withColumn("_text", dom_text(F.col("dom"), HIDE_PARSER))
         .withColumn("_empty", record_score(F.col("_posting")) == 0)
         .withColumn(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from postlake.functions import jsonv as jv
 from postlake.functions import lexicons as lex
 from postlake.functions.text import any_contains, count_contains, let, lit_array, or_empty, strip
-from postlake.operators.dedupe import top_n_per
+from postlake.operators.dedupe import dedupe_first, top_n_per
 from postlake.operators.html import anchor_array
 from postlake.operators.payloads import extract_listing_jobs, request_template, unfence
 
@@ -468,7 +468,8 @@ def classify_sites(
         .when(F.col("detector") == "INTERACTIVE_DOM", F.col("matched"))
         .otherwise(F.col("matched") & F.col("usable"))
     )
-    priority = F.lit(len(types)) - F.array_position(lit_array(types), F.col("detector"))
+    place = F.array_position(lit_array(types), F.col("detector"))
+    priority = F.when(place > 0, F.lit(len(types)) - place).otherwise(F.lit(0))  # 0 for an unknown name too
     if by == "priority":
         order = F.struct(priority)
     else:
@@ -491,8 +492,14 @@ def classify_sites(
     )
 
 
-def validate_verdicts(replies: DataFrame, fallback: DataFrame, site: str = "site") -> DataFrame:
-    """Classification replies that name a known type; all others take the fallback."""
+def validate_verdicts(
+    replies: DataFrame, fallback: DataFrame, site: str = "site", order: Sequence[str] = ("content",)
+) -> DataFrame:
+    """Classification replies that name a known type; all others take the fallback.
+
+    Of several replies for a site the first by ``order`` counts.
+    """
+    replies = dedupe_first(replies, [site], list(order))
     parsed = jv.parse(unfence(F.col("content")))
     kind = jv.field(F.col("_v"), "type")
     score = jv.field(F.col("_v"), "confidence")

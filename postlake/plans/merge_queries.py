@@ -254,7 +254,7 @@ def _(t: Tables) -> DataFrame:
 
 
 JOBS_SQL = """
-  jobs AS (SELECT o_orderkey AS id, o_custkey AS site_id, 'old' AS title, 'x' AS location, 'u' || o_orderkey AS url, '{}' AS raw_json FROM orders WHERE o_orderstatus = 'F'),
+  jobs AS (SELECT o_orderkey AS id, o_custkey AS site_id, 'old' AS title, 'x' AS location, 'u' || o_orderkey AS url, '{}' AS raw_json FROM orders WHERE true),
   batch AS (SELECT l_orderkey * 10 + l_linenumber AS seq, o_custkey AS site_id, CASE WHEN l_linenumber = 3 THEN '' ELSE l_returnflag || l_orderkey END AS title,
       l_linestatus AS location, 'u' || l_orderkey || CASE WHEN l_linenumber > 4 THEN '-b' ELSE '' END AS url, '{"n": ' || l_linenumber || '}' AS raw_json
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -267,7 +267,7 @@ JOBS_SQL = """
 
 
 def job_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
-    jobs = t.orders.where("o_orderstatus = 'F'").select(
+    jobs = t.orders.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("site_id"), F.lit("old").alias("title"), F.lit("x").alias("location"),
         F.concat(F.lit("u"), "o_orderkey").alias("url"), F.lit("{}").alias("raw_json"),
     )
@@ -295,7 +295,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "site_jobs",
-    """SELECT o_orderkey AS id, o_custkey AS site_id, c_name AS domain FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""",
+    """SELECT o_orderkey AS id, o_custkey AS site_id, c_name AS domain FROM orders JOIN customer ON o_custkey = c_custkey""",
 )
 def _(t: Tables) -> DataFrame:
     jobs, _batch = job_tables(t)
@@ -459,11 +459,11 @@ def _(t: Tables) -> DataFrame:
     return back.select("domain", "pos", "title", "location", "url", "jobs_count")
 
 
-@query("write_scrape_results_parts", SAVED_SQL + " SELECT domain, title, url, jobs_count FROM saved")
+@query("write_scrape_results_parts", SAVED_SQL + " SELECT domain, pos, title, url, jobs_count FROM saved")
 def _(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "parts")
     io.write_scrape_results(_saved_listings(t), root, max_jobs=2, metadata=F.lit("m"))
-    return io.read_scrape_results(t.spark, root, multi_line=False).select("domain", "title", "url", "jobs_count")
+    return io.read_scrape_results(t.spark, root, multi_line=False).select("domain", "pos", "title", "url", "jobs_count")
 
 
 @query("write_job_details", SAVED_SQL + " SELECT domain, pos, title, 'success' AS listing_status, n.n AS jobs_count FROM saved JOIN (SELECT domain AS d, count(*) AS n FROM saved GROUP BY 1) n ON d = domain")
@@ -513,12 +513,12 @@ def _(t: Tables) -> DataFrame:
     return io.read_table(t.spark, root, "jobs", io.JOBS_SCHEMA)
 
 
-@query(
-    "read_page_snapshots",
-    f"""SELECT {DOMAIN_SQL} AS domain, CASE WHEN page_id % 2 = 0 THEN '_R' ELSE 'R_' END || page_id AS job_id,
-        TIMESTAMP '2026-04-06 11:24:46' AS captured_at, length(html) AS n FROM pages""",
-)
-def _(t: Tables) -> DataFrame:
+SNAPSHOT_SQL = f"""SELECT {DOMAIN_SQL} AS domain, CASE WHEN page_id % 2 = 0 THEN '_R' ELSE 'R_' END || page_id AS job_id,
+        TIMESTAMP '2026-04-06 11:24:46' AS captured_at, length(html) AS n FROM pages"""
+
+
+def _landed(t: Tables) -> str:
+    """Half of the pages have ids that start with an underscore."""
     root = scratch_path(t.spark, "landed")
     job_id = F.concat(F.when(form(2) == 0, F.lit("_R")).otherwise("R/"), F.col("page_id").cast("string"))
     stamp = F.to_timestamp(F.lit("2026-04-06 11:24:46"))
@@ -526,10 +526,24 @@ def _(t: Tables) -> DataFrame:
         u.get_domain(F.col("url")).alias("domain"), job_id.alias("job_id"), stamp.alias("captured_at"), "html"
     )
     io.write_page_snapshots(pages, root)
-    back = io.read_page_snapshots(t.spark, root)
+    return root
+
+
+@query("read_page_snapshots", SNAPSHOT_SQL)
+def _(t: Tables) -> DataFrame:
+    back = io.read_page_snapshots(t.spark, _landed(t))
     return back.select("domain", "job_id", "captured_at", F.length("html").alias("n"))
 
 
+@query("stream_pages", SNAPSHOT_SQL)
+def _(t: Tables) -> DataFrame:
+    mark, out = scratch_path(t.spark, "offsets"), scratch_path(t.spark, "streamed")
+    rows = st.stream_pages(t.spark, _landed(t)).withColumn("n", F.length("html")).drop("html")
+    started = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+    started.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(out)
+
+
 @query("json_responses", "SELECT page_id AS seq, CASE WHEN page_id % 2 = 0 THEN 5 ELSE length('{\"n\":' || page_id || '}') END AS body_length FROM pages WHERE page_id % 4 < 2")
 def _(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "captured")
@@ -555,7 +569,7 @@ def _(t: Tables) -> DataFrame:
 # --- Streams ----------------------------------------------------------------
 
 
-@query("stream_upsert", f"WITH {JOBS_SQL.replace('FROM orders WHERE o_orderstatus = ' + repr('F'), 'FROM orders WHERE false')} SELECT site_id, title, location, url, raw_json FROM merged")
+@query("stream_upsert", f"WITH {JOBS_SQL.replace('FROM orders WHERE true', 'FROM orders WHERE false')} SELECT site_id, title, location, url, raw_json FROM merged")
 def _(t: Tables) -> DataFrame:
     landed, root, mark = (scratch_path(t.spark, n) for n in ("batches", "stream", "offsets"))
     _jobs, batch = job_tables(t)

@@ -8,21 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# The test tables are single files; these are worth one split per core while they are small.
-_SPREAD = {
-    "pages": "page_id",
-    "documents": "doc_id",
-    "conversations": "conv_id",
-    "lineitem": "l_orderkey",
-    "orders": "o_orderkey",
-    "events": "event_id",
-}
-
 
 class Tables:
     """The input tables of one folder, read on first use."""
@@ -34,8 +22,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df, _SPREAD[name]) if name in _SPREAD else df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 def _plain_types(df: DataFrame) -> DataFrame:

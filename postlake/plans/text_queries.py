@@ -248,7 +248,7 @@ def _(t: Tables) -> DataFrame:
 
 # --- Lists and strings ------------------------------------------------------
 
-WORDS_SQL = "string_split(left(text, 400), ' ')"
+WORDS_SQL = "string_split(text, ' ')"
 
 
 @query(
@@ -260,7 +260,7 @@ WORDS_SQL = "string_split(left(text, 400), ' ')"
       SELECT doc_id, n - 1 AS pos, w AS word FROM r WHERE n <= 15""",
 )
 def _(t: Tables) -> DataFrame:
-    words = F.split(F.left("text", F.lit(400)), " ")
+    words = F.split("text", " ")
     return t.documents.select("doc_id", F.posexplode(rec.distinct_ci(words)).alias("pos", "word"))
 
 
@@ -274,7 +274,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     rows = t.documents.select(
-        "doc_id", F.split(F.left("text", F.lit(400)), " ").alias("skills"), F.col("source").alias("tools_and_technologies")
+        "doc_id", F.split("text", " ").alias("skills"), F.col("source").alias("tools_and_technologies")
     )
     out = rec.norm_lists(rows)
     return out.select("doc_id", *[F.size(c).alias(c) for c in ("skills", "tools_and_technologies", "benefits")])

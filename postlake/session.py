@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "postlake") -> SparkSession:
@@ -17,6 +19,7 @@ def local_session(cores: int | str = 8, app: str = "postlake") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "1m")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
@@ -39,17 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, never reused between runs."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, never reused between runs and removed with the session."""
+    made = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return made
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer splits than cores one split per core.
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed.
 
-    Large inputs already have more splits than cores and are left alone, so wide
-    text columns are only shuffled while the input is small.
+    Tasks that run Arrow functions import it by name.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    if spark.conf.get("spark.postlake.shipped", None):
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    made = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="postlake-"), "postlake"), "zip", os.path.dirname(folder), os.path.basename(folder)
+    )
+    spark.sparkContext.addPyFile(made)
+    spark.conf.set("spark.postlake.shipped", "true")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -16,7 +17,9 @@ from postlake.functions.text import or_empty
 from postlake.operators.dedupe import drop_duplicate_urls
 
 # Names of landed files.
-SNAPSHOT_NAME = r"^(.*)_(\d{8}_\d{6})\.html$"
+SNAPSHOT_NAME = r"^=?(.*)_(\d{8}_\d{6})\.html$"
+# Spark's file sources skip names that start with one of these, so such names get a leading "=".
+HIDDEN_START = r"^([_.=])"
 STAMP = "yyyyMMdd_HHmmss"
 # A payload may hold any line break, so text files separate records by this character.
 RECORD_END = "\x1e"
@@ -27,7 +30,8 @@ REQUEST_SCHEMA = (
     "site string, seq int, url string, method string, headers map<string,string>, post_data string"
 )
 ENVELOPE_SCHEMA = (
-    "domain string, site_type string, timestamp string, jobs_count long, jobs array<string>, metadata string"
+    "domain string, site_type string, timestamp string, jobs_count long, jobs array<string>, positions array<long>, "
+    "metadata string"
 )
 
 
@@ -44,22 +48,31 @@ def snapshot_columns(path: Column, html: Column) -> list[Column]:
     ]
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root with its file system, as Spark reads it: a bare path lies in the default one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("/"):
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", uri))
+    """Arrow's file system for a qualified URI, and the path in it."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/*", "file:///", uri)))
 
 
 def _hidden_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """Files that Spark's own sources skip because their name starts with ``_`` or ``.``.
+    """Captures of older writers under names that Spark's sources skip (``_R1_...``).
 
-    The driver lists the domain folders only. Tasks list one folder each, the paths are spread
-    evenly, and tasks read the files.
+    One task lists the domain folders, tasks list one folder each, the paths are spread evenly,
+    and tasks read the files; no list passes through the driver.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folders = [(s.getPath().toString(),) for s in fs.listStatus(path) if s.isDirectory()]
+
+    def list_domains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, top = _open_fs(uri)
+                found = store.get_file_info(pafs.FileSelector(top, allow_not_found=True))
+                names = [f"{uri}/{f.base_name}" for f in found if f.type == pafs.FileType.Directory]
+                yield pa.RecordBatch.from_pydict({"uri": pa.array(names, pa.string())})
 
     def list_folder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,18 +93,17 @@ def _hidden_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
                     text = f.read().decode("utf-8", "replace")
                 yield pa.RecordBatch.from_pydict({"path": [uri], "value": [text]})
 
-    if not folders:
-        return spark.createDataFrame([], "path string, value string")
-    parts = min(len(folders), spark.sparkContext.defaultParallelism * 4)
-    listed = spark.createDataFrame(folders, "uri string").repartition(parts, "uri")
-    paths = listed.mapInArrow(list_folder, "path string")
+    top = spark.createDataFrame([(_qualified(spark, root),)], "uri string")
+    folders = top.mapInArrow(list_domains, "uri string").repartition("uri")
+    paths = folders.mapInArrow(list_folder, "path string")
     return paths.repartition("path").mapInArrow(read_files, "path string, value string")
 
 
 def read_page_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """Landed pages ``{domain}/{job_id}_{stamp}.html``, one row per file.
 
-    Job ids taken from posting URLs start with an underscore, and so do their file names.
+    Job ids taken from posting URLs start with an underscore; `write_page_snapshots` puts ``=``
+    before it, which is no part of the id. Files without it are read too.
     """
     files = (
         spark.read.format("text")
@@ -111,19 +123,20 @@ def write_page_snapshots(pages: DataFrame, root: str) -> None:
     A file name follows from the row, so a task that runs again writes the same files.
     """
     safe_id = F.regexp_replace(or_empty(F.col("job_id")), r"[/\\]", "_")
+    base = _qualified(pages.sparkSession, root)
     name = F.concat(
-        F.coalesce(F.nullif(safe_id, F.lit("")), F.lit("unknown")),
+        F.regexp_replace(F.coalesce(F.nullif(safe_id, F.lit("")), F.lit("unknown")), HIDDEN_START, "=$1"),
         F.lit("_"),
         F.date_format("captured_at", STAMP),
         F.lit(".html"),
     )
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _open_fs(root)
+        store, top = _open_fs(base)
         for batch in batches:
             for folder, file, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store.create_dir(f"{base}/{folder}", recursive=True)
-                with store.open_output_stream(f"{base}/{folder}/{file}") as out:
+                store.create_dir(f"{top}/{folder}", recursive=True)
+                with store.open_output_stream(f"{top}/{folder}/{file}") as out:
                     out.write((html or "").encode())
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
@@ -133,10 +146,13 @@ def write_page_snapshots(pages: DataFrame, root: str) -> None:
 
 def _listing_rows(files: DataFrame) -> DataFrame:
     v = jv.parse(F.col("raw"))
+    own = F.try_element_at("positions", F.col("_at") + 1)
     return files.select(
-        "domain", "site_type", "timestamp", "jobs_count", F.posexplode("jobs").alias("pos", "raw")
+        "domain", "site_type", "timestamp", "jobs_count", "positions", F.posexplode("jobs").alias("_at", "raw")
     ).select(
-        "*",
+        *["domain", "site_type", "timestamp", "jobs_count"],
+        F.coalesce(own, F.col("_at").cast("long")).alias("pos"),
+        "raw",
         or_empty(jv.as_text(jv.field(v, "title"))).alias("title"),
         or_empty(jv.as_text(jv.field(v, "location"))).alias("location"),
         or_empty(jv.as_text(jv.field(v, "url"))).alias("url"),
@@ -144,7 +160,9 @@ def _listing_rows(files: DataFrame) -> DataFrame:
 
 
 def read_scrape_results(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
-    """Listings of saved runs, one row per job with its array position.
+    """Listings of saved runs, one row per job with its position in the run.
+
+    Envelopes of several parts carry their jobs' positions; without them the place in the array counts.
 
     ``multi_line`` reads one pretty-printed envelope per file; without it, envelopes are JSON
     lines as the sinks here write them. ``raw`` keeps the job object with its key order.
@@ -224,19 +242,30 @@ def envelopes(
 ) -> DataFrame:
     """One envelope per run with its job count and ordered jobs.
 
-    A run with more than ``max_jobs`` jobs is written as several parts, so no task collects an
-    unbounded run; ``jobs_count`` stays the count of the whole run and no job is lost.
+    A run with more than ``max_jobs`` jobs is dealt by hash into parts of about that many, whatever
+    ``order`` holds, so no task collects an unbounded run. Each part lists its jobs' positions and
+    ``jobs_count`` is the count of the whole run, so that the run can be put together again.
     """
-    parts = (
-        jobs.withColumn("part", F.floor(F.col(order) / max_jobs).cast("int"))
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("job")))).alias("_jobs"))
-        .withColumn("jobs", F.transform("_jobs", lambda j: j.job))
-        .drop("_jobs")
-    )
     counts = jobs.groupBy(*keys).agg(F.count("*").alias("jobs_count"))
-    return parts.join(counts, list(keys)).select(
-        *keys, *[c.alias(n) for n, c in (constants or {}).items()], "jobs_count", "part", "jobs"
+    parts = F.ceil(F.col("jobs_count") / max_jobs)
+    hashed = F.xxhash64(F.col(order), F.to_json(F.struct(*fields)))
+    counts = counts.select("jobs_count", *[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:  # a null key is a run too
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    counted = jobs.join(counts, same)
+    return (
+        counted.withColumn("part", F.pmod(hashed, parts).cast("int"))
+        .groupBy(*keys, "jobs_count", "part")
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), F.struct(*fields).alias("job")))).alias("_jobs"))
+        .select(
+            *keys,
+            *[c.alias(n) for n, c in (constants or {}).items()],
+            "jobs_count",
+            "part",
+            F.col("_jobs.at").alias("positions"),
+            F.col("_jobs.job").alias("jobs"),
+        )
     )
 
 
@@ -332,11 +361,59 @@ def read_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFr
     return spark.read.schema(schema).parquet(f"{root}/{name}/version={version}")
 
 
-def write_table(df: DataFrame, root: str, name: str, version: int | None = None) -> int:
-    """Write the next version of a table; readers keep the old one until it is complete."""
+def _claim(spark: SparkSession, folder: str, version: int, writer: str) -> None:
+    """Take a version for one writer; another one that wants it too gets an error, no lost update."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/_claims/{version}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        if spark.read.text(path.toString()).first().value != writer:
+            raise RuntimeError(f"another writer has taken version {version} of {folder}; remove {path} if it is dead")
+        return
+    out = fs.create(path, False)
+    out.write(bytearray(writer.encode()))
+    out.close()
+
+
+def write_table(
+    df: DataFrame, root: str, name: str, version: int | None = None, writer: str | None = None
+) -> int:
+    """Write the next version of a table; readers keep the old one until it is complete.
+
+    ``writer`` names who writes; after a crash the same name may write the version again.
+    """
     spark = df.sparkSession
     number = version if version is not None else current_version(spark, root, name) + 1
+    _claim(spark, f"{root}/{name}", number, writer or uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(f"{root}/{name}/version={number}")
     return number
 
 
+def applied_batches(spark: SparkSession, root: str, name: str) -> dict[str, int]:
+    """Last applied batch of each stream, as of the newest finished version."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_batches")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_batches/*/_SUCCESS"))
+    newest = current_version(spark, root, name)
+    numbers = [int(s.getPath().getParent().getName()) for s in (known or [])]
+    done = [n for n in numbers if n <= newest]
+    if not done:
+        return {}
+    rows = spark.read.json(f"{root}/{name}/_batches/{max(done)}", schema="stream string, batch long").collect()
+    return {r.stream: r.batch for r in rows}
+
+
+def write_batch(df: DataFrame, root: str, name: str, stream: str, batch: int) -> int:
+    """Write the version that holds a stream's batch. The note of the batch goes first and counts
+    only once the version is finished, so a crash between the two leaves the batch to be replayed."""
+    spark = df.sparkSession
+    number = current_version(spark, root, name) + 1
+    writer = f"stream {stream}"
+    _claim(spark, f"{root}/{name}", number, writer)
+    applied = applied_batches(spark, root, name) | {stream: batch}
+    notes = spark.createDataFrame(sorted(applied.items()), "stream string, batch long")
+    notes.coalesce(1).write.mode("overwrite").json(f"{root}/{name}/_batches/{number}")
+    return write_table(df, root, name, number, writer)
+
+

@@ -12,19 +12,15 @@ from postlake.operators.dedupe import listing_key
 from postlake.operators.merge import upsert_jobs
 from postlake.sources.io import (
     JOBS_SCHEMA,
-    current_version,
+    applied_batches,
     read_table,
     snapshot_columns,
-    write_table,
+    write_batch,
 )
 
 
 def stream_pages(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:
-    """New page snapshots as a stream of `read_page_snapshots` rows.
-
-    Spark's file stream skips names that start with an underscore, so a page for a job id like
-    ``_R1`` must be landed under another first character to be streamed.
-    """
+    """New page snapshots as a stream of `read_page_snapshots` rows, as `write_page_snapshots` lands them."""
     files = (
         spark.readStream.format("text")
         .option("wholetext", True)
@@ -36,19 +32,23 @@ def stream_pages(spark: SparkSession, root: str, max_files: int = 10_000) -> Dat
     return files.select(*snapshot_columns(F.col("_metadata.file_path"), F.col("value")))
 
 
-def upsert_batch(root: str, table: str = "jobs", order: str = "seq") -> Callable[[DataFrame, int], None]:
+def upsert_batch(
+    root: str, table: str = "jobs", order: str = "seq", stream: str = ""
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that applies one micro-batch to the job table.
 
-    Batch n writes version n + 1 from the version before it, so a batch that is replayed
-    after a failure finds its version finished and changes nothing.
+    The table notes the last batch of each stream with its versions. A batch that is replayed after
+    a failure is at or below its stream's note and changes nothing; batches of another stream, and
+    of a table that was written before, are applied. ``stream`` names the stream for good: its
+    checkpoint serves.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if current_version(spark, root, table) > batch_id:
+        if applied_batches(spark, root, table).get(stream, -1) >= batch_id:
             return
         before = read_table(spark, root, table, JOBS_SCHEMA)
-        write_table(upsert_jobs(before, batch, order), root, table, batch_id + 1)
+        write_batch(upsert_jobs(before, batch, order), root, table, stream, batch_id)
 
     return apply
 
@@ -56,7 +56,7 @@ def upsert_batch(root: str, table: str = "jobs", order: str = "seq") -> Callable
 def stream_upsert(stream: DataFrame, root: str, checkpoint: str, table: str = "jobs", order: str = "seq") -> StreamingQuery:
     """Run the upsert over everything available, then stop."""
     return (
-        stream.writeStream.foreachBatch(upsert_batch(root, table, order))
+        stream.writeStream.foreachBatch(upsert_batch(root, table, order, checkpoint))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

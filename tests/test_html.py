@@ -116,3 +116,21 @@ def test_a_page_never_enters_a_shuffle(pages):
 
     plan = fl.parse_pages(pages("<p>x</p>"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_odd_declarations_do_not_end_the_job(spark, pages):
+    got = h.visible_text(pages("<p>a</p><![foo[bar]]><p>b</p>", "<p>good</p>", "<![if !IE]>x<![endif]>")).orderBy("page_id").collect()
+    assert [r.text for r in got] == ["a\nb", "good", "x"]
+
+
+def test_markup_work_grows_with_the_page():
+    import time
+
+    def took(markup):
+        start = time.perf_counter()
+        h._dom(markup)
+        return time.perf_counter() - start
+
+    for unit in ("<p>", "<b>x</i>", "<p>x"):
+        took(unit * 2_000)
+        assert took(unit * 32_000) < 8 * took(unit * 8_000) + 0.5

@@ -199,3 +199,10 @@ def test_a_hot_key_changes_nothing(spark):
     assert rows(dd.ordered_distinct(df, "v", ["seq"], ["site"]), "site", "v", "seq") == sorted((s, v, q) for (s, v), q in first.items())
     want = sorted((s, q) for s, vs in top.items() for _, q in sorted(vs)[:5])
     assert rows(dd.top_n_per(df, ["site"], ["v", "seq"], 5), "site", "seq") == want
+
+
+def test_a_repeated_detail_gives_one_row(spark):
+    listings = spark.createDataFrame([("u1", "T")], "url string, title string")
+    details = spark.createDataFrame([("u1", "B"), ("u1", "A")], "url string, title string")
+    for merge in (mg.merge_api_detail, mg.merge_dom_detail, mg.with_defaults):
+        assert [r.title for r in merge(listings, details, order=("title",)).collect()] == ["A"] if merge is not mg.with_defaults else merge(listings, details).count() == 1

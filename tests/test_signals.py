@@ -128,3 +128,16 @@ def test_run_summary(spark):
     rows = [("success", 3), ("success", 0), ("skipped", 0), ("failed", 0), (None, None)]
     r = sg.run_summary(spark.createDataFrame(rows, "status string, jobs_found int")).first()
     assert (r.total_sites, r.successful, r.failed, r.skipped) == (5, 1, 3, 1)
+
+
+def test_an_unknown_detector_has_no_priority(spark):
+    rows = [("s", "OTHER", True, True, 3, 0.5, 0), ("s", "WORKDAY_API", True, True, 3, 0.5, 0)]
+    found = spark.createDataFrame(rows, "site string, detector string, matched boolean, usable boolean, jobs_found int, confidence double, best_score int")
+    for by in ("confidence", "priority"):
+        assert sg.classify_sites(found, by=by).first().type == "WORKDAY_API"
+
+
+def test_two_replies_give_one_row(spark):
+    replies = spark.createDataFrame([("s", '{"type":"WORKDAY_API","confidence":0.5}'), ("s", "{}")], "site string, content string")
+    base = spark.createDataFrame([("s", "UNKNOWN", 0.0)], "site string, type string, confidence double")
+    assert sg.validate_verdicts(replies, base).count() == 1

@@ -71,3 +71,40 @@ def test_posting_lifetime(spark):
     assert sorted((r.url, r.first_seen, r.last_seen, r.is_active) for r in out.collect()) == [
         ("u1", 1, 2, True), ("u2", 1, 1, False), ("u3", 1, 1, True),
     ]
+
+
+def test_a_stream_onto_a_written_table_and_a_new_checkpoint_lose_nothing(spark, tmp_path):
+    root = str(tmp_path / "db")
+    for v in range(3):
+        rows = [(v + 1, 9, f"t{v}", "l", f"w{v}", "{}")]
+        known = io.read_table(spark, root, "jobs", io.JOBS_SCHEMA)
+        io.write_table(known.unionByName(spark.createDataFrame(rows, io.JOBS_SCHEMA)), root, "jobs")
+    for name in ("first", "second"):
+        for n in range(2):
+            row = [(n, 1, "a", "l", f"{name}{n}", "{}")]
+            spark.createDataFrame(row, BATCH).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        st.stream_upsert(stream, root, str(tmp_path / f"c-{name}")).awaitTermination()
+    got = {r.url for r in io.read_table(spark, root, "jobs", io.JOBS_SCHEMA).collect()}
+    assert got == {"w0", "w1", "w2", "first0", "first1", "second0", "second1"}
+    assert io.current_version(spark, root, "jobs") == 7
+
+
+def test_a_version_has_one_writer(spark, tmp_path):
+    import pytest
+
+    root = str(tmp_path / "db")
+    rows = spark.createDataFrame([(1, 1, "a", "l", "u", "{}")], io.JOBS_SCHEMA)
+    io.write_table(rows, root, "jobs", 1, "one")
+    io.write_table(rows, root, "jobs", 1, "one")
+    with pytest.raises(RuntimeError):
+        io.write_table(rows, root, "jobs", 1, "two")
+
+
+def test_stream_reads_ids_that_start_with_an_underscore(spark, tmp_path):
+    at = F.to_timestamp(F.lit("2026-04-06 11:24:46"))
+    rows = spark.createDataFrame([("h.com", "_R1", "x"), ("h.com", ".R2", "y"), ("h.com", "=R3", "z"), ("h.com", "J", "w")], "domain string, job_id string, html string")
+    io.write_page_snapshots(rows.withColumn("captured_at", at), str(tmp_path / "in"))
+    pages = st.stream_pages(spark, str(tmp_path / "in"))
+    pages.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert {r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"_R1", ".R2", "=R3", "J"}
