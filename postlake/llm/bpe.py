@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 
 from postlake.llm.common import texts_in, with_columns
 
-#: Entries that a worker keeps of chunks, pieces and judged pairs (some 250 bytes each). A full store starts anew.
-CHUNKS, PIECES, PAIRS = 150_000, 500_000, 300_000
+#: Entries that a worker keeps of chunks, pieces and judged pairs (some 200 bytes each). A full store starts anew.
+CHUNKS, PIECES, PAIRS = 100_000, 300_000, 150_000
 #: Patterns under which a space before a visible character always starts a piece (fixed value).
 SPACE_STARTS = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
@@ -48,8 +49,8 @@ class Vocabulary:
         self.split = regex.compile(pattern)
         self.longest = max(map(len, ranks), default=1)
         self.spaced = pattern in SPACE_STARTS
-        self._chunks: dict[str, list[int]] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._chunks: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self._pieces: dict[str, bytes] = {}
         self._pairs: dict[int, bool] = {}
         self._formed: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -133,16 +134,16 @@ class Vocabulary:
             else:
                 raise ValueError(f"byte {data[end - 1]} has no token")
 
-    def _encoded(self, pieces: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+    def _encoded(self, pieces: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Encode pieces in byte order, so that each starts from the prefixes it shares with the one before."""
         table = PrefixTable(self)
         for data, text in sorted((p.encode("utf-8", "surrogatepass"), p) for p in pieces):
             whole = self.ranks.get(data)
             if whole is not None:  # a piece that is a token is that token
-                yield text, [whole]
+                yield text, array("i", (whole,)).tobytes()
             else:
                 table.become(data)
-                yield text, table.ids()
+                yield text, array("i", table.ids()).tobytes()
 
     def _learn(self, chunks: Iterable[str]) -> None:
         """Make sure that the ids of these chunks are at hand."""
@@ -153,7 +154,7 @@ class Vocabulary:
         new = {p for ps in cut.values() for p in ps if p not in pieces}
         pieces.update(self._encoded(new))
         for c, ps in cut.items():
-            self._chunks[c] = pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in pieces[p]]
+            self._chunks[c] = pieces[ps[0]] if len(ps) == 1 else b"".join(map(pieces.__getitem__, ps))
 
     def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -165,9 +166,7 @@ class Vocabulary:
         known = self._chunks
         self._learn({" " + c for parts in cut for c in parts[1:]}.difference(known) | {p[0] for p in cut} - known.keys())
         return [
-            np.fromiter(
-                chain(known[p[0]], chain.from_iterable(map(known.__getitem__, map(" ".__add__, p[1:])))), np.int32
-            )
+            np.frombuffer(known[p[0]] + b"".join(map(known.__getitem__, map(" ".__add__, p[1:]))), np.int32)
             for p in cut
         ]
 
@@ -177,7 +176,7 @@ class Vocabulary:
             if len(self._pieces) >= PIECES:
                 self._pieces.clear()
             self._pieces.update(self._encoded([text]))
-        return self._pieces[text]
+        return array("i", self._pieces[text]).tolist()
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
