@@ -399,12 +399,21 @@ def clean_dom_text(dom: Column, phrases: Sequence[str] = lex.DROPPED_SECTIONS) -
         F.filter(dom_elements(dom, HIDE_CLEANER), cut),
         lambda e: F.struct(e.t0.alias("t0"), e.t1.alias("t1")),
     )
-    left = let(
+    # Spans come in page order, so the outermost ones are those that begin behind the last one kept.
+    outermost = F.aggregate(
         dropped,
-        lambda spans: F.filter(
-            dom.texts, lambda _, i: ~F.exists(spans, lambda s: (s.t0 <= i) & (i < s.t1))
-        ),
+        F.array().cast("array<struct<t0:int,t1:int>>"),
+        lambda kept, s: F.when(
+            F.size(kept).cast("boolean") & (s.t0 < F.coalesce(F.try_element_at(kept, F.lit(-1)).t1, F.lit(0))), kept
+        ).otherwise(F.array_append(kept, s)),
     )
+
+    def between(spans: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s.t1))
+        ends = F.concat(F.transform(spans, lambda s: s.t0), F.array(F.size(dom.texts)))
+        return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(dom.texts, a + 1, F.greatest(b - a, F.lit(0)))))
+
+    left = let(outermost, between)
     text = _joined(_shown(left, HIDE_CLEANER), "\n", True)
     text = F.regexp_replace(text, r"[ \t]+", " ")
     return or_empty(strip(F.regexp_replace(text, r"\n{3,}", "\n\n")))
@@ -623,8 +632,8 @@ def description_of(dom: Column) -> Column:
             )
         ]
     )
-    paragraphs = F.filter(
-        dom.els, lambda e: (e.tag == "p") & (main.pos < e.pos) & (e.pos <= main["last"])
+    paragraphs = let(
+        main, lambda m: F.filter(dom.els, lambda e: (e.tag == "p") & (m.pos < e.pos) & (e.pos <= m["last"]))
     )
     body = F.array_join(
         F.filter(F.transform(paragraphs, lambda e: element_text(dom, e, HIDE_NONE, "")), lambda s: s != ""),

@@ -184,7 +184,8 @@ def upsert_sites(sites: DataFrame, runs: DataFrame) -> DataFrame:
     """New version of the site table.
 
     ``runs(url, final_url, type, confidence, seq)``: a run updates the site known by its given
-    URL, else by its final URL, else adds one. The last run of a site wins.
+    URL, else by its final URL, else adds one. The last run of a site wins. Domains stay unique: where
+    an update would give two sites one domain, the site with the smaller id keeps it and the other goes.
     """
     by_given = sites.select(F.col("domain").alias("url"), F.col("id").alias("_by_url"))
     by_final = sites.select(F.col("domain").alias("final_url"), F.col("id").alias("_by_final"))
@@ -203,7 +204,8 @@ def upsert_sites(sites: DataFrame, runs: DataFrame) -> DataFrame:
         "id", *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in values]
     )
     inserts = found.where(F.col("id").isNull()).drop("id")
-    return known.unionByName(assign_ids(inserts, sites, ["domain"]).select("id", *values))
+    every = known.unionByName(assign_ids(inserts, sites, ["domain"]).select("id", *values))
+    return dedupe_first(every, ["domain"], ["id"])
 
 
 def clean_batch(batch: DataFrame, order: str = "seq") -> DataFrame:

@@ -239,7 +239,7 @@ def site_table(t: Tables) -> DataFrame:
     )
 
 
-@query("upsert_sites", f"WITH {UPSERT_SITES_SQL} SELECT id, domain, type, confidence FROM merged")
+@query("upsert_sites", f"WITH {UPSERT_SITES_SQL} SELECT id, domain, type, confidence FROM merged QUALIFY row_number() OVER (PARTITION BY domain ORDER BY id) = 1")
 def _(t: Tables) -> DataFrame:
     n, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     known = F.concat(F.lit("Customer#"), F.lpad(cust, 9, "0"))

@@ -206,3 +206,9 @@ def test_a_repeated_detail_gives_one_row(spark):
     details = spark.createDataFrame([("u1", "B"), ("u1", "A")], "url string, title string")
     for merge in (mg.merge_api_detail, mg.merge_dom_detail, mg.with_defaults):
         assert [r.title for r in merge(listings, details, order=("title",)).collect()] == ["A"] if merge is not mg.with_defaults else merge(listings, details).count() == 1
+
+
+def test_two_sites_never_share_a_domain(spark):
+    sites = spark.createDataFrame([(1, "a", "T", 0.1), (2, "b", "T", 0.2)], "id long, domain string, type string, confidence double")
+    runs = spark.createDataFrame([("a", "b", "N", 0.9, 1)], "url string, final_url string, type string, confidence double, seq long")
+    assert [(r.id, r.domain, r.type) for r in mg.upsert_sites(sites, runs).collect()] == [(1, "b", "N")]
