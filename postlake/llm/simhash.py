@@ -248,7 +248,7 @@ def near_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
 
 def drop_near_copies(
-    df: DataFrame, radius: int = 7, check_radius: int = 14, width: int = 3, doc_id: str = "doc_id", text: str = "text"
+    df: DataFrame, radius: int = 6, check_radius: int = 8, width: int = 3, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Keep one document of each group: the one with the smallest doc_id (of equal ones, one row).
 
