@@ -22,13 +22,13 @@ from postlake.llm.common import by_group, sample_keys, stored, with_columns
 
 @dataclass(frozen=True)
 class Settings:
-    neighbours: int = 20  # kept per node
-    reverse: int = 20  # nodes that a node is a neighbour of, at most so many join a round or a search
+    neighbours: int = 24  # kept per node
+    reverse: int = 24  # nodes that a node is a neighbour of, at most so many join a round or a search
     tables: int = 5  # groupings by random planes to start from
     group: int = 64  # wanted size of a group; larger ones are split by hash
-    rounds: int = 4
-    beam: int = 256  # nodes that a search keeps per query
-    expand: int = 64  # nodes that it expands per round
+    rounds: int = 5
+    beam: int = 384  # nodes that a search keeps per query
+    expand: int = 96  # nodes that it expands per round
     hops: int = 8
     entries: int = 256  # nodes chosen by hash that every search is offered as starting points
 
