@@ -9,6 +9,7 @@ table (languages x topics numbers, whatever the corpus) updates those.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -155,29 +156,40 @@ def fit(described_docs: DataFrame, targets: Targets, sweeps: int = 50, tolerance
     return _calibrated(stored(by_source.select("_source", "counts", factors.alias("_factors")), "factors"), targets.budget)
 
 
-def _calibrated(factors: DataFrame, budget: float, rounds: int = 4, grid: int = 24) -> DataFrame:
+def _calibrated(factors: DataFrame, budget: float, tolerance: float = 1e-6, grid: int = 24) -> DataFrame:
     """Scale the factors to sampling probabilities, at most 1, whose expected tokens meet the budget.
 
-    Each round tries a grid of scales in one aggregate and goes on between the two that enclose it.
+    Each round tries a grid of scales in one aggregate and goes on between the two that enclose it,
+    until the expected tokens are over the budget by at most ``tolerance`` of it. Scales and factors
+    are logarithms: contradicting targets leave factors dozens of powers of ten apart. Expected
+    tokens grow no faster than the scale, so the rounds are about as many as the logarithm, to the
+    base ``grid``, of that span over the tolerance.
     """
     flat = factors.select(F.explode(F.arrays_zip("counts", "_factors")).alias("c")).where(
         "c.counts > 0 AND c._factors > 0"
     )
-    flat = flat.select(F.col("c.counts").alias("n"), F.col("c._factors").alias("w"))
+    flat = flat.select(F.col("c.counts").alias("n"), F.log("c._factors").alias("w"))
     ends = flat.agg(F.sum("n").alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi")).first()
     total = factors.agg(F.sum(F.aggregate("counts", F.lit(0.0), lambda s, x: s + x))).first()[0]
     if ends["n"] is None:
         return factors.select("_source", "_factors")
     wanted = min(budget * total, ends["n"])
-    low, high = 0.0, 1.0 / ends["lo"]
-    for _ in range(rounds):
+    if wanted <= 0:
+        return factors.select("_source", F.transform("_factors", lambda w: F.lit(0.0)).alias("_factors"))
+    low, high = math.log(wanted / ends["n"]) - ends["hi"], -ends["lo"]
+    while wanted < ends["n"] and high - low > 1e-12:
         scales = [low + (high - low) * i / grid for i in range(1, grid + 1)]
         row = flat.agg(
-            *[F.sum(F.col("n") * F.least(F.lit(1.0), F.col("w") * F.lit(s))).alias(f"s{i}") for i, s in enumerate(scales)]
+            *[F.sum(F.col("n") * F.least(F.lit(1.0), F.exp(F.col("w") + F.lit(s)))).alias(f"s{i}") for i, s in enumerate(scales)]
         ).first()
         at = next((i for i in range(grid) if row[f"s{i}"] >= wanted), grid - 1)
         low, high = (scales[at - 1] if at else low), scales[at]
-    return factors.select("_source", F.transform("_factors", lambda w: F.least(F.lit(1.0), w * F.lit(high))).alias("_factors"))
+        if row[f"s{at}"] <= wanted * (1 + tolerance):
+            break
+    scaled = F.transform(
+        "_factors", lambda w: F.when(w > 0, F.least(F.lit(1.0), F.exp(F.log(w) + F.lit(high)))).otherwise(F.lit(0.0))
+    )
+    return factors.select("_source", scaled.alias("_factors"))
 
 
 def weighted(df: DataFrame, targets: Targets | None = None, topics: dict[str, str] | None = None) -> DataFrame:

@@ -491,6 +491,20 @@ def test_mixing_meets_its_targets(spark):
     assert abs(got[got._drawn]._tokens.sum() / got._tokens.sum() - 0.1) < 0.03
 
 
+def test_mixing_meets_its_budget_when_targets_contradict(spark):
+    """Most sources have English only, one of them is hot: factors end up dozens of powers of ten apart."""
+    rows = [(f"s{i}", "en", 4000 if i == 0 else 40) for i in range(30)]
+    rows += [(f"s{i}", lang, 10) for i in range(30, 40) for lang in ("en", "de", "fr", "es")]
+    df = spark.createDataFrame(rows, "source string, lang string, docs int")
+    df = df.select("source", "lang", F.explode(F.sequence(F.lit(1), "docs")).alias("i"))
+    df = df.select(F.xxhash64("source", "lang", "i").alias("doc_id"), F.expr("repeat('word ', 20 + i % 20)").alias("text"), "lang", "source")
+    for budget in (0.5, 0.02, 0.0):
+        got = mixing.weighted(df, mixing.Targets(budget=budget)).toPandas()
+        expected = (got._tokens * got._probability).sum()
+        assert abs(expected - budget * got._tokens.sum()) <= 1e-4 * got._tokens.sum(), budget
+        assert got._probability.between(0, 1).all()
+
+
 # pipeline
 
 
