@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.llm.common import sample_rows, stored, texts_in, with_columns
+from postlake.llm.common import stored, texts_in, with_columns
 
 UNKNOWN = "und"
 _BITS = 15
@@ -61,10 +61,26 @@ class TextModel:
         return (total - total.max()) / TEMPER
 
 
-def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = 3000, least: int = 5) -> TextModel:
-    """Trigram counts of at most ``sample`` labelled rows, chosen by the hash of ``key``.
+def sample_by_language(labelled: DataFrame, bound: int) -> DataFrame:
+    """Of rows (l, h, ...) at most ``bound`` distinct ones of each l, those of the smallest hash h (up to 2**52).
 
-    Languages with fewer than ``least`` rows among them are left out.
+    Hashes are uniform, so about twice ``bound`` of a language lie below a limit that follows from its
+    count; only those meet in one task, however common the language is. Every l has a row.
+    """
+    keys = stored(labelled.select("l", "h"), "labels")
+    limit = F.lit(2.0 * bound * (1 << 52)) / F.approx_count_distinct("h")
+    near = keys.join(F.broadcast(keys.groupBy("l").agg(limit.alias("_limit"))), "l").where("h <= _limit")
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    ranked = near.select("l", "h").distinct().withColumn("_n", rank).where(F.col("_n") <= bound)
+    cuts = stored(ranked.groupBy("l").agg(F.max("h").alias("_cut")), "cuts")
+    return labelled.join(F.broadcast(cuts), "l").where("h <= _cut").drop("_cut").dropDuplicates(["l", "h"])
+
+
+def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = 3000, least: int = 1) -> TextModel:
+    """Trigram counts of at most ``sample`` labelled rows of each language, chosen by the hash of ``key`` and text.
+
+    Languages are counted over the whole table. Those with fewer than ``least`` distinct rows are left out;
+    by default every declared language is in the model, which takes 128 KB for each. Repeated rows teach once.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,8 +95,10 @@ def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = 3000, least
         yield pd.DataFrame({"l": list(sums), "n": [rows[x] for x in sums], "c": [sums[x].astype("<f4").tobytes() for x in sums]}, dtype=object)
 
     name = F.lower(F.col(lang).cast("string"))
-    labelled = df.select(key, F.col(text).cast("string").alias("t"), name.alias("l")).where("l IS NOT NULL AND l <> ''")
-    found = sample_rows(labelled, key, sample).select("t", "l").coalesce(8).mapInPandas(count, "l string, n long, c binary").collect()
+    hashed = F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string"))
+    labelled = df.select(F.col(text).cast("string").alias("t"), name.alias("l"), F.pmod(hashed, F.lit(1 << 52)).alias("h"))
+    labelled = labelled.where("l IS NOT NULL AND l <> ''")
+    found = sample_by_language(labelled, sample).select("t", "l").coalesce(8).mapInPandas(count, "l string, n long, c binary").collect()
     counts: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
     for r in found:

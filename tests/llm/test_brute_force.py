@@ -298,6 +298,26 @@ def test_host_and_declared_language_decide_short_texts(spark):
     assert (found[200], found[201], found[202]) == ("en", "de", langid.UNKNOWN)
 
 
+def test_rare_languages_are_known(spark):
+    """Four rows of 6,000 are Finnish, and one of them has no id; all are in the model and named."""
+    rows = [(i, "the of and to in " * 10 + str(i), "en", "x.example") for i in range(5996)]
+    rows += [(6000 + i if i else None, f"ja on ei se että kanssa {i} " * 5, "fi", "y.example") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit(df, "doc_id", "text", "lang")
+    assert model.languages == ["en", "fi"]
+    got = langid.identify(df, model, declared=F.col("lang"), host=F.col("source"))
+    assert got.where("lang = _language").count() == 6000
+    assert langid.fit(df.where("lang = 'fi'"), "doc_id", "text", "lang").languages == ["fi"]
+
+
+def test_sample_by_language_is_bounded_and_takes_the_smallest_hashes(spark):
+    hot = spark.range(20_000).select(F.lit("a").alias("l"), F.pmod(F.xxhash64("id"), F.lit(1 << 52)).alias("h"))
+    few = spark.createDataFrame([("b", 7), ("b", 7), ("b", (1 << 52) - 1)], "l string, h long")
+    got = langid.sample_by_language(hot.unionByName(few), 100).collect()
+    assert sorted(r.h for r in got if r.l == "a") == sorted(r.h for r in hot.collect())[:100]
+    assert sorted(r.h for r in got if r.l == "b") == [7, (1 << 52) - 1]
+
+
 def test_page_parts(spark):
     rows = [(1, "https://u:p@www.Example.DE:80/a?b", "<html lang='de-AT'><script>x</script><p>Hallo&amp;</p>"), (2, None, None)]
     got = langid.page_parts(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
