@@ -215,23 +215,20 @@ def near_links(fps: DataFrame, radius: int, check_radius: int = 64, bound: int =
 
 
 def near_groups(docs: DataFrame, radius: int = 2, check_radius: int = 64, bound: int = SHARD) -> DataFrame:
-    """For each distinct fingerprint of ``docs`` (doc_id, fp[, check]): (fp[, check], component_id).
+    """For each distinct fingerprint of ``docs`` (doc_id, fp[, check]): (fp, root, component_id).
 
     ``component_id`` is the smallest doc_id of all documents that chains of links reach; null if
-    none of them has a doc_id.
+    none of them has a doc_id. ``root`` is the component's smallest fingerprint and never null.
     """
     key = ["fp", *(["check"] if "check" in docs.columns else [])]
     texts = stored(docs.groupBy(*key).agg(F.min("doc_id").alias("first_id")), "fingerprints")
     found = near_links(texts.select(*key), radius, check_radius, bound)
     label = components(found)
     own = texts.groupBy("fp").agg(F.min("first_id").alias("first_id"))
-    named = own.join(label.select(F.col("node").alias("fp"), "root"), "fp")
+    named = own.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    named = named.withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = named.join(least, "root").select("fp", "component_id")
-    return (
-        own.join(linked.withColumn("_on", F.lit(True)), "fp", "left")
-        .select("fp", F.when(F.col("_on"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
-    )
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
@@ -255,7 +252,7 @@ def drop_near_copies(
     Two documents are near copies when their fingerprints differ in at most ``radius`` bits and
     second fingerprints, made with another seed, in at most ``check_radius``. The second keeps
     unrelated documents apart, which the first alone would link now and then in a large corpus.
-    All columns of ``df`` stay as they are.
+    Documents without a doc_id go only for a near copy of theirs. All columns of ``df`` stay as they are.
     """
     columns = df.columns
 
@@ -269,7 +266,7 @@ def drop_near_copies(
 
     rows = stored(keys(marked(df.select(doc_id, text))), "documents")
     groups = near_groups(rows, radius, check_radius)
-    best = rows.join(groups, "fp").groupBy("component_id").agg(
+    best = rows.join(groups, "fp").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "fp", "check")).alias("_one")
     )
     kept = best.select(

@@ -174,6 +174,15 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert sum(100 <= d < 200 for d in kept) <= 1
 
 
+def test_unlike_documents_without_ids_stay(spark):
+    rnd = random.Random(5)
+    clean = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(200)) for _ in range(12)]
+    rows = [(None, t) for t in clean] + [(None, clean[0]), (7, clean[1]), (8, clean[1])]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted(clean)
+    assert [r.doc_id for r in kept if r.doc_id is not None] == [7]
+
+
 # bottom-k sketches
 
 
