@@ -180,34 +180,6 @@ def assign_ids(new: DataFrame, known: DataFrame, keys: Sequence[str], id_col: st
     )
 
 
-def upsert_sites(sites: DataFrame, runs: DataFrame) -> DataFrame:
-    """New version of the site table.
-
-    ``runs(url, final_url, type, confidence, seq)``: a run updates the site known by its given
-    URL, else by its final URL, else adds one. The last run of a site wins. Domains stay unique: where
-    an update would give two sites one domain, the site with the smaller id keeps it and the other goes.
-    """
-    by_given = sites.select(F.col("domain").alias("url"), F.col("id").alias("_by_url"))
-    by_final = sites.select(F.col("domain").alias("final_url"), F.col("id").alias("_by_final"))
-    matched = (
-        runs.join(by_given, "url", "left")
-        .join(by_final, "final_url", "left")
-        .withColumn("id", F.coalesce("_by_url", "_by_final"))
-    )
-    target = F.coalesce(F.concat(F.lit("#"), F.col("id").cast("string")), F.col("final_url"))
-    last = dedupe_first(matched.withColumn("_target", target), ["_target"], [F.desc("seq")])
-    fields = ("id", F.col("final_url").alias("domain"), "type", "confidence")
-    values = ("domain", "type", "confidence")
-    found = last.select("id", F.col("final_url").alias("domain"), "type", "confidence")
-    updates = found.where(F.col("id").isNotNull()).select("id", F.struct(*values).alias("_new"))
-    known = sites.join(updates, "id", "left").select(
-        "id", *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in values]
-    )
-    inserts = found.where(F.col("id").isNull()).drop("id")
-    every = known.unionByName(assign_ids(inserts, sites, ["domain"]).select("id", *values))
-    return dedupe_first(every, ["domain"], ["id"])
-
-
 def clean_batch(batch: DataFrame, order: str = "seq") -> DataFrame:
     """Rows with a title and a URL; the last one per site and URL."""
     rows = batch.withColumns(

@@ -11,6 +11,7 @@ from postlake.operators import dedupe as dd
 from postlake.operators import html as h
 from postlake.operators import merge as mg
 from postlake.operators import records as rec
+from postlake.operators import sites as si
 from postlake.plans.page_queries import with_posting
 from postlake.plans.registry import Tables, query
 from postlake.plans.url_queries import ANCHOR_SQL, DOMAIN_SQL, ORIGIN_SQL, form
@@ -220,17 +221,30 @@ def _(t: Tables) -> DataFrame:
     return mg.route_details(rows).select("doc_id", "route")
 
 
-# Numbering as `assign_ids` defines it: by hash bucket, then by key.
-UPSERT_SITES_SQL = """
-  sites AS (SELECT c_custkey AS id, c_name AS domain, 'unknown' AS type, 0::DOUBLE AS confidence FROM customer),
-  runs AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'https://g' || o_custkey ELSE 'Customer#' || lpad((o_custkey)::VARCHAR, 9, '0') END AS url,
-      CASE WHEN o_orderkey % 2 = 0 THEN 'https://f' || o_custkey ELSE 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') END AS final_url,
-      o_orderpriority AS type, o_orderkey / 1000 AS confidence FROM orders),
-  m AS (SELECT runs.*, coalesce(a.id, b.id) AS id FROM runs LEFT JOIN sites a ON a.domain = runs.url LEFT JOIN sites b ON b.domain = runs.final_url),
-  l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY coalesce('#' || id, final_url) ORDER BY seq DESC) = 1),
-  merged AS (SELECT id, domain, type, confidence FROM sites WHERE id NOT IN (SELECT id FROM l WHERE id IS NOT NULL)
-    UNION ALL SELECT id, final_url, type, confidence FROM l WHERE id IS NOT NULL
-    UNION ALL SELECT (SELECT max(id) FROM sites) + (row_number() OVER (PARTITION BY left(md5(final_url), 3) ORDER BY final_url) - 1) * 4096 + ('0x' || left(md5(final_url), 3))::BIGINT + 1, final_url, type, confidence FROM l WHERE id IS NULL)"""
+def chained_sites_sql(sites: str, runs: str) -> str:
+    """Runs (grp, seq, url, final_url, type, confidence) applied one by one to the sites of their group.
+
+    New sites are numbered as `assign_ids` defines it: by hash bucket, then by key.
+    """
+    hit = lambda name: f"len(list_filter(held, lambda x: x.domain = {name})) > 0"
+    put = lambda name: (
+        f"list_transform(held, lambda x: CASE WHEN x.domain = {name} THEN "
+        "{'id': x.id, 'domain': r.final_url, 'type': r.type, 'confidence': r.confidence} ELSE x END)"
+    )
+    return f"""WITH RECURSIVE sites AS ({sites}), runs AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY seq) AS step FROM ({runs})),
+  walk AS (
+    SELECT grp, 0::BIGINT AS step, list({{'id': id, 'domain': domain, 'type': type, 'confidence': confidence}}) AS held FROM sites GROUP BY grp
+    UNION ALL
+    SELECT w.grp, r.step, CASE
+        WHEN {hit('r.url')} AND r.url <> r.final_url AND {hit('r.final_url')} THEN held
+        WHEN {hit('r.url')} THEN {put('r.url')}
+        WHEN {hit('r.final_url')} THEN {put('r.final_url')}
+        ELSE list_append(held, {{'id': NULL, 'domain': r.final_url, 'type': r.type, 'confidence': r.confidence}}) END
+    FROM walk w JOIN runs r ON r.grp = w.grp AND r.step = w.step + 1
+  ), ended AS (SELECT unnest(held) AS s FROM walk QUALIFY row_number() OVER (PARTITION BY grp ORDER BY step DESC) = 1)
+  SELECT coalesce(s.id, (SELECT max(id) FROM sites)
+      + (row_number() OVER (PARTITION BY s.id IS NULL, left(md5(s.domain), 3) ORDER BY s.domain) - 1) * 4096
+      + ('0x' || left(md5(s.domain), 3))::BIGINT + 1) AS id, s.domain AS domain, s.type AS type, s.confidence AS confidence FROM ended"""
 
 
 def site_table(t: Tables) -> DataFrame:
@@ -239,7 +253,16 @@ def site_table(t: Tables) -> DataFrame:
     )
 
 
-@query("upsert_sites", f"WITH {UPSERT_SITES_SQL} SELECT id, domain, type, confidence FROM merged QUALIFY row_number() OVER (PARTITION BY domain ORDER BY id) = 1")
+@query(
+    "upsert_sites",
+    chained_sites_sql(
+        "SELECT c_custkey AS grp, c_custkey AS id, c_name AS domain, 'unknown' AS type, 0::DOUBLE AS confidence FROM customer",
+        """SELECT o_custkey AS grp, o_orderkey AS seq, o_orderpriority AS type, o_orderkey / 1000 AS confidence,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'https://g' || o_custkey ELSE 'Customer#' || lpad((o_custkey)::VARCHAR, 9, '0') END AS url,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'https://f' || o_custkey ELSE 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') END AS final_url
+        FROM orders""",
+    ),
+)
 def _(t: Tables) -> DataFrame:
     n, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     known = F.concat(F.lit("Customer#"), F.lpad(cust, 9, "0"))
@@ -250,7 +273,35 @@ def _(t: Tables) -> DataFrame:
         F.col("o_orderpriority").alias("type"),
         (n / 1000).alias("confidence"),
     )
-    return mg.upsert_sites(site_table(t), runs)
+    return si.upsert_sites(site_table(t), runs)
+
+
+EVENT_SITES_SQL = """SELECT DISTINCT user_id AS grp, user_id * 3 + k AS id, 's' || user_id || '-' || k AS domain,
+  'unknown' AS type, 0::DOUBLE AS confidence FROM events, (SELECT unnest(range(3)) AS k)"""
+EVENT_RUNS_SQL = """SELECT user_id AS grp, event_id AS seq, 's' || user_id || '-' || floor(value)::BIGINT % 7 AS url,
+  's' || user_id || '-' || event_id % 9 AS final_url, event_type AS type, value AS confidence FROM events"""
+
+
+def event_runs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Three sites a user, and a run per event among nine names of its user: chains, returns and conflicts."""
+    user, name = F.col("user_id"), lambda k: F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), k.cast("string"))
+    sites = t.events.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    sites = sites.select(
+        (user * 3 + F.col("k")).alias("id"), name(F.col("k")).alias("domain"), F.lit("unknown").alias("type"), F.lit(0.0).alias("confidence")
+    )
+    runs = t.events.select(
+        F.col("event_id").alias("seq"),
+        name(F.floor("value") % 7).alias("url"),
+        name(F.col("event_id") % 9).alias("final_url"),
+        F.col("event_type").alias("type"),
+        F.col("value").alias("confidence"),
+    )
+    return sites, runs
+
+
+@query("upsert_sites_chained", chained_sites_sql(EVENT_SITES_SQL, EVENT_RUNS_SQL))
+def _(t: Tables) -> DataFrame:
+    return si.upsert_sites(*event_runs(t))
 
 
 JOBS_SQL = """

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "postlake") -> SparkSession:
@@ -49,6 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return made
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: its lineage ends there, whatever executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, for clusters where it is not installed.
 

@@ -38,17 +38,6 @@ def test_new_ids_are_unique_and_the_same_for_any_partitioning(spark):
     assert len(set(ids)) == 500 and min(ids) > 41
 
 
-def test_upsert_sites_matches_given_url_first(spark):
-    sites = spark.createDataFrame([(1, "https://a", "X", 0.1), (2, "https://b", "X", 0.1)], SITES)
-    runs = spark.createDataFrame(
-        [("https://a", "https://a2", "T1", 0.5, 1), ("b", "https://b", "T2", 0.6, 2), ("https://n", "https://n2", "UNKNOWN", 0.0, 3), ("https://n", "https://n2", "T4", 0.9, 4)],
-        "url string, final_url string, type string, confidence double, seq long",
-    )
-    out = mg.upsert_sites(sites, runs)
-    assert rows(out, "domain", "type") == [("https://a2", "T1"), ("https://b", "T2"), ("https://n2", "T4")]
-    assert rows(out.where("id < 3"), "id", "domain") == [(1, "https://a2"), (2, "https://b")]
-
-
 def test_merge_delta_priority(spark):
     base = spark.createDataFrame([(1, "T", "S", ["a"]), (2, "", "S", [])], "page_id long, title string, salary string, skills array<string>")
     delta = spark.createDataFrame([(1, "X", "", ["b"], "B"), (2, "Y", "Z", [], "")], "page_id long, title string, salary string, skills array<string>, about string")
@@ -206,9 +195,3 @@ def test_a_repeated_detail_gives_one_row(spark):
     details = spark.createDataFrame([("u1", "B"), ("u1", "A")], "url string, title string")
     for merge in (mg.merge_api_detail, mg.merge_dom_detail, mg.with_defaults):
         assert [r.title for r in merge(listings, details, order=("title",)).collect()] == ["A"] if merge is not mg.with_defaults else merge(listings, details).count() == 1
-
-
-def test_two_sites_never_share_a_domain(spark):
-    sites = spark.createDataFrame([(1, "a", "T", 0.1), (2, "b", "T", 0.2)], "id long, domain string, type string, confidence double")
-    runs = spark.createDataFrame([("a", "b", "N", 0.9, 1)], "url string, final_url string, type string, confidence double, seq long")
-    assert [(r.id, r.domain, r.type) for r in mg.upsert_sites(sites, runs).collect()] == [(1, "b", "N")]
