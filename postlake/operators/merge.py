@@ -161,6 +161,12 @@ def empty_of(kind: T.DataType) -> Column:
 # --- F7 - F10 ---------------------------------------------------------------
 
 
+def id_bucket(keys: Sequence[str]) -> Column:
+    """One of ``ID_BUCKETS`` buckets of a key hash."""
+    hashed = F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))
+    return F.conv(F.substring(hashed, 1, 3), 16, 10).cast("long")
+
+
 def assign_ids(new: DataFrame, known: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
     """Unique ids after the largest known id, the same on every retry.
 
@@ -168,12 +174,10 @@ def assign_ids(new: DataFrame, known: DataFrame, keys: Sequence[str], id_col: st
     so one shuffle suffices and no task ever sees all rows. ``keys`` are unique, hence buckets
     are even and the ids nearly dense.
     """
-    hashed = F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))
-    bucket = F.conv(F.substring(hashed, 1, 3), 16, 10).cast("long")
     top = known.agg(F.coalesce(F.max(id_col).cast("long"), F.lit(0).cast("long"))).scalar()
     inside = Window.partitionBy("_bucket").orderBy(*keys)
     return (
-        new.withColumn("_bucket", bucket)
+        new.withColumn("_bucket", id_bucket(keys))
         .withColumn("_rn", F.row_number().over(inside).cast("long") - 1)
         .withColumn(id_col, top + F.col("_rn") * ID_BUCKETS + F.col("_bucket") + 1)
         .drop("_bucket", "_rn")
@@ -207,6 +211,30 @@ def upsert_jobs(jobs: DataFrame, batch: DataFrame, order: str = "seq") -> DataFr
     return known.unionByName(added)
 
 
+def merge_jobs(known: DataFrame, fresh: DataFrame, base: int) -> DataFrame:
+    """Known jobs and a cleaned batch, one row per site and URL, by one full join.
+
+    Ids above ``base`` were given here: the n-th new key of a hash bucket has n * ID_BUCKETS plus its
+    bucket. So the known jobs of the same buckets tell where to go on, and no other job is looked at.
+    """
+    key, values = ["site_id", "url"], ["title", "location", "raw_json"]
+    joined = known.join(fresh.select(*key, F.struct(*values).alias("_new")), key, "full").select(
+        "id",
+        *key,
+        *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in values],
+        id_bucket(key).alias("_bucket"),
+    )
+    # Within a bucket, known jobs come first; the highest number given so far is known once they are read.
+    given = F.when(F.col("id") > base, F.floor((F.col("id") - base - 1) / ID_BUCKETS) + 1).otherwise(0)
+    all_of = Window.partitionBy("_bucket")
+    in_order = all_of.orderBy(F.col("id").isNull(), *key)
+    new = F.sum(F.col("id").isNull().cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    number = F.max(given).over(all_of) + new - 1
+    made = F.lit(base) + number * ID_BUCKETS + F.col("_bucket") + 1
+    columns = ["id", "site_id", "title", "location", "url", "raw_json"]
+    return joined.withColumn("id", F.coalesce("id", made)).select(columns)
+
+
 def site_jobs(jobs: DataFrame, sites: DataFrame) -> DataFrame:
     """Jobs with their site; a plain equi join, broadcast only when Spark finds it small."""
     return jobs.join(

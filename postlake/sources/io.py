@@ -1,10 +1,10 @@
-"""Scans, sinks and versioned tables."""
+"""Scans, sinks and tables."""
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -15,6 +15,8 @@ from postlake.functions import jsonv as jv
 from postlake.functions import lexicons as lex
 from postlake.functions.text import or_empty
 from postlake.operators.dedupe import drop_duplicate_urls
+from postlake.operators.merge import ID_BUCKETS, clean_batch, id_bucket, merge_jobs
+from postlake.session import stored
 
 # Names of landed files.
 SNAPSHOT_NAME = r"^=?(.*)_(\d{8}_\d{6})\.html$"
@@ -59,11 +61,12 @@ def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/*", "file:///", uri)))
 
 
-def _hidden_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """Captures of older writers under names that Spark's sources skip (``_R1_...``).
+def convert_hidden_names(spark: SparkSession, root: str, suffix: str = ".html") -> int:
+    """Rename captures of older writers, whose names Spark's sources skip (``_R1_...``); returns how many.
 
-    One task lists the domain folders, tasks list one folder each, the paths are spread evenly,
-    and tasks read the files; no list passes through the driver.
+    Run it once per folder of such captures: afterwards `read_page_snapshots` and `stream_pages` see
+    them all. One task lists the domain folders and tasks rename the files of one folder each, so no
+    list passes through the driver. A task that runs again finds its finished renames done.
     """
 
     def list_domains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,36 +77,29 @@ def _hidden_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
                 names = [f"{uri}/{f.base_name}" for f in found if f.type == pafs.FileType.Directory]
                 yield pa.RecordBatch.from_pydict({"uri": pa.array(names, pa.string())})
 
-    def list_folder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done = 0
             for uri in batch.column(0).to_pylist():
                 store, folder = _open_fs(uri)
-                names = [
-                    f"{uri}/{f.base_name}"
-                    for f in store.get_file_info(pafs.FileSelector(folder))
-                    if f.base_name.startswith(("_", ".")) and f.base_name.endswith(suffix)
-                ]
-                yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
-
-    def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                store, name = _open_fs(uri)
-                with store.open_input_stream(name) as f:
-                    text = f.read().decode("utf-8", "replace")
-                yield pa.RecordBatch.from_pydict({"path": [uri], "value": [text]})
+                for f in store.get_file_info(pafs.FileSelector(folder)):
+                    if f.base_name.startswith(("_", ".")) and f.base_name.endswith(suffix):
+                        store.move(f.path, f"{folder}/={f.base_name}")
+                        done += 1
+            yield pa.RecordBatch.from_pydict({"n": pa.array([done], pa.int64())})
 
     top = spark.createDataFrame([(_qualified(spark, root),)], "uri string")
     folders = top.mapInArrow(list_domains, "uri string").repartition("uri")
-    paths = folders.mapInArrow(list_folder, "path string")
-    return paths.repartition("path").mapInArrow(read_files, "path string, value string")
+    return folders.mapInArrow(rename, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_page_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """Landed pages ``{domain}/{job_id}_{stamp}.html``, one row per file.
 
     Job ids taken from posting URLs start with an underscore; `write_page_snapshots` puts ``=``
-    before it, which is no part of the id. Files without it are read too.
+    before it, which is no part of the id (`convert_hidden_names` does so for older captures).
+    Landed files are many and small: `compact_pages` moves them into Parquet, and this reads what
+    has not been moved yet.
     """
     files = (
         spark.read.format("text")
@@ -113,8 +109,30 @@ def read_page_snapshots(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
-    every = files.unionByName(_hidden_files(spark, root, ".html"))
-    return every.select(*snapshot_columns(F.col("path"), F.col("value")))
+    return files.select(*snapshot_columns(F.col("path"), F.col("value")))
+
+
+def add_compacted(pages: DataFrame, store: str, part: str) -> None:
+    """Write pages into the Parquet store by capture day, as the part of that name.
+
+    The same part written again replaces itself, so a repeated batch adds nothing. A hot day is
+    split over tasks. Pages without a readable stamp lie under the day ``unknown``.
+    """
+    day = F.coalesce(F.date_format("captured_at", "yyyy-MM-dd"), F.lit("unknown"))
+    (
+        pages.withColumns({"day": day, "part": F.lit(part)})
+        .hint("rebalance", "day")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day", "part")
+        .parquet(store)
+    )
+
+
+def read_compacted(spark: SparkSession, store: str) -> DataFrame:
+    """Pages of the Parquet store; a filter on ``day`` reads that day's files only."""
+    schema = "domain string, job_id string, captured_at timestamp, html string, day string, part string"
+    return spark.read.schema(schema).parquet(store).drop("part")
 
 
 def write_page_snapshots(pages: DataFrame, root: str) -> None:
@@ -269,40 +287,48 @@ def envelopes(
     )
 
 
-def _write_json(df: DataFrame, root: str, by: Sequence[str], mode: str) -> None:
-    """JSON lines in one folder per value; a rebalance splits hot values over tasks."""
+def _run_folder(root: str, run: str) -> str:
+    return f"{root.rstrip('/')}/run_dir={quote(run, safe='')}"
+
+
+def _write_json(df: DataFrame, root: str, run: str, by: Sequence[str]) -> None:
+    """JSON lines of a run, in one folder per value; a rebalance splits hot values over tasks.
+
+    The run's folder is written whole, so a run that is repeated replaces what it left before.
+    """
     folders = {f"{c}_dir": F.col(c) for c in by}
-    df.withColumns(folders).hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).json(root)
+    rows = df.withColumns(folders).hint("rebalance", *folders)
+    rows.write.mode("overwrite").partitionBy(*folders).json(_run_folder(root, run))
 
 
 def write_scrape_results(
     jobs: DataFrame,
     root: str,
+    run: str,
     fields: Sequence[str] = ("title", "location", "url"),
     metadata: Column | None = None,
-    mode: str = "append",
     **options: object,
 ) -> None:
     extra = {"metadata": metadata} if metadata is not None else None
-    _write_json(envelopes(jobs, fields, constants=extra, **options), root, ["domain"], mode)
+    _write_json(envelopes(jobs, fields, constants=extra, **options), root, run, ["domain"])
 
 
-def write_api_responses(df: DataFrame, root: str, api_type: str, mode: str = "append") -> None:
+def write_api_responses(df: DataFrame, root: str, run: str, api_type: str) -> None:
     labelled = df.withColumn("source", F.lit(f"{api_type}_response"))
-    _write_json(labelled, root, ["domain", "source"], mode)
+    _write_json(labelled, root, f"{run}-{api_type}", ["domain", "source"])
 
 
-def write_job_details(details: DataFrame, root: str, fields: Sequence[str], mode: str = "append", **options: object) -> None:
+def write_job_details(details: DataFrame, root: str, run: str, fields: Sequence[str], **options: object) -> None:
     keys = ("domain", "site_type", "listing_jobs_found", "listing_status")
     rows = envelopes(details, fields, keys, constants={"saved_at": F.current_timestamp()}, **options)
-    _write_json(rows.withColumn("kind", F.lit("full_json")), root, ["domain", "kind"], mode)
+    _write_json(rows.withColumn("kind", F.lit("full_json")), root, run, ["domain", "kind"])
 
 
-def write_samples(details: DataFrame, root: str, fields: Sequence[str], mode: str = "append", **options: object) -> None:
+def write_samples(details: DataFrame, root: str, run: str, fields: Sequence[str], **options: object) -> None:
     rows = envelopes(
         details, fields, ("domain", "site_type"), constants={"scraped_at": F.current_timestamp()}, **options
     )
-    _write_json(rows, root, ["domain"], mode)
+    _write_json(rows, root, run, ["domain"])
 
 
 def safe_domain(c: Column) -> Column:
@@ -316,14 +342,14 @@ def payload_rows(df: DataFrame, domain: str = "domain", payload: str = "payload"
     ).withColumn("safe_domain", safe_domain(F.col(domain)))
 
 
-def write_payloads(df: DataFrame, root: str, domain: str = "domain", payload: str = "payload", mode: str = "append") -> None:
+def write_payloads(df: DataFrame, root: str, run: str, domain: str = "domain", payload: str = "payload") -> None:
     rows = payload_rows(df, domain, payload).select("safe_domain", F.col(payload).alias("value"))
     (
         rows.hint("rebalance", "safe_domain")
-        .write.mode(mode)
+        .write.mode("overwrite")
         .partitionBy("safe_domain")
         .option("lineSep", RECORD_END)
-        .text(root)
+        .text(_run_folder(root, run))
     )
 
 
@@ -333,87 +359,101 @@ def read_payloads(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-# --- A11: versioned tables --------------------------------------------------
+# --- A11: site and job tables ----------------------------------------------
 
 SITES_SCHEMA = "id long, domain string, type string, confidence double"
 JOBS_SCHEMA = "id long, site_id long, title string, location string, url string, raw_json string"
+JOB_KEY = ("site_id", "url")
+#: Folders of the job table; a batch rewrites those that hold its keys. Divides `merge.ID_BUCKETS`.
+BUCKETS = 64
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Finished versions of a table, by their success markers."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS"))
-    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in (done or []))
+def _folder(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/{name}"
 
 
-def current_version(spark: SparkSession, root: str, name: str) -> int:
-    found = _versions(spark, f"{root}/{name}")
-    return found[-1] if found else 0
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), made
 
 
-def read_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """Newest finished version; an empty frame before the first write."""
-    version = current_version(spark, root, name)
-    if version == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{name}/version={version}")
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, made = _hadoop(spark, path)
+    return files.exists(made)
 
 
-def _claim(spark: SparkSession, folder: str, version: int, writer: str) -> None:
-    """Take a version for one writer; another one that wants it too gets an error, no lost update."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/_claims/{version}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        if spark.read.text(path.toString()).first().value != writer:
-            raise RuntimeError(f"another writer has taken version {version} of {folder}; remove {path} if it is dead")
-        return
-    out = fs.create(path, False)
-    out.write(bytearray(writer.encode()))
-    out.close()
+def _finish(spark: SparkSession, root: str, name: str) -> None:
+    """Move staged buckets into the table, if a batch was staged whole.
 
+    Doing so again changes nothing, so a crash on the way is mended by the next call.
+    """
+    staged = f"{_folder(root, name)}.staged"
+    if _exists(spark, f"{staged}/_SUCCESS"):
+        (
+            spark.read.parquet(staged)
+            .hint("rebalance", "bucket")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket")
+            .parquet(_folder(root, name))
+        )
+        files, made = _hadoop(spark, staged)
+        files.delete(made, True)
 
-def write_table(
-    df: DataFrame, root: str, name: str, version: int | None = None, writer: str | None = None
-) -> int:
-    """Write the next version of a table; readers keep the old one until it is complete.
 
-    ``writer`` names who writes; after a crash the same name may write the version again.
-    """
-    spark = df.sparkSession
-    number = version if version is not None else current_version(spark, root, name) + 1
-    _claim(spark, f"{root}/{name}", number, writer or uuid.uuid4().hex)
-    df.write.mode("overwrite").parquet(f"{root}/{name}/version={number}")
-    return number
-
-
-def applied_batches(spark: SparkSession, root: str, name: str) -> dict[str, int]:
-    """Last applied batch of each stream, as of the newest finished version."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_batches")
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    known = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_batches/*/_SUCCESS"))
-    newest = current_version(spark, root, name)
-    numbers = [int(s.getPath().getParent().getName()) for s in (known or [])]
-    done = [n for n in numbers if n <= newest]
-    if not done:
-        return {}
-    rows = spark.read.json(f"{root}/{name}/_batches/{max(done)}", schema="stream string, batch long").collect()
-    return {r.stream: r.batch for r in rows}
-
-
-def write_batch(df: DataFrame, root: str, name: str, stream: str, batch: int) -> int:
-    """Write the version that holds a stream's batch. The note of the batch goes first and counts
-    only once the version is finished, so a crash between the two leaves the batch to be replayed."""
-    spark = df.sparkSession
-    number = current_version(spark, root, name) + 1
-    writer = f"stream {stream}"
-    _claim(spark, f"{root}/{name}", number, writer)
-    applied = applied_batches(spark, root, name) | {stream: batch}
-    notes = spark.createDataFrame(sorted(applied.items()), "stream string, batch long")
-    notes.coalesce(1).write.mode("overwrite").json(f"{root}/{name}/_batches/{number}")
-    return write_table(df, root, name, number, writer)
+def _replace(rows: DataFrame, root: str, name: str) -> None:
+    """Put rows in place of the buckets that they lie in; a large bucket is written by several tasks."""
+    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{_folder(root, name)}.staged")
+    _finish(rows.sparkSession, root, name)
+
+
+def _table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    _finish(spark, root, name)
+    if not _exists(spark, _folder(root, name)):
+        return spark.createDataFrame([], f"{schema}, bucket int")
+    return spark.read.schema(f"{schema}, bucket int").parquet(_folder(root, name))
+
+
+def read_sites(spark: SparkSession, root: str) -> DataFrame:
+    return _table(spark, root, "sites", SITES_SCHEMA).drop("bucket")
+
+
+def write_sites(sites: DataFrame, root: str) -> None:
+    """Write a new state of the site table, which never loses a site. It is small beside the jobs and written whole."""
+    kept = sites.select("id", "domain", "type", "confidence", F.pmod("id", F.lit(BUCKETS)).cast("int").alias("bucket"))
+    _replace(kept, root, "sites")
+
 
+def _job_bucket() -> Column:
+    return F.floor(id_bucket(JOB_KEY) / F.lit(ID_BUCKETS // BUCKETS)).cast("int")
 
+
+def create_jobs(jobs: DataFrame, root: str) -> None:
+    """Start the job table with the given jobs. New ids begin after their largest, which is noted beside it."""
+    jobs.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("base")).write.mode("overwrite").parquet(_folder(root, "jobs_base"))
+    _replace(jobs.withColumn("bucket", _job_bucket()), root, "jobs")
+
+
+def read_jobs(spark: SparkSession, root: str) -> DataFrame:
+    return _table(spark, root, "jobs", JOBS_SCHEMA).drop("bucket")
+
+
+def upsert_into_jobs(batch: DataFrame, root: str, order: str = "seq") -> None:
+    """Apply a batch to the job table: known jobs (site and URL) are updated, others added.
+
+    The table is plain Parquet in ``BUCKETS`` folders by a hash of its key, so that only the folders
+    that the batch's keys lie in are read and rewritten, and a site with very many jobs is spread. They
+    are staged first and moved then. The table has one writer at a time; a batch that is applied again
+    right after itself finds its keys and changes nothing.
+    """
+    spark = batch.sparkSession
+    fresh = clean_batch(batch, order).select(*JOB_KEY, "title", "location", "raw_json")
+    fresh = stored(fresh.withColumn("bucket", _job_bucket()), "batch")
+    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
+    if not touched:
+        return
+    known = _table(spark, root, "jobs", JOBS_SCHEMA).where(F.col("bucket").isin(touched))
+    noted = _folder(root, "jobs_base")
+    base = spark.read.parquet(noted).first().base if _exists(spark, noted) else 0
+    merged = merge_jobs(known.drop("bucket"), fresh.drop("bucket"), base)
+    _replace(merged.withColumn("bucket", _job_bucket()), root, "jobs")

@@ -2,61 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postlake.operators.dedupe import listing_key
-from postlake.operators.merge import upsert_jobs
-from postlake.sources.io import (
-    JOBS_SCHEMA,
-    applied_batches,
-    read_table,
-    snapshot_columns,
-    write_batch,
-)
-
-
-def stream_pages(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:
-    """New page snapshots as a stream of `read_page_snapshots` rows, as `write_page_snapshots` lands them."""
-    files = (
+from postlake.sources.io import add_compacted, snapshot_columns, upsert_into_jobs
+
+
+def stream_pages(spark: SparkSession, root: str, max_files: int = 10_000, archive: str | None = None) -> DataFrame:
+    """New page snapshots as a stream of `read_page_snapshots` rows, as `write_page_snapshots` lands them.
+
+    With ``archive``, files move there once the batch after theirs is planned, and are not listed again.
+    """
+    reader = (
         spark.readStream.format("text")
         .option("wholetext", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.html")
         .option("maxFilesPerTrigger", max_files)
-        .load(root)
     )
-    return files.select(*snapshot_columns(F.col("_metadata.file_path"), F.col("value")))
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.load(root).select(*snapshot_columns(F.col("_metadata.file_path"), F.col("value")))
 
 
-def upsert_batch(
-    root: str, table: str = "jobs", order: str = "seq", stream: str = ""
-) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that applies one micro-batch to the job table.
+def compact_pages(
+    spark: SparkSession, landed: str, store: str, checkpoint: str, archive: str, max_files: int = 10_000
+) -> StreamingQuery:
+    """Add all pages that have landed since the last call to a Parquet store by capture day, then stop.
 
-    The table notes the last batch of each stream with its versions. A batch that is replayed after
-    a failure is at or below its stream's note and changes nothing; batches of another stream, and
-    of a table that was written before, are applied. ``stream`` names the stream for good: its
-    checkpoint serves.
+    Land one folder per period (an hour, a day) and give each its own checkpoint. Listing a folder
+    costs what has landed there and is not archived yet, and the stream's log names the files of one
+    period; when a period is over, its checkpoint and archive can go, and nothing grows with all pages
+    ever landed. A batch is the part ``period-batch`` of the store: replayed, it replaces itself.
     """
+    period = landed.rstrip("/").rsplit("/", 1)[-1]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if applied_batches(spark, root, table).get(stream, -1) >= batch_id:
-            return
-        before = read_table(spark, root, table, JOBS_SCHEMA)
-        write_batch(upsert_jobs(before, batch, order), root, table, stream, batch_id)
+        add_compacted(batch, store, f"{period}-{batch_id}")
 
-    return apply
+    return (
+        stream_pages(spark, landed, max_files, archive)
+        .writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stream_upsert(stream: DataFrame, root: str, checkpoint: str, order: str = "seq") -> StreamingQuery:
+    """Apply all that is available to the job table, then stop.
 
+    The checkpoint orders the batches; the last one may be replayed after a failure, which changes nothing.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        upsert_into_jobs(batch, root, order)
 
-def stream_upsert(stream: DataFrame, root: str, checkpoint: str, table: str = "jobs", order: str = "seq") -> StreamingQuery:
-    """Run the upsert over everything available, then stop."""
     return (
-        stream.writeStream.foreachBatch(upsert_batch(root, table, order, checkpoint))
+        stream.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -35,23 +35,53 @@ def test_streamed_upsert_equals_the_batch_upsert(spark, tmp_path):
     stream = batches(spark, str(tmp_path / "in"))
     root = str(tmp_path / "db")
     st.stream_upsert(stream, root, str(tmp_path / "c")).awaitTermination()
-    got = io.read_table(spark, root, "jobs", io.JOBS_SCHEMA)
+    got = io.read_jobs(spark, root)
     all_rows = spark.read.schema(BATCH).parquet(str(tmp_path / "in"))
     want = upsert_jobs(spark.createDataFrame([], io.JOBS_SCHEMA), all_rows)
     key = ("site_id", "url", "title")
     assert sorted(tuple(r[c] for c in key) for r in got.collect()) == sorted(tuple(r[c] for c in key) for r in want.collect())
-    assert io.current_version(spark, root, "jobs") == 2
 
 
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "db")
-    apply = st.upsert_batch(root)
     batch = spark.createDataFrame([(1, 1, "a", "l", "u1", "{}")], BATCH)
-    apply(batch, 0)
-    before = io.read_table(spark, root, "jobs", io.JOBS_SCHEMA).collect()
-    apply(batch, 0)
-    assert io.current_version(spark, root, "jobs") == 1
-    assert io.read_table(spark, root, "jobs", io.JOBS_SCHEMA).collect() == before
+    io.upsert_into_jobs(batch, root)
+    before = io.read_jobs(spark, root).collect()
+    io.upsert_into_jobs(batch, root)
+    assert io.read_jobs(spark, root).collect() == before
+
+
+def page_rows(spark, names):
+    at = F.to_timestamp(F.lit("2026-04-06 11:24:46"))
+    return spark.createDataFrame([("h.com", n, f"<p>{n}") for n in names], "domain string, job_id string, html string").withColumn("captured_at", at)
+
+
+def test_compaction_archives_what_it_has_read(spark, tmp_path):
+    landed, store, mark, kept = (str(tmp_path / n) for n in ("p1", "store", "c", "kept"))
+
+    def compact(names):
+        io.write_page_snapshots(page_rows(spark, names), landed)
+        st.compact_pages(spark, landed, store, mark, kept, max_files=2).awaitTermination()
+        return {r.job_id for r in io.read_compacted(spark, store).collect()}
+
+    first = ["_a", "b", "c", "d", "e"]
+    assert compact(first) == set(first)
+    # The files of all batches but the last are gone from the folder, so they are not listed again.
+    assert len(list((tmp_path / "p1").rglob("*.html"))) == 1 and len(list((tmp_path / "kept").rglob("*.html"))) == 4
+    assert compact(["f"]) == {*first, "f"}
+    assert io.read_compacted(spark, store).count() == 6
+    assert len(list((tmp_path / "p1").rglob("*.html"))) == 1
+    assert io.read_page_snapshots(spark, landed).count() == 1
+    assert {str(r.day) for r in io.read_compacted(spark, store).collect()} == {"2026-04-06"}
+
+
+def test_a_compacted_part_replaces_itself(spark, tmp_path):
+    store = str(tmp_path / "store")
+    odd = page_rows(spark, ["x"]).withColumn("captured_at", F.lit(None).cast("timestamp"))
+    for rows, part in ((page_rows(spark, ["a", "b"]), "p-0"), (page_rows(spark, ["a", "b"]), "p-0"), (odd, "p-1"), (page_rows(spark, ["c"]), "q-0")):
+        io.add_compacted(rows, store, part)
+    got = sorted((r.job_id, r.day) for r in io.read_compacted(spark, store).collect())
+    assert got == [("a", "2026-04-06"), ("b", "2026-04-06"), ("c", "2026-04-06"), ("x", "unknown")]
 
 
 def test_stream_dedupe_keeps_one_row_per_key(spark, tmp_path):
@@ -75,30 +105,17 @@ def test_posting_lifetime(spark):
 
 def test_a_stream_onto_a_written_table_and_a_new_checkpoint_lose_nothing(spark, tmp_path):
     root = str(tmp_path / "db")
-    for v in range(3):
-        rows = [(v + 1, 9, f"t{v}", "l", f"w{v}", "{}")]
-        known = io.read_table(spark, root, "jobs", io.JOBS_SCHEMA)
-        io.write_table(known.unionByName(spark.createDataFrame(rows, io.JOBS_SCHEMA)), root, "jobs")
+    rows = [(v + 1, 9, f"t{v}", "l", f"w{v}", "{}") for v in range(3)]
+    io.create_jobs(spark.createDataFrame(rows, io.JOBS_SCHEMA), root)
     for name in ("first", "second"):
         for n in range(2):
             row = [(n, 1, "a", "l", f"{name}{n}", "{}")]
             spark.createDataFrame(row, BATCH).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
         stream = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
         st.stream_upsert(stream, root, str(tmp_path / f"c-{name}")).awaitTermination()
-    got = {r.url for r in io.read_table(spark, root, "jobs", io.JOBS_SCHEMA).collect()}
-    assert got == {"w0", "w1", "w2", "first0", "first1", "second0", "second1"}
-    assert io.current_version(spark, root, "jobs") == 7
-
-
-def test_a_version_has_one_writer(spark, tmp_path):
-    import pytest
-
-    root = str(tmp_path / "db")
-    rows = spark.createDataFrame([(1, 1, "a", "l", "u", "{}")], io.JOBS_SCHEMA)
-    io.write_table(rows, root, "jobs", 1, "one")
-    io.write_table(rows, root, "jobs", 1, "one")
-    with pytest.raises(RuntimeError):
-        io.write_table(rows, root, "jobs", 1, "two")
+    got = io.read_jobs(spark, root).collect()
+    assert {r.url for r in got} == {"w0", "w1", "w2", "first0", "first1", "second0", "second1"}
+    assert len({r.id for r in got}) == 7
 
 
 def test_stream_reads_ids_that_start_with_an_underscore(spark, tmp_path):
