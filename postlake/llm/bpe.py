@@ -9,11 +9,11 @@ that bytes can be appended without looking back and an edit costs only the bytes
 from __future__ import annotations
 
 import base64
-import re
+import hashlib
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,10 @@ from pyspark.sql import types as T
 
 from postlake.llm.common import texts_in, with_columns
 
-#: Entries that a worker keeps of chunks, pieces and judged pairs (some 200 bytes each). A full store starts anew.
-CHUNKS, PIECES, PAIRS = 100_000, 300_000, 150_000
-#: Patterns under which a space before a visible character always starts a piece (fixed value).
-SPACE_STARTS = (
-    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
-)
-_BEFORE_VISIBLE = re.compile(r" (?=[!-~\w])")
+#: Bytes that a worker spends on encoded pieces, about, and pairs it keeps judged. A full store starts anew.
+STORE, PAIRS = 120_000_000, 150_000
+#: Pieces that are looked up together, and code points of a text above which it is cut in several steps.
+GROUP, LONG = 200_000, 1_000_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -48,12 +45,15 @@ class Vocabulary:
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.split = regex.compile(pattern)
         self.longest = max(map(len, ranks), default=1)
-        self.spaced = pattern in SPACE_STARTS
-        self._chunks: dict[str, bytes] = {}  # ids as 32-bit numbers
-        self._pieces: dict[str, bytes] = {}
         self._pairs: dict[int, bool] = {}
         self._formed: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        """Forget all pieces."""
+        self._place: dict[str, int] = {}  # piece to its place in the store
+        self._ids, self._ends, self._held = array("i"), array("q", [0]), 0
 
     def merged(self, data: bytes, until: int = 1) -> list[int]:
         """Encoding by merging the pair of lowest rank first, down to ``until`` tokens."""
@@ -134,49 +134,65 @@ class Vocabulary:
             else:
                 raise ValueError(f"byte {data[end - 1]} has no token")
 
-    def _encoded(self, pieces: Iterable[str]) -> Iterator[tuple[str, bytes]]:
-        """Encode pieces in byte order, so that each starts from the prefixes it shares with the one before."""
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Store the ids of new pieces. In byte order each starts from the prefixes it shares with the one before."""
         table = PrefixTable(self)
         for data, text in sorted((p.encode("utf-8", "surrogatepass"), p) for p in pieces):
             whole = self.ranks.get(data)
             if whole is not None:  # a piece that is a token is that token
-                yield text, array("i", (whole,)).tobytes()
+                self._ids.append(whole)
             else:
                 table.become(data)
-                yield text, array("i", table.ids()).tobytes()
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        """Make sure that the ids of these chunks are at hand."""
-        cut = {c: self.split.findall(c) for c in chunks}
-        if len(self._pieces) >= PIECES:
-            self._pieces.clear()
-        pieces = self._pieces
-        new = {p for ps in cut.values() for p in ps if p not in pieces}
-        pieces.update(self._encoded(new))
-        for c, ps in cut.items():
-            self._chunks[c] = pieces[ps[0]] if len(ps) == 1 else b"".join(map(pieces.__getitem__, ps))
+                self._ids.extend(table.ids())
+            self._place[text] = len(self._ends) - 1
+            self._ends.append(len(self._ids))
+            self._held += 200 + 6 * len(data)
+
+    def _cut(self, texts: Sequence[str]) -> Iterator[tuple[int, list[str]]]:
+        """Number of a text and some of its pieces, in order; a very long text comes in several steps."""
+        for n, text in enumerate(texts):
+            if len(text) <= LONG:
+                yield n, self.split.findall(text)
+            else:
+                found = (m.group() for m in self.split.finditer(text))
+                while some := list(islice(found, GROUP)):
+                    yield n, some
+
+    def _groups(self, texts: Sequence[str]) -> Iterator[list[tuple[int, list[str]]]]:
+        group, size = [], 0
+        for n, pieces in self._cut(texts):
+            group.append((n, pieces))
+            size += len(pieces)
+            if size >= GROUP:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
 
     def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if not self.spaced:
-            return [np.array([i for p in self.split.findall(t) for i in self.piece(p)], np.int32) for t in texts]
-        cut = [_BEFORE_VISIBLE.split(t) for t in texts]
-        if len(self._chunks) >= CHUNKS:
-            self._chunks.clear()
-        known = self._chunks
-        self._learn({" " + c for parts in cut for c in parts[1:]}.difference(known) | {p[0] for p in cut} - known.keys())
-        return [
-            np.frombuffer(known[p[0]] + b"".join(map(known.__getitem__, map(" ".__add__, p[1:]))), np.int32)
-            for p in cut
-        ]
+        """Ids of each text. Pieces are encoded once and their ids gathered."""
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        for group in self._groups(texts):
+            if self._held > STORE:
+                self._empty()
+            self._learn(set(chain.from_iterable(p for _, p in group)).difference(self._place))
+            many = sum(len(p) for _, p in group)
+            place = np.fromiter(map(self._place.__getitem__, chain.from_iterable(p for _, p in group)), np.int64, many)
+            ends = np.array(self._ends)
+            ids, stops = gathered(np.array(self._ids), ends[:-1], np.diff(ends), place)
+            last = stops[np.cumsum([len(p) for _, p in group])]
+            for (n, _), part in zip(group, np.split(ids, last[:-1])):
+                found[n].append(part)
+        return [np.concatenate(parts) if len(parts) > 1 else parts[0] for parts in found]
 
     def piece(self, text: str) -> list[int]:
         """Ids of one piece."""
-        if text not in self._pieces:
-            if len(self._pieces) >= PIECES:
-                self._pieces.clear()
-            self._pieces.update(self._encoded([text]))
-        return array("i", self._pieces[text]).tolist()
+        if text not in self._place:
+            if self._held > STORE:
+                self._empty()
+            self._learn([text])
+        at = self._place[text]
+        return self._ids[self._ends[at] : self._ends[at + 1]].tolist()
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
@@ -185,6 +201,29 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def gathered(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``table`` that ``pick`` names, one behind the other, and where each begins (and the end)."""
+    size = sizes[pick]
+    stops = np.concatenate([[0], np.cumsum(size)])
+    return table[np.arange(stops[-1]) + np.repeat(starts[pick] - stops[:-1], size)], stops
+
+
+class Runs:
+    """A byte string for each id, to be put together for many ids at once."""
+
+    def __init__(self, of: dict[int, bytes]) -> None:
+        self.sizes = np.zeros(max(of, default=0) + 1, np.int64)
+        for i, data in of.items():
+            self.sizes[i] = len(data)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.table = np.frombuffer(b"".join(of[i] for i in sorted(of)), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The strings of the ids, in steps that bound the memory of a very long list."""
+        steps = (ids[at : at + GROUP] for at in range(0, len(ids), GROUP))
+        return b"".join(gathered(self.table, self.starts, self.sizes, step)[0].tobytes() for step in steps)
+
+
 class PrefixTable:
     """The last token of every prefix of a byte string."""
 
@@ -282,11 +321,22 @@ class EncodedText:
         return [i for ids in self.tokens for i in ids]
 
 
-@lru_cache(maxsize=2)
-def _loaded(data: bytes, pattern: str) -> Vocabulary:
+@lru_cache(maxsize=1)
+def _vocabulary(data: bytes, pattern: str) -> Vocabulary:
     return Vocabulary(read_ranks(data), pattern)
 
 
+@lru_cache(maxsize=1)
+def _token_bytes(data: bytes) -> Runs:
+    return Runs({rank: token for token, rank in read_ranks(data).items()})
+
+
+@lru_cache(maxsize=1)
+def _decimals(data: bytes) -> Runs:
+    """Each id in decimal, with a space behind it."""
+    return Runs({rank: b"%d " % rank for rank in read_ranks(data).values()})
+
+
 def _shipped(spark: SparkSession, ranks_path: str) -> Broadcast:
     """The rank file, sent to every executor; a vocabulary has a fixed size (about 1 MB)."""
     with open(ranks_path, "rb") as f:
@@ -302,7 +352,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     shipped = _shipped(df.sparkSession, ranks_path)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        arrays = _loaded(shipped.value, pattern).encode_all(texts_in(batch, text))
+        arrays = _vocabulary(shipped.value, pattern).encode_all(texts_in(batch, text))
         offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
         values = np.concatenate([np.empty(0, np.int32), *arrays])
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
@@ -315,23 +365,40 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
     shipped = _shipped(df.sparkSession, ranks_path)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        vocabulary = _loaded(shipped.value, "")
+        tokens = _token_bytes(shipped.value)
         column = batch.column(batch.schema.get_field_index(ids))
         flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
         valid = column.is_valid().to_numpy(zero_copy_only=False)
-        return [
-            pa.array(
-                [
-                    vocabulary.decode(flat[a:b].tolist()) if ok else b""
-                    for a, b, ok in zip(ends[:-1], ends[1:], valid)
-                ],
-                pa.binary(),
-            )
-        ]
+        texts = [tokens.joined(flat[a:b]) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], valid)]
+        return [pa.array(texts, pa.binary())]
 
     return with_columns(df, [T.StructField(decoded, T.BinaryType())], make)
 
 
+def digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """Add n_tokens, ids_sha256 and decoded_sha256: what encoding each whole text gives, and decoding that again.
+
+    Digests are lowercase hex: of the decimal ids joined by one space, and of the decoded bytes. Both
+    ways are one pass, so a task has one worker with one vocabulary, and no ids leave it. A null text is
+    the empty one. Rows are independent; columns of those names are replaced; an empty table gives an
+    empty one.
+    """
+    shipped = _shipped(df.sparkSession, ranks_path)
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        coder = _vocabulary(shipped.value, pattern)
+        tokens, decimals = _token_bytes(shipped.value), _decimals(shipped.value)
+        counts, of_ids, of_bytes = [], [], []
+        for ids in coder.encode_all(texts_in(batch, text)):
+            counts.append(len(ids))
+            of_ids.append(hashlib.sha256(memoryview(decimals.joined(ids))[:-1]).hexdigest())
+            of_bytes.append(hashlib.sha256(tokens.joined(ids)).hexdigest())
+        return [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return with_columns(df, fields, make, keep)
+
+
 def ids_digest(ids: str | Column) -> Column:
     """SHA-256 of the decimal ids joined by one space."""
     column = F.col(ids) if isinstance(ids, str) else ids

@@ -29,14 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded bytes, by encoding and decoding every text."""
     path = public_tokenizers.path(BPE_RANKS)
-    texts = docs.select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(texts, path, public_tokenizers.PATTERN).select("doc_id", "ids"), path)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_digest("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.digests(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
 @query

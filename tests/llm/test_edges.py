@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,27 @@ def test_all_copies_of_one_text(spark):
     assert simhash.drop_near_copies(df).collect()[0].doc_id == 0
     got = repeats.passages(df).agg(F.count("*"), F.min("n_words"), F.max("start_word")).first()
     assert tuple(got) == (3000, 120, 0)
+
+
+def test_bpe_very_long_texts_and_a_full_store(spark, monkeypatch):
+    raw = open(RANKS, "rb").read()
+    vocabulary = bpe.Vocabulary(bpe.read_ranks(raw), public_tokenizers.PATTERN)
+    texts = ["word %d and " % i * 7 for i in range(300)] + ["a" * 3000, "", " " * 500, "x y " * 3000]
+    want = [a.tolist() for a in vocabulary.encode_all(texts)]
+    for name, value in (("LONG", 50), ("GROUP", 16), ("STORE", 2000)):
+        monkeypatch.setattr(bpe, name, value)
+    small = bpe.Vocabulary(bpe.read_ranks(raw), public_tokenizers.PATTERN)
+    assert [a.tolist() for a in small.encode_all(texts)] == want
+    assert [small.decode(ids) for ids in want] == [t.encode() for t in texts]
+    tokens = bpe.Runs(small.bytes_of)
+    assert [tokens.joined(np.array(ids, np.int64)) for ids in want] == [t.encode() for t in texts]
+
+
+def test_bpe_digests_equal_encode_then_decode(spark, docs):
+    path, pattern = RANKS, public_tokenizers.PATTERN
+    two = bpe.decode(bpe.encode(docs, path, pattern), path).select(
+        "doc_id", F.size("ids").alias("n"), bpe.ids_digest("ids").alias("i"), F.sha2("decoded", 256).alias("d")
+    )
+    one = bpe.digests(docs.withColumn("n_tokens", F.lit("?")), path, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
+    assert bpe.digests(docs.limit(0), path, pattern).collect() == []
