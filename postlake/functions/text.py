@@ -33,6 +33,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def first_by(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The first item of each key, in the order of the array: keys are sorted once, inside the row."""
+
+    def kept(sorted_keys: Column) -> Column:
+        firsts = F.filter(sorted_keys, lambda x, i: (i == 0) | ~x.k.eqNullSafe(F.get(sorted_keys, i - 1).k))
+        return F.transform(F.sort_array(F.transform(firsts, lambda x: x.i)), lambda i: F.get(items, i))
+
+    return let(F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))), kept)
+
+
 def lit_array(values: Iterable[str]) -> Column:
     values = list(values)
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")

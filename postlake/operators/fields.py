@@ -23,11 +23,11 @@ from postlake.functions.urls import job_id_from_url
 from postlake.operators.html import (
     HIDE_NONE,
     HIDE_PARSER,
-    dom_elements,
     dom_text,
     element_text,
+    first_element,
     ld_json_array,
-    matches,
+    positions,
     read_markup,
     selector_text,
 )
@@ -76,12 +76,7 @@ def find_posting(blocks: DataFrame, page_id: str = "page_id") -> DataFrame:
     hits = blocks.select(page_id, "pos", find_posting_in(F.array("doc")).alias("posting")).where(
         F.col("posting").isNotNull()
     )
-    text = hits.select(page_id, "pos", F.to_json("posting").alias("raw"))
-    return (
-        text.groupBy(page_id)
-        .agg(F.min_by("raw", "pos").alias("raw"))
-        .select(page_id, jv.parse(F.col("raw")).alias("posting"))
-    )
+    return hits.groupBy(page_id).agg(F.min_by("posting", "pos").alias("posting"))
 
 
 def _loose(v: Column) -> Column:
@@ -225,14 +220,11 @@ def first_line(text: Column) -> Column:
 def html_title(dom: Column, text: Column, tags: Sequence[str] = ("h1", "h2"), hide: int = HIDE_PARSER) -> Column:
     """First heading longer than three characters, else the first line of text."""
 
-    def first_heading(els: Column) -> Column:
-        found = []
-        for tag in tags:
-            texts = F.transform(F.filter(els, matches(tag)), lambda e: element_text(dom, e, hide, " "))
-            found.append(F.try_element_at(F.filter(texts, lambda t: F.length(t) > 3), F.lit(1)))
-        return F.coalesce(*found)
+    def heading(tag: str) -> Column:
+        texts = F.transform(positions(dom, tag, hide), lambda p: element_text(dom, F.get(dom.els, p), hide, " "))
+        return F.get(F.filter(texts, lambda t: F.length(t) > 3), F.lit(0))
 
-    return F.coalesce(let(dom_elements(dom, hide), first_heading), first_line(text))
+    return F.coalesce(*[heading(tag) for tag in tags], first_line(text))
 
 
 def html_company(dom: Column, text: Column, selectors: Sequence[str] = lex.COMPANY_SELECTORS) -> Column:
@@ -340,7 +332,7 @@ def parsed_record(dom: Column, text: Column, **lists: Sequence[str]) -> Column:
 def parse_pages(pages: DataFrame, **lists: Sequence[str]) -> DataFrame:
     """Full record per page; keyword arguments replace the default term lists."""
     return (
-        read_markup(pages)
+        read_markup(pages, index=True)
         .withColumn("text", dom_text(F.col("dom"), HIDE_PARSER))
         .withColumn("r", parsed_record(F.col("dom"), F.col("text"), **lists))
         .select("*", "r.*")
@@ -352,11 +344,11 @@ def parse_pages_legacy(pages: DataFrame, url: str = "url", hide: int = HIDE_NONE
     """Nineteen-field record of the older parser; ``hide=HIDE_PARSER`` gives the light copy."""
     dom, text, link = F.col("dom"), F.col("_text"), F.col(url)
     place = or_empty(selector_text(dom, lex.LOCATION_SELECTORS, hide, skip_empty=False))
-    heading = F.try_element_at(F.filter(dom_elements(dom, hide), matches("h1")), F.lit(1))
+    heading = first_element(dom, "h1", hide)
     kept = [c for c in pages.columns if c not in ("html", url)]
     none = lit_array([])
     return (
-        read_markup(pages, keep_html=True)
+        read_markup(pages, keep_html=True, index=True)
         .withColumn("_text", dom_text(dom, hide))
         .select(
             *kept,

@@ -1,8 +1,9 @@
 """Pages in, text and links out.
 
 One Arrow pass (`read_markup`) turns every page into a row-local ``dom`` struct: its text
-nodes in document order and its elements with the range of text nodes they span. All other
-operators are expressions over that struct, so no page is shuffled or parsed again.
+nodes in document order, its elements with the range of text nodes they span, and on request the
+positions of the elements of each tag, class, id and attribute, so that a selector is a look-up.
+All other operators are expressions over that struct, so no page is shuffled or parsed again.
 
 Tree rules: void elements close at once, an end tag closes up to the nearest open tag of that
 name, and nothing else is closed implicitly.
@@ -22,9 +23,12 @@ from pyspark.sql import types as T
 from postlake.functions import lexicons as lex
 from postlake.functions.jsonv import parse
 from postlake.functions.text import (
+    SPACE_CHARS,
     any_contains,
     cut_at_last_line,
+    first_by,
     let,
+    lit_array,
     or_empty,
     strip,
 )
@@ -57,14 +61,17 @@ _ELEMENT = (
     "itemprop:string,testid:string,automation:string,role:string,type:string,href:string,"
     "t0:int,t1:int,hide:int,raw:string>"
 )
-DOM_TYPE = f"struct<texts:array<struct<s:string,hide:int>>,els:array<{_ELEMENT}>>"
+DOM_TYPE = f"struct<texts:array<struct<s:string,hide:int>>,els:array<{_ELEMENT}>,at:map<string,array<int>>>"
+#: Attributes that selectors can name, and the fields that hold them.
+_NAMED = {"itemprop": "itemprop", "data-testid": "testid", "data-automation": "automation", "role": "role", "type": "type"}
 
 
 class _Markup(HTMLParser):
     """Collects text nodes and elements of one page."""
 
-    def __init__(self) -> None:
+    def __init__(self, index: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.at: dict[str, list[int]] | None = {} if index else None
         self.texts: list[dict] = []
         self.els: list[dict] = []
         self.open: list[dict] = []
@@ -136,6 +143,12 @@ class _Markup(HTMLParser):
             "raw": None,
         }
         self.els.append(element)
+        if self.at is not None:
+            keys = [tag, *(f".{c}" for c in set(element["classes"]))]
+            keys += [f"#{element['id']}"] if element["id"] is not None else []
+            keys += [f"[{n}={have[n]}]" for n in _NAMED if n in have]
+            for key in keys:
+                self.at.setdefault(key, []).append(element["pos"])
         if tag not in _VOID:
             self.open.append(element)
             self.open_tags[tag] += 1
@@ -169,21 +182,41 @@ class _Markup(HTMLParser):
         self.flush()
         while self.open:
             self._shut()
-        return {"texts": self.texts, "els": self.els}
+        at = None if self.at is None else list(self.at.items())
+        return {"texts": self.texts, "els": self.els, "at": at}
 
 
-def _dom(html: str | None) -> dict | None:
+def _dom(html: str | None, index: bool = False) -> dict | None:
     if html is None or not html.strip():
         return None
-    page = _Markup()
+    page = _Markup(index)
     page.feed(html)
     return page.finish()
 
 
-def read_markup(pages: DataFrame, html: str = "html", keep_html: bool = False) -> DataFrame:
-    """Replace ``html`` by the parsed ``dom`` column; other columns pass through."""
+def _lines(dom: dict | None) -> tuple[list[str], list[int]]:
+    """Stripped lines with text, node by node, and how many of them lie before each node (and the end)."""
+    found: list[str] = []
+    before = [0]
+    for node in dom["texts"] if dom else ():
+        found += [line for part in node["s"].split("\n") if (line := part.strip(SPACE_CHARS))]
+        before.append(len(found))
+    return found, before
+
+
+def read_markup(
+    pages: DataFrame, html: str = "html", keep_html: bool = False, index: bool = False, lines: bool = False
+) -> DataFrame:
+    """Replace ``html`` by the parsed ``dom`` column; other columns pass through.
+
+    ``index`` fills ``dom.at``, which look-ups by selector need. ``lines`` adds the page's lines and,
+    in ``line_at``, the number of them before each text node, so that the lines of an element are a range.
+    """
     kept = [f for f in pages.schema.fields if keep_html or f.name != html]
-    schema = T.StructType(kept + [T.StructField("dom", T._parse_datatype_string(DOM_TYPE))])
+    more = [T.StructField("dom", T._parse_datatype_string(DOM_TYPE))]
+    if lines:
+        more += [T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("line_at", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType(kept + more)
     names = [f.name for f in kept]
 
     def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,18 +239,19 @@ def read_markup(pages: DataFrame, html: str = "html", keep_html: bool = False) -
                         )
                     ),
                 ),
+                ("at", pa.map_(text, pa.list_(small))),
             ]
         )
         for batch in batches:
             source = batch.column(batch.schema.get_field_index(html))
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                doms = [_dom(h.as_py()) for h in source.slice(start, 256)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(n)) for n in names]
-                    + [pa.array(doms, type=dom_type)],
-                    names=names + ["dom"],
-                )
+                doms = [_dom(h.as_py(), index) for h in source.slice(start, 256)]
+                arrays = [part.column(part.schema.get_field_index(n)) for n in names] + [pa.array(doms, type=dom_type)]
+                if lines:
+                    cut = [_lines(d) for d in doms]
+                    arrays += [pa.array([c[0] for c in cut], pa.list_(text)), pa.array([c[1] for c in cut], pa.list_(small))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return pages.mapInArrow(parse_batches, schema)
 
@@ -264,11 +298,37 @@ def matches(selector: str) -> Callable[[Column], Column]:
         return lambda e: e.id == selector[1:]
     if selector.startswith("["):
         name, value = selector[1:-1].split("=", 1)
-        column = {"data-testid": "testid", "data-automation": "automation"}.get(name, name)
+        column = _NAMED.get(name, name)
         return lambda e: e[column] == value.strip("\"'")
     return lambda e: e.tag == selector
 
 
+def _index_key(selector: str) -> str:
+    """A selector as the index of a page names it."""
+    if not selector.startswith("["):
+        return selector
+    name, value = selector[1:-1].split("=", 1)
+    if name not in _NAMED:
+        raise ValueError(f"elements are not indexed by {name}")
+    return f"[{name}={value.strip(chr(34) + chr(39))}]"
+
+
+def positions(dom: Column, selector: str | Column, hide: int = HIDE_NONE) -> Column:
+    """Positions of the elements that match, in document order, by a look-up in the page's index."""
+    key = F.lit(_index_key(selector)) if isinstance(selector, str) else selector
+    missing = F.raise_error("read_markup needs index=True here").cast("map<string,array<int>>")
+    index = F.when(dom.isNotNull(), F.coalesce(dom["at"], missing))
+    found = F.coalesce(F.try_element_at(index, key), F.array().cast("array<int>"))
+    if not hide:
+        return found
+    return F.filter(found, lambda p: F.get(dom.els, p).hide.bitwiseAND(F.lit(hide)) == 0)
+
+
+def first_element(dom: Column, selector: str, hide: int = HIDE_NONE) -> Column:
+    """The first element that matches, else null."""
+    return F.get(dom.els, F.get(positions(dom, selector, hide), F.lit(0)))
+
+
 def selector_text(
     dom: Column,
     selectors: Sequence[str],
@@ -279,19 +339,17 @@ def selector_text(
 ) -> Column:
     """Text of the first selector whose first element qualifies, else null.
 
-    ``skip_empty=False`` stops at the first element found, even when it has no text.
+    ``skip_empty=False`` stops at the first element found, even when it has no text. A selector is a
+    look-up in ``dom.at``, so the expression is the same for any number of them.
     """
-
-    def pick(els: Column) -> Column:
-        firsts = F.array(*[F.try_element_at(F.filter(els, matches(s)), F.lit(1)) for s in selectors])
-        texts = F.transform(
-            F.filter(firsts, lambda e: e.isNotNull()), lambda e: element_text(dom, e, hide, sep)
-        )
-        if skip_empty:
-            texts = F.filter(texts, lambda t: F.length(t) > min_len)
-        return F.try_element_at(texts, F.lit(1))
-
-    return let(dom_elements(dom, hide), pick)
+    keys = lit_array([_index_key(s) for s in selectors])
+    firsts = F.transform(keys, lambda k: F.get(positions(dom, k, hide), F.lit(0)))
+    texts = F.transform(
+        F.filter(firsts, lambda p: p.isNotNull()), lambda p: element_text(dom, F.get(dom.els, p), hide, sep)
+    )
+    if skip_empty:
+        texts = F.filter(texts, lambda t: F.length(t) > min_len)
+    return F.try_element_at(texts, F.lit(1))
 
 
 # --- C1, C2, C13 ------------------------------------------------------------
@@ -381,7 +439,7 @@ def select_first(
     name: str = "value",
 ) -> DataFrame:
     picked = selector_text(F.col("dom"), selectors, hide, sep, min_len, skip_empty)
-    return read_markup(pages).withColumn(name, picked).drop("dom")
+    return read_markup(pages, index=True).withColumn(name, picked).drop("dom")
 
 
 # --- C5 ---------------------------------------------------------------------
@@ -461,7 +519,7 @@ def anchors(pages: DataFrame, page_id: str = "page_id", keep: Sequence[str] = ()
 
 
 def listings_from_anchors(
-    anchor_rows: DataFrame,
+    pages: DataFrame,
     base: str = "url",
     page_id: str = "page_id",
     limit: int = 200,
@@ -469,34 +527,47 @@ def listings_from_anchors(
     bad_urls: Sequence[str] = lex.LISTING_BAD_URLS,
     signals: Sequence[str] = lex.LISTING_SIGNALS,
     generic: Sequence[str] = lex.LISTING_GENERIC_LABELS,
+    html: str = "html",
 ) -> DataFrame:
-    """Anchors that look like postings, first one per label and URL, ``limit`` per page."""
-    from postlake.operators.dedupe import dedupe_first, top_n_per
-
-    title = strip(F.regexp_replace(F.regexp_replace("inner", lex.TAG_PATTERN, ""), r"\s+", " "))
-    rows = anchor_rows.withColumn("title", title)
-    label, href = F.lower("title"), F.lower("href")
-    signal_in_href = any_contains(href, signals)
-    rows = rows.where(
-        (F.length("title") >= 3)
-        & ~any_contains(label, bad_titles)
-        & ~any_contains(href, bad_urls)
-        & (any_contains(label, signals) | signal_in_href)
-        & (~label.isin(*generic) | signal_in_href)
-    ).select(
-        page_id,
-        "pos",
-        "title",
-        F.lit("").alias("location"),
-        absolutize_url(F.col(base), F.col("href")).alias("url"),
-    )
-    key = F.lower(F.concat_ws("|", "title", "url"))
-    firsts = dedupe_first(rows.withColumn("_key", key), [page_id, "_key"], ["pos"]).drop("_key")
-    return top_n_per(firsts, [page_id], ["pos"], limit)
+    """Anchors that look like postings, first one per label and URL, ``limit`` per page.
+
+    A page's anchors are judged, made distinct and cut inside its row, so no page is shuffled.
+    """
+
+    def named(a: Column, i: Column) -> Column:
+        title = strip(F.regexp_replace(F.regexp_replace(a.inner, lex.TAG_PATTERN, ""), r"\s+", " "))
+        return F.struct(i.alias("pos"), title.alias("title"), a.href.alias("href"))
+
+    def wanted(a: Column) -> Column:
+        def judged(low: Column) -> Column:
+            signal_in_href = any_contains(low.href, signals)
+            return (
+                (F.length(a.title) >= 3)
+                & ~any_contains(low.title, bad_titles)
+                & ~any_contains(low.href, bad_urls)
+                & (any_contains(low.title, signals) | signal_in_href)
+                & (~low.title.isin(*generic) | signal_in_href)
+            )
+
+        return let(F.struct(F.lower(a.title).alias("title"), F.lower(a.href).alias("href")), judged)
+
+    def listing(a: Column) -> Column:
+        url = absolutize_url(F.col(base), a.href)
+        return F.struct(a.pos.alias("pos"), a.title.alias("title"), F.lit("").alias("location"), url.alias("url"))
+
+    found = F.transform(F.filter(F.transform(anchor_array(F.col(html)), named), wanted), listing)
+    firsts = let(found, lambda rows: first_by(rows, lambda x: F.lower(F.concat_ws("|", x.title, x.url))))
+    return _row_per(pages.select(page_id, F.slice(firsts, 1, limit).alias("_l")), page_id)
+
+
+def _row_per(rows: DataFrame, page_id: str) -> DataFrame:
+    """One row per element of the computed array ``_l`` (outer form, see `explode_rows`)."""
+    return rows.select(page_id, F.explode_outer("_l").alias("_x")).where(F.col("_x").isNotNull()).select(page_id, "_x.*")
 
 
 def listings_from_cards(
-    cards: DataFrame,
+    pages: DataFrame,
+    cards: str = "cards",
     base: str = "base_url",
     page_id: str = "page_id",
     generic_titles: Sequence[str] = lex.CARD_GENERIC_TITLES,
@@ -504,113 +575,132 @@ def listings_from_cards(
     bad_urls: Sequence[str] = lex.CARD_BAD_URLS,
     job_urls: Sequence[str] = lex.CARD_JOB_URLS,
 ) -> DataFrame:
-    """Card links ``(page_id, pos, title, href, location)`` that are postings."""
-    from postlake.operators.dedupe import dedupe_first
-
-    title, href = strip(or_empty(F.col("title"))), strip(or_empty(F.col("href")))
-    place = strip(or_empty(F.col("location")))
-    low_title, low_href = F.lower(title), F.lower(href)
-    rows = cards.where(
-        (F.length(title) >= 3)
-        & (href != "")
-        & ~low_title.isin(*lex.CARD_NAV_TITLES)
-        & ~low_title.isin(*generic_titles)
-        & ~any_contains(low_title, generic_parts)
-        & ~any_contains(low_href, bad_urls)
-        & (any_contains(low_href, job_urls) | (place != ""))
-    ).select(
-        page_id,
-        "pos",
-        title.alias("title"),
-        place.alias("location"),
-        absolutize_url(F.col(base), href).alias("url"),
-    )
-    key = F.lower(
-        F.coalesce(F.nullif(F.col("url"), F.lit("")), F.concat_ws("|", "title", "location"))
-    )
-    return dedupe_first(rows.withColumn("_key", key), [page_id, "_key"], ["pos"]).drop("_key")
+    """Card links ``cards: array<struct<pos, title, href, location>>`` that are postings.
 
+    `card_array` gives such an array. Its links are judged and made distinct inside the row.
+    """
 
-def card_fields(
-    pages: DataFrame,
-    page_id: str = "page_id",
+    def clean(c: Column) -> Column:
+        parts = {n: strip(or_empty(c[n])) for n in ("title", "href", "location")}
+        return F.struct(c.pos.alias("pos"), *[v.alias(n) for n, v in parts.items()])
+
+    def wanted(c: Column) -> Column:
+        low_title, low_href = F.lower(c.title), F.lower(c.href)
+        return (
+            (F.length(c.title) >= 3)
+            & (c.href != "")
+            & ~low_title.isin(*lex.CARD_NAV_TITLES)
+            & ~low_title.isin(*generic_titles)
+            & ~any_contains(low_title, generic_parts)
+            & ~any_contains(low_href, bad_urls)
+            & (any_contains(low_href, job_urls) | (c.location != ""))
+        )
+
+    def listing(c: Column) -> Column:
+        url = absolutize_url(F.col(base), c.href)
+        return F.struct(c.pos.alias("pos"), c.title.alias("title"), c.location.alias("location"), url.alias("url"))
+
+    def key(x: Column) -> Column:
+        return F.lower(F.coalesce(F.nullif(x.url, F.lit("")), F.concat_ws("|", x.title, x.location)))
+
+    found = F.transform(F.filter(F.transform(F.col(cards), clean), wanted), listing)
+    return _row_per(pages.select(page_id, let(found, lambda rows: first_by(rows, key)).alias("_l")), page_id)
+
+
+def card_array(
+    dom: Column,
+    lines: Column,
+    line_at: Column,
     tokens: Sequence[str] = lex.CARD_LINK_TOKENS,
     places: Sequence[str] = lex.CARD_PLACE_WORDS,
-) -> DataFrame:
-    """Links with the title and location read from the card around them.
+) -> Column:
+    """Links with the title and location read from the card around them: pos, title, href, location.
 
-    The card is the nearest article, li or div; its lines are its text nodes. Whether an
-    element is displayed cannot be known from the page source, so every link counts.
+    The card is the nearest article, li or div; its lines are a range of the page's lines. What a card
+    says is worked out once per card, however many links it holds; a link keeps none of its lines. Whether
+    an element is displayed cannot be known from the page source, so every link counts.
     """
-    dom = F.col("dom")
 
-    def card_of(a: Column) -> Column:
-        return F.when(a.card.isNotNull(), F.try_element_at(dom.els, a.card + 1))
+    def facts(card: Column) -> Column:
+        def of(e: Column) -> Column:
+            start = F.get(line_at, e.t0)
+            return let(F.struct(start.alias("a"), (F.get(line_at, e.t1) - start).alias("n")), said)
+
+        def said(span: Column) -> Column:
+            place = F.filter(
+                F.slice(lines, span.a + 2, F.greatest(F.lit(0), F.least(F.lit(7), span.n - 1))),
+                lambda s: (F.length(s) > 2)
+                & ~any_contains(F.lower(s), lex.CARD_PLACE_BLOCKERS)
+                & s.rlike("(?i)[a-z]")
+                & (s.contains(",") | any_contains(F.lower(s), places)),
+            )
+            usable = F.filter(
+                F.slice(lines, span.a + 1, span.n),
+                lambda s: (F.length(s) >= 6) & ~any_contains(F.lower(s), lex.CARD_SKIPPED_LINES),
+            )
+            return let(usable, lambda us: F.struct(F.get(place, F.lit(0)).alias("place"), *two(us)))
 
-    def lines(card: Column) -> Column:
-        texts = _shown(F.slice(dom.texts, card.t0 + 1, card.t1 - card.t0), HIDE_NONE)
-        return F.filter(
-            F.transform(F.split(F.array_join(texts, "\n"), "\n"), strip), lambda s: s != ""
-        )
+        def two(us: Column) -> tuple[Column, Column]:
+            """The first usable line, and the first that is another one in lower case."""
+            first = F.get(us, F.lit(0))
+            return first.alias("one"), F.get(F.filter(us, lambda s: F.lower(s) != F.lower(first)), F.lit(0)).alias("other")
 
-    links = F.filter(dom.els, lambda e: (e.tag == "a") & (or_empty(e.href) != ""))
-    rows = F.transform(
-        links,
-        lambda a: F.struct(
-            a.pos.alias("pos"),
-            a.href.alias("href"),
+        return let(F.get(dom.els, card), of)
+
+    def titled(a: Column) -> Column:
+        return F.struct(
+            a.pos.alias("pos"), a.href.alias("href"), a.card.alias("card"),
             strip(element_text(dom, a, HIDE_NONE, "", False)).alias("label"),
-            F.coalesce(lines(card_of(a)), F.array().cast("array<string>")).alias("lines"),
-        ),
-    )
-    base = (
-        read_markup(pages.select(page_id, "html"))
-        .select(page_id, F.explode(rows).alias("r"))
-        .select(page_id, "r.*")
-        .where((F.col("label") != "") & any_contains(F.lower(F.concat_ws(" ", "href", "label")), tokens))
-    )
-    low_label = F.lower("label")
-    usable = F.filter(
-        F.col("lines"),
-        lambda s: (F.length(s) >= 6)
-        & (F.lower(s) != low_label)
-        & ~any_contains(F.lower(s), lex.CARD_SKIPPED_LINES),
-    )
-    place = F.filter(
-        F.slice("lines", 2, 7),
-        lambda s: (F.length(s) > 2)
-        & ~any_contains(F.lower(s), lex.CARD_PLACE_BLOCKERS)
-        & s.rlike("(?i)[a-z]")
-        & (s.contains(",") | any_contains(F.lower(s), places)),
-    )
-    title = F.when(
-        low_label.isin(*lex.CARD_ACTION_LABELS),
-        F.coalesce(F.try_element_at(usable, F.lit(1)), F.col("label")),
-    ).otherwise(F.col("label"))
-    return base.select(
-        page_id,
-        "pos",
-        title.alias("title"),
-        "href",
-        or_empty(F.try_element_at(place, F.lit(1))).alias("location"),
+        )
+
+    links = F.filter(
+        F.transform(F.filter(dom.els, lambda e: (e.tag == "a") & (or_empty(e.href) != "")), titled),
+        lambda a: (a.label != "") & any_contains(F.lower(F.concat_ws(" ", a.href, a.label)), tokens),
     )
 
+    def with_facts(found: Column) -> Column:
+        held = F.array_distinct(F.filter(F.transform(found, lambda a: a.card), lambda c: c.isNotNull()))
+        return let(
+            let(held, lambda cards: F.map_from_arrays(cards, F.transform(cards, facts))),
+            lambda of: F.transform(found, lambda a: let(F.try_element_at(of, a.card), lambda f: row(a, f))),
+        )
+
+    def row(a: Column, f: Column) -> Column:
+        low = F.lower(a.label)
+        other = F.when(F.lower(f.one) != low, f.one).otherwise(f.other)
+        title = F.when(low.isin(*lex.CARD_ACTION_LABELS), F.coalesce(other, a.label)).otherwise(a.label)
+        return F.struct(
+            a.pos.alias("pos"), title.alias("title"), a.href.alias("href"), or_empty(f.place).alias("location")
+        )
+
+    return let(links, with_facts)
+
+
+def card_fields(
+    pages: DataFrame,
+    page_id: str = "page_id",
+    tokens: Sequence[str] = lex.CARD_LINK_TOKENS,
+    places: Sequence[str] = lex.CARD_PLACE_WORDS,
+) -> DataFrame:
+    """Link table of `card_array`."""
+    cards = card_array(F.col("dom"), F.col("lines"), F.col("line_at"), tokens, places)
+    read = read_markup(pages.select(page_id, "html"), lines=True)
+    return _row_per(read.select(page_id, cards.alias("_l")), page_id)
+
 
 # --- C10 - C12 --------------------------------------------------------------
 
 
 def ld_json_array(dom: Column) -> Column:
     """Texts of the structured-data script blocks in document order."""
-    blocks = F.filter(
-        dom.els, lambda e: (e.tag == "script") & (e["type"] == "application/ld+json")
-    )
-    return F.transform(blocks, lambda e: or_empty(e.raw))
+    typed = F.transform(positions(dom, "[type=application/ld+json]"), lambda p: F.get(dom.els, p))
+    return F.transform(F.filter(typed, lambda e: e.tag == "script"), lambda e: or_empty(e.raw))
 
 
 def ld_json_blocks(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
     """Parsed structured-data blocks; blocks that are not JSON are left out."""
     return (
-        read_markup(pages.select(page_id, "html"))
+        read_markup(pages.select(page_id, "html"), index=True)
         .select(page_id, F.posexplode(ld_json_array(F.col("dom"))).alias("pos", "raw"))
         .withColumn("doc", parse(F.col("raw")))
         .where(F.col("doc").isNotNull())
@@ -619,21 +709,15 @@ def ld_json_blocks(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
 
 def description_of(dom: Column) -> Column:
     """Main body text: tagged description, else main paragraphs, else longer lines."""
-    tagged = F.try_element_at(
-        F.filter(dom.els, lambda e: or_empty(e.automation).rlike("(?i)job.*description")), F.lit(1)
-    )
-    main = F.coalesce(
-        *[
-            F.try_element_at(F.filter(dom.els, test), F.lit(1))
-            for test in (
-                matches("main"),
-                matches("article"),
-                lambda e: (e.tag == "div") & (e.role == "main"),
-            )
-        ]
-    )
+    by_attribute = F.map_filter(dom["at"], lambda k, _: k.rlike(r"(?i)^\[data-automation=[\s\S]*job.*description"))
+    tagged = F.get(dom.els, F.array_min(F.flatten(F.map_values(by_attribute))))
+    main_div = F.filter(F.transform(positions(dom, "[role=main]"), lambda p: F.get(dom.els, p)), lambda e: e.tag == "div")
+    main = F.coalesce(first_element(dom, "main"), first_element(dom, "article"), F.get(main_div, F.lit(0)))
     paragraphs = let(
-        main, lambda m: F.filter(dom.els, lambda e: (e.tag == "p") & (m.pos < e.pos) & (e.pos <= m["last"]))
+        main,
+        lambda m: F.transform(
+            F.filter(positions(dom, "p"), lambda p: (m.pos < p) & (p <= m["last"])), lambda p: F.get(dom.els, p)
+        ),
     )
     body = F.array_join(
         F.filter(F.transform(paragraphs, lambda e: element_text(dom, e, HIDE_NONE, "")), lambda s: s != ""),
@@ -648,7 +732,7 @@ def description_of(dom: Column) -> Column:
 
 
 def main_description(pages: DataFrame) -> DataFrame:
-    return read_markup(pages).withColumn("description", description_of(F.col("dom"))).drop("dom")
+    return read_markup(pages, index=True).withColumn("description", description_of(F.col("dom"))).drop("dom")
 
 
 def is_signin(html: Column) -> Column:

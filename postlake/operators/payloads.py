@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions import jsonv as jv
 from postlake.functions import lexicons as lex
-from postlake.functions.text import filled, join_filled, let, lit_array, or_empty, strip
+from postlake.functions.text import filled, first_by, join_filled, let, lit_array, or_empty, strip
 from postlake.functions.urls import (
     absolutize_url,
     workday_job_url,
@@ -286,13 +286,7 @@ def _first_jobs(jobs: Column) -> Column:
     def key(j: Column) -> Column:
         return F.coalesce(F.nullif(j.url, F.lit("")), F.concat(j.title, F.lit("|"), j.location))
 
-    def dedupe(js: Column) -> Column:
-        keys = F.transform(js, key)
-        return let(
-            keys, lambda ks: F.filter(js, lambda j, i: F.array_position(ks, key(j)) == (i + 1).cast("long"))
-        )
-
-    return let(F.filter(jobs, lambda j: j.isNotNull()), dedupe)
+    return let(F.filter(jobs, lambda j: j.isNotNull()), lambda js: first_by(js, key))
 
 
 def extract_listing_jobs(responses: DataFrame, base: str = "base_url", body: str = "body") -> DataFrame:

@@ -185,7 +185,7 @@ def extract_details(
 
     kept = [c for c in pages.columns if c != "html"]
     base = (
-        read_markup(pages)
+        read_markup(pages, index=True)
         .withColumn("_found", page_posting(F.col("dom")))
         .withColumn("_posting", posting_fields(F.col("_found")))
         .withColumn("_text", dom_text(F.col("dom"), HIDE_PARSER))

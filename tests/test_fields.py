@@ -129,7 +129,7 @@ def test_parse_pages(pages):
 def test_description_section_of_plain_text(pages):
     # Joined text has no blank lines, so the section pattern needs a text with paragraphs.
     text = "Job Summary: " + "w" * 120 + "\n\nNext"
-    df = h.read_markup(pages("<p>x</p>"))
+    df = h.read_markup(pages("<p>x</p>"), index=True)
     out = df.select(fl.html_description(F.col("dom"), F.lit(text)).alias("d")).first().d
     assert out == "w" * 120
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from postlake.operators import html as h
 
 CARD = (
@@ -65,12 +67,12 @@ def test_anchors_and_listing_filters(spark):
         '<a href="/privacy">Job privacy</a><a href="/x">Apply now</a><a href="/job/2">Apply now</a><a href="/y">Team</a>'
     )
     df = spark.createDataFrame([(0, "https://h.com/c", page)], "page_id long, url string, html string")
-    rows = h.listings_from_anchors(h.anchors(df, keep=["url"])).orderBy("pos").collect()
+    rows = h.listings_from_anchors(df).orderBy("pos").collect()
     assert [(r.title, r.url) for r in rows] == [
         ("Data Engineer", "https://h.com/jobs/1"),
         ("Apply now", "https://h.com/job/2"),
     ]
-    assert h.listings_from_anchors(h.anchors(df, keep=["url"]), limit=1).count() == 1
+    assert h.listings_from_anchors(df, limit=1).count() == 1
 
 
 def test_cards(spark, pages):
@@ -85,10 +87,100 @@ def test_cards(spark, pages):
         (0, 5, "https://h.com", "Analyst", "/job/6.pdf", "Remote"),
     ]
     df = spark.createDataFrame(rows, "page_id long, pos int, base_url string, title string, href string, location string")
-    kept = h.listings_from_cards(df).orderBy("pos").collect()
+    card = F.sort_array(F.collect_list(F.struct("pos", "title", "href", "location")))
+    kept = h.listings_from_cards(df.groupBy("page_id", "base_url").agg(card.alias("cards"))).orderBy("pos").collect()
     assert [r.pos for r in kept] == [0, 4]
 
 
+def plain_cards(markup):
+    """Cards by their definition: every link reads all lines of the card around it."""
+    from postlake.functions import lexicons as lex
+    from postlake.functions.text import SPACE_CHARS
+
+    dom = h._dom(markup)
+    nodes = [t["s"] for t in dom["texts"]]
+    out = []
+    for a in dom["els"]:
+        label = "".join(nodes[a["t0"] : a["t1"]]).strip(SPACE_CHARS)
+        if a["tag"] != "a" or not a["href"] or not label or not any(t in f"{a['href']} {label}".lower() for t in lex.CARD_LINK_TOKENS):
+            continue
+        card = dom["els"][a["card"]] if a["card"] is not None else None
+        lines = [x for s in "\n".join(nodes[card["t0"] : card["t1"]]).split("\n") if (x := s.strip(SPACE_CHARS))] if card else []
+        usable = [s for s in lines if len(s) >= 6 and s.lower() != label.lower() and not any(w in s.lower() for w in lex.CARD_SKIPPED_LINES)]
+        place = [
+            s for s in lines[1:8]
+            if len(s) > 2 and not any(w in s.lower() for w in lex.CARD_PLACE_BLOCKERS) and any("a" <= c <= "z" for c in s.lower())
+            and ("," in s or any(w in s.lower() for w in lex.CARD_PLACE_WORDS))
+        ]
+        title = (usable or [label])[0] if label.lower() in lex.CARD_ACTION_LABELS else label
+        out.append((a["pos"], title, a["href"], (place or [""])[0]))
+    return out
+
+
+def test_cards_equal_their_definition(pages):
+    from postlake.functions import lexicons as lex
+
+    action = sorted(lex.CARD_ACTION_LABELS)[0]
+    one = f"<li><h3>Senior  Engineer</h3><p>Pune, India\n3 days ago</p><a href=/job/1>{action}</a><a href=/job/2>Engineer job</a></li>"
+    same = f"<div>{action}<div><b>{action}</b><b>{action.upper()}</b><b>Data Analyst</b><a href='/job/3'>{action}</a></div>Remote, EU</div>"
+    markup = [one * 3 + same, "<a href=/job/9>no card</a>", f"<div><article>{one}</article>\n x \n<p>Berlin, DE</p>{same}</div>", ""]
+    got = {}
+    for r in h.card_fields(pages(*markup)).collect():
+        got.setdefault(r.page_id, []).append((r.pos, r.title, r.href, r.location))
+    assert got == {i: want for i, m in enumerate(markup[:3]) if (want := plain_cards(m))}
+    assert any(r[3] == "Pune, India" for r in got[0]) and any(r[1] == "Data Analyst" for r in got[0])
+
+
+def test_one_card_of_many_links_stays_small(pages):
+    import time
+
+    def took(n):
+        df = pages("<div>Pune, India<p>Remote, EU</p>" + "".join(f"<a href=/job/{i}>job {i}</a>" for i in range(n)) + "</div>")
+        start = time.perf_counter()
+        assert h.card_fields(df).where("location = 'Remote, EU'").count() == n
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(10_000) < 6 * took(5_000) + 2
+
+
+def test_page_local_lists_need_no_exchange(spark, pages):
+    df = pages("<a href=/job/1>Job</a>").withColumn("url", F.lit("https://h.com"))
+    cards = h.read_markup(df, lines=True).withColumn("cards", h.card_array(F.col("dom"), F.col("lines"), F.col("line_at")))
+    for out in (h.listings_from_anchors(df), h.listings_from_cards(cards, base="url"), h.card_fields(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_first_by_keeps_order_and_nulls(one):
+    from postlake.functions.text import first_by
+
+    items = F.array(*[F.lit(x) for x in ("b", "A", "a", None, "B", "c", None)])
+    assert one(first_by(items, F.lower)) == ["b", "A", None, "c"]
+    assert one(first_by(F.array().cast("array<string>"), F.lower)) == []
+
+
+def test_selectors_are_looked_up(pages):
+    page = "<nav><b class='x y'>hid</b></nav><b class=y id=k>one</b><i itemprop=\"jobLocation\">two</i><noscript><u role=main>n</u></noscript>"
+    df = h.read_markup(pages(page, ""), index=True)
+    pick = lambda s, **o: h.selector_text(F.col("dom"), s, **o)
+    row = df.select(
+        pick([".y"]).alias("a"), pick([".y"], hide=h.HIDE_CLEANER).alias("b"), pick([".none", '[itemprop="jobLocation"]']).alias("c"),
+        pick(["[role=main]"]).alias("d"), pick(["[role=main]"], hide=h.HIDE_PARSER).alias("e"), pick(["#k", "b"]).alias("f"),
+    )
+    got = row.collect()
+    assert tuple(got[0]) == ("hid", "one", "two", "n", None, "one") and tuple(got[1]) == (None,) * 6
+    assert "filter(dom" not in row._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_page_without_an_index_says_so(pages):
+    import pytest
+
+    df = h.read_markup(pages("<b>x</b>"))
+    with pytest.raises(Exception, match="index=True"):
+        df.select(h.selector_text(F.col("dom"), ["b"])).collect()
+
+
 def test_ld_json_blocks_skip_bad_json(pages):
     page = (
         '<script type="application/ld+json">{bad</script><script>{"a":1}</script>'

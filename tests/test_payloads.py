@@ -254,3 +254,18 @@ def test_validate_endpoints(spark):
     assert bad == "http_error"
     best = sg.best_endpoint(sg.validate_endpoints(df).withColumn("rank", F.col("seq"))).collect()
     assert [(b.api_url, b.jobs_found) for b in best] == [("https://h.com/0", 7)]
+
+
+def test_many_jobs_of_one_payload_take_about_linear_time(spark):
+    import json
+    import time
+
+    def took(n):
+        jobs = [{"title": f"Job {i // 2}", "location": "NYC", "url": f"/j/{i // 2}"} for i in range(n)]
+        df = spark.createDataFrame([(json.dumps({"jobs": jobs}), "https://h.com")], "body string, base_url string")
+        start = time.perf_counter()
+        assert len(pl.extract_listing_jobs(df).first().jobs) == n // 2
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(8000) < 3 * took(4000) + 1
