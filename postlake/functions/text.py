@@ -12,7 +12,6 @@ SPACE_CHARS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WORD = r"\p{L}\p{N}_"
 
 
 def strip(c: Column) -> Column:
@@ -78,18 +77,6 @@ def first_match(c: Column, patterns: Sequence[tuple[str, int]]) -> Column:
     return F.coalesce(*[stripped(p, g) for p, g in patterns])
 
 
-def whole_word(term: str) -> str:
-    """Pattern for ``term`` between word boundaries, for text and term in lower case.
-
-    A boundary next to a symbol (``c++``) needs a word character on the far side. The literal
-    comes first, so that the engine searches for it and only then looks around.
-    """
-    text = quote(term)
-    before = "!" if term[:1].isalnum() or term[:1] == "_" else "="
-    after = "!" if term[-1:].isalnum() or term[-1:] == "_" else "="
-    return rf"{text}(?<{before}[{WORD}]{text})(?{after}[{WORD}])"
-
-
 def join_filled(sep: str, *cols: Column) -> Column:
     """Non-empty parts joined by ``sep``; null when there is none."""
     return F.nullif(F.concat_ws(sep, *[filled(c) for c in cols]), F.lit(""))

@@ -6,7 +6,7 @@ without a shuffle. `explode_chunks` gives the long table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 from postlake.functions import lexicons as lex
 from postlake.functions.text import (
     any_contains,
-    count_contains,
     explode_rows,
     let,
     lit_array,
     or_empty,
     strip,
 )
+from postlake.functions.terms import counts_in_each
 
 BLANK_LINE = r"\n\s*\n"
 SENTENCE_END = r"(?<=[.!?])\s+"
 _OPEN = "struct<done:array<string>,cur:string>"
+_BLOCKS = "struct<done:array<array<string>>,cur:string>"
+#: Items folded before their results are appended to those of the blocks before: no step copies a long list.
+BLOCK = 256
 _BUDGET = "struct<kept:array<string>,total:int,full:boolean>"
 
 
@@ -40,8 +43,22 @@ def _state(done: Column, cur: Column) -> Column:
     return F.struct(done.alias("done"), cur.alias("cur")).cast(_OPEN)
 
 
-def _start() -> Column:
-    return _state(lit_array([]), F.lit(""))
+def _packed(items: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` puts together from the items in order, block by block."""
+
+    def over(held: Column) -> Column:
+        def block(acc: Column, at: Column) -> Column:
+            inner = F.aggregate(F.slice(held, at + 1, F.lit(BLOCK)), _state(lit_array([]), acc.cur), step)
+            return let(
+                inner, lambda i: F.struct(F.array_append(acc.done, i.done).alias("done"), i.cur.alias("cur")).cast(_BLOCKS)
+            )
+
+        start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.lit("").alias("cur")).cast(_BLOCKS)
+        starts = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.size(held) - 1, F.lit(BLOCK)))
+        blocks = F.coalesce(starts, F.array().cast("array<int>"))
+        return F.aggregate(blocks, start, block, lambda acc: _append(F.flatten(acc.done), acc.cur))
+
+    return let(items, over)
 
 
 def _glue(cur: Column, part: Column, joiner: str) -> Column:
@@ -67,10 +84,7 @@ def sentence_chunks(par: Column, size: int) -> Column:
             .otherwise(_state(closed, s))
         )
 
-    packed = F.aggregate(
-        F.split(par, SENTENCE_END), _start(), step, lambda acc: _append(acc.done, acc.cur)
-    )
-    return F.when(F.length(par) <= size, F.array(par)).otherwise(packed)
+    return F.when(F.length(par) <= size, F.array(par)).otherwise(_packed(F.split(par, SENTENCE_END), step))
 
 
 def chunk_array(text: Column, size: int = 800, sep: str = BLANK_LINE) -> Column:
@@ -91,20 +105,7 @@ def chunk_array(text: Column, size: int = 800, sep: str = BLANK_LINE) -> Column:
             .otherwise(_state(closed, p))
         )
 
-    return F.aggregate(
-        paragraph_array(text, sep), _start(), step, lambda acc: _append(acc.done, acc.cur)
-    )
-
-
-def chunk_score(
-    chunk: Column,
-    relevant: Sequence[str] = lex.RELEVANT_TERMS,
-    irrelevant: Sequence[str] = lex.IRRELEVANT_TERMS,
-) -> Column:
-    def score(low: Column) -> Column:
-        return count_contains(low, relevant) - F.lit(2) * count_contains(low, irrelevant)
-
-    return let(F.lower(chunk), score)
+    return _packed(paragraph_array(text, sep), step)
 
 
 def scored_array(
@@ -112,12 +113,19 @@ def scored_array(
     relevant: Sequence[str] = lex.RELEVANT_TERMS,
     irrelevant: Sequence[str] = lex.IRRELEVANT_TERMS,
 ) -> Column:
-    return F.transform(
-        chunks,
-        lambda c, i: F.struct(
-            chunk_score(c, relevant, irrelevant).alias("score"), i.alias("pos"), c.alias("chunk")
-        ),
-    )
+    """Chunks with their score: relevant terms that occur, less twice the irrelevant ones."""
+    lows = F.transform(chunks, F.lower)
+
+    def joined(counts: Column) -> Column:
+        return F.transform(
+            chunks,
+            lambda c, i: let(
+                F.get(counts, i),
+                lambda n: F.struct((n[0] - F.lit(2) * n[1]).alias("score"), i.alias("pos"), c.alias("chunk")),
+            ),
+        )
+
+    return let(counts_in_each(lows, (relevant, irrelevant)), joined)
 
 
 def best_chunks(scored: Column, text: Column, k: int = 5, fallback: int = 1500) -> Column:

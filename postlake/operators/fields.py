@@ -17,8 +17,8 @@ from postlake.functions.text import (
     lit_array,
     or_empty,
     strip,
-    whole_word,
 )
+from postlake.functions.terms import terms_in
 from postlake.functions.urls import job_id_from_url
 from postlake.operators.html import (
     HIDE_NONE,
@@ -296,13 +296,8 @@ def text_remote_type(text: Column, pattern: str = lex.REMOTE_PATTERN) -> Column:
 
 
 def term_tags(text: Column, terms: Sequence[str] = lex.SKILL_TERMS) -> Column:
-    """Sorted terms that occur as whole words, ignoring case."""
-
-    def tags(low: Column) -> Column:
-        hits = [F.when(low.rlike(whole_word(t.lower())), F.lit(t)) for t in terms]
-        return F.array_sort(F.array_compact(F.array(*hits)))
-
-    return let(F.lower(text), tags)
+    """Sorted terms that occur as whole words, ignoring case; one pass over the text for any number of them."""
+    return terms_in(F.lower(text), [t.lower() for t in terms], terms)
 
 
 def tag_terms(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from postlake.functions import jsonv as jv
 from postlake.functions import lexicons as lex
+from postlake.functions.terms import counts_in
 from postlake.functions.text import any_contains, count_contains, let, lit_array, or_empty, strip
 from postlake.operators.dedupe import dedupe_first, top_n_per
 from postlake.operators.html import anchor_array
@@ -89,18 +90,23 @@ def filled_fields(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def page_signals(
     pages: DataFrame,
-    discovered: DataFrame | None = None,
+    discovered: DataFrame | Column | None = None,
     page_id: str = "page_id",
     terms: Sequence[str] = lex.PAGE_TERMS,
     paging: Sequence[str] = lex.PAGING_TERMS,
     href_tokens: Sequence[str] = lex.LINK_HREF_TOKENS,
     label_tokens: Sequence[str] = lex.LINK_LABEL_TOKENS,
     url_tokens: Sequence[str] = lex.DISCOVERED_TOKENS,
+    links: str | None = None,
 ) -> DataFrame:
     """Term, paging, link and discovered-URL counts per page, counted inside the row.
 
-    ``discovered(page_id, url)`` is reduced to one count per page before it is joined.
+    ``discovered`` is a table (page_id, url), reduced to one count per page before it is joined, or
+    a column with the array of a page's URLs, counted in the row. ``links`` names a column that holds the
+    page's `anchor_array`, if it is at hand.
     """
+    found_links = F.col(links) if links else anchor_array(F.col("html"))
+    in_row = discovered if isinstance(discovered, Column) else F.array().cast("array<string>")
     text = F.regexp_replace(F.lower(or_empty(F.col("html"))), lex.TAG_PATTERN, " ")
 
     def is_job_link(a: Column) -> Column:
@@ -110,17 +116,16 @@ def page_signals(
     kept = [c for c in pages.columns if c != "html"]
     counted = pages.select(
         *kept,
-        let(
-            text,
-            lambda t: F.struct(
-                count_contains(t, terms).alias("keyword_hits"),
-                count_contains(t, paging).alias("pagination_hits"),
-            ),
-        ).alias("_t"),
-        F.size(F.filter(anchor_array(F.col("html")), is_job_link)).alias("job_link_count"),
-    ).select(*kept, "_t.keyword_hits", "_t.pagination_hits", "job_link_count")
-    if discovered is None:
-        return counted.withColumn("browser_signal_count", F.lit(0).cast("long"))
+        counts_in(text, (terms, paging)).alias("_hits"),
+        F.size(F.filter(found_links, is_job_link)).alias("job_link_count"),
+        F.size(F.filter(in_row, lambda x: any_contains(F.lower(x), url_tokens))).cast("long").alias("browser_signal_count"),
+    ).select(
+        *kept, F.col("_hits")[0].alias("keyword_hits"), F.col("_hits")[1].alias("pagination_hits"),
+        "job_link_count", "browser_signal_count",
+    )
+    if discovered is None or isinstance(discovered, Column):
+        return counted
+    counted = counted.drop("browser_signal_count")
     urls = discovered.groupBy(page_id).agg(
         F.count_if(any_contains(F.lower("url"), url_tokens)).alias("browser_signal_count")
     )

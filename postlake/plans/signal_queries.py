@@ -12,6 +12,7 @@ from postlake.operators import signals as sg
 from postlake.operators.dedupe import top_n_per
 from postlake.plans.registry import Tables, query
 from postlake.plans.url_queries import ANCHOR_SQL, DOMAIN_SQL, ORIGIN_SQL
+from postlake.session import stored
 
 # Words that occur in the invented pages.
 PAGE_TERMS = ("license", "que", "thing", "ouch", "edit")
@@ -33,13 +34,14 @@ SIGNALS_SQL = rf"""{ANCHOR_SQL},
     LEFT JOIN links USING (page_id) LEFT JOIN urls USING (page_id))"""
 
 
+TERMS = {"terms": PAGE_TERMS, "paging": PAGING, "href_tokens": HREFS, "label_tokens": LABELS, "url_tokens": FOUND}
+
+
 def page_signals(t: Tables) -> DataFrame:
     found = h.anchors(t.pages, keep=["url"]).select(
         "page_id", F.concat(u.get_origin(F.col("url")), F.col("href")).alias("url")
     )
-    return sg.page_signals(
-        t.pages, found, terms=PAGE_TERMS, paging=PAGING, href_tokens=HREFS, label_tokens=LABELS, url_tokens=FOUND
-    )
+    return sg.page_signals(t.pages, found, **TERMS)
 
 
 SIGNAL_COLUMNS = ("page_id", "keyword_hits", "pagination_hits", "job_link_count", "browser_signal_count")
@@ -75,16 +77,24 @@ def _(t: Tables) -> DataFrame:
       FROM sites LEFT JOIN (SELECT * FROM ranked WHERE link_rank <= 5) USING (domain)""",
 )
 def _(t: Tables) -> DataFrame:
-    """Per domain: page, term and link counts, the usable flag and the first five links."""
+    """Per domain: page, term and link counts, the usable flag and the first five links.
+
+    One pass over the pages gives their counts and their own first five links, which is all that a
+    domain's first five can come from; what it gives is small and is grouped twice.
+    """
     domain = u.get_domain(F.col("url")).alias("domain")
-    detected = sg.detect_paged(page_signals(t)).withColumn("domain", domain)
-    sites = detected.groupBy("domain").agg(
+    pages = t.pages.withColumn("links", h.anchor_array(F.col("html")))
+    urls = F.transform("links", lambda a: F.concat(u.get_origin(F.col("url")), a.href))
+    firsts = F.transform(F.slice("links", 1, 5), lambda a, i: F.struct(i.alias("pos"), a.href.alias("href")))
+    detected = sg.detect_paged(sg.page_signals(pages, urls, links="links", **TERMS))
+    seen = stored(detected.withColumns({"domain": domain, "firsts": firsts}).drop("links"), "signals")
+    sites = seen.groupBy("domain").agg(
         F.count("*").alias("pages"),
         F.sum("keyword_hits").alias("keyword_hits"),
         F.sum("job_link_count").alias("job_links"),
         F.max("usable").alias("usable"),
     )
-    links = h.anchors(t.pages, keep=["url"]).select(domain, "url", "page_id", "pos", "href")
+    links = seen.select("domain", "url", "page_id", F.explode("firsts").alias("x")).select("domain", "url", "page_id", "x.*")
     top = top_n_per(links, ["domain"], ["page_id", "pos"], 5)
     ranks = top.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("page_id", "pos", "url", "href"))).alias("l"))
     first = ranks.select("domain", F.posexplode("l").alias("i", "x")).select(

@@ -110,3 +110,31 @@ def test_chunk_stats_of_blank_text(spark):
     assert (b.original_text_length, b.filtered_text_length, b.number_of_chunks_selected) == (13, 13, 1)
     plan = ck.chunk_stats(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_packing_takes_about_linear_time(spark):
+    import time
+
+    def took(n):
+        pars = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("Par one. Two three "), i.cast("string"))), "\n\n")
+        long = F.repeat(F.lit("A sentence of some words. "), n)
+        df = spark.range(1).select(F.concat(pars, F.lit("\n\n"), long).alias("text"))
+        start = time.perf_counter()
+        assert ck.pack_chunks(df, 60).select(F.size("chunks").alias("n")).first().n > n // 2
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(80_000) < 3 * took(40_000) + 1
+
+
+def test_packing_across_blocks(one):
+    words = [f"w{i}" for i in range(1000)]
+    got = one(ck.chunk_array(F.col("x"), 10), "x string", ("\n\n".join(words),))
+    want, cur = [], ""
+    for w in words:
+        if len(cur) + len(w) <= 10:
+            cur = f"{cur}\n\n{w}" if cur else w
+        else:
+            want.append(cur)
+            cur = w
+    assert got == [*want, cur]
