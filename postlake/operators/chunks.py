@@ -6,8 +6,11 @@ without a shuffle. `explode_chunks` gives the long table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +27,7 @@ from postlake.functions.terms import counts_in_each
 
 BLANK_LINE = r"\n\s*\n"
 SENTENCE_END = r"(?<=[.!?])\s+"
-_OPEN = "struct<done:array<string>,cur:string>"
-_BLOCKS = "struct<done:array<array<string>>,cur:string>"
-#: Items folded before their results are appended to those of the blocks before: no step copies a long list.
-BLOCK = 256
+_SENTENCE_END = re.compile(SENTENCE_END, re.ASCII)
 _BUDGET = "struct<kept:array<string>,total:int,full:boolean>"
 
 
@@ -35,77 +35,67 @@ def paragraph_array(text: Column, sep: str = BLANK_LINE) -> Column:
     return F.filter(F.transform(F.split(or_empty(text), sep), strip), lambda p: p != "")
 
 
-def _append(acc: Column, item: Column) -> Column:
-    return F.when(item != "", F.array_append(acc, item)).otherwise(acc)
-
-
-def _state(done: Column, cur: Column) -> Column:
-    return F.struct(done.alias("done"), cur.alias("cur")).cast(_OPEN)
-
-
-def _packed(items: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """What ``step`` puts together from the items in order, block by block."""
-
-    def over(held: Column) -> Column:
-        def block(acc: Column, at: Column) -> Column:
-            inner = F.aggregate(F.slice(held, at + 1, F.lit(BLOCK)), _state(lit_array([]), acc.cur), step)
-            return let(
-                inner, lambda i: F.struct(F.array_append(acc.done, i.done).alias("done"), i.cur.alias("cur")).cast(_BLOCKS)
-            )
-
-        start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.lit("").alias("cur")).cast(_BLOCKS)
-        starts = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.size(held) - 1, F.lit(BLOCK)))
-        blocks = F.coalesce(starts, F.array().cast("array<int>"))
-        return F.aggregate(blocks, start, block, lambda acc: _append(F.flatten(acc.done), acc.cur))
-
-    return let(items, over)
+def _sentences(paragraph: str, size: int) -> list[str]:
+    """Sentences packed up to ``size`` characters; longer sentences are sliced."""
+    if len(paragraph) <= size:
+        return [paragraph]
+    done: list[str] = []
+    held: list[str] = []
+    length = 0  # of what is held, with its joiners
+    for s in _SENTENCE_END.split(paragraph):
+        if length + len(s) <= size:
+            length += len(s) + (1 if length else 0)
+            held += [s] if s or length else []
+            continue
+        if length:
+            done.append(" ".join(held))
+        held, length = [], 0
+        if len(s) > size:
+            done += [s[at : at + size] for at in range(0, len(s), size)]
+        else:
+            held, length = [s], len(s)
+    return done + ([" ".join(held)] if length else [])
+
+
+def _packed(paragraphs: list[str], size: int) -> list[str]:
+    """Paragraphs packed greedily; the joiner does not count towards the size."""
+    done: list[str] = []
+    held: list[str] = []
+    length = 0
+    for p in paragraphs:
+        if length + len(p) <= size:
+            length += len(p) + (2 if length else 0)
+            held.append(p)
+            continue
+        if length:
+            done.append("\n\n".join(held))
+        *whole, last = _sentences(p, size)
+        done += whole
+        held, length = [last], len(last)
+    return done + (["\n\n".join(held)] if length else [])
 
 
-def _glue(cur: Column, part: Column, joiner: str) -> Column:
-    return F.when(cur == "", part).otherwise(F.concat(cur, F.lit(joiner), part))
+def _each(values: Column, work: Callable[[Any, int], list[str]], size: int) -> Column:
+    """``work`` for each value, in one Arrow pass; null stays null. Not for use inside a lambda."""
 
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else work(v, size) for v in column.to_pylist()], pa.list_(pa.string()))
 
-def _slices(text: Column, size: int) -> Column:
-    count = F.ceil(F.length(text) / size).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * size + 1, F.lit(size))
-    )
+    return F.arrow_udf(run, "array<string>")(values)
 
 
 def sentence_chunks(par: Column, size: int) -> Column:
     """Sentences packed up to ``size`` characters; longer sentences are sliced."""
-
-    def step(acc: Column, s: Column) -> Column:
-        fits = F.length(acc.cur) + F.length(s) <= size
-        closed = _append(acc.done, acc.cur)
-        return (
-            F.when(fits, _state(acc.done, _glue(acc.cur, s, " ")))
-            .when(F.length(s) > size, _state(F.concat(closed, _slices(s, size)), F.lit("")))
-            .otherwise(_state(closed, s))
-        )
-
-    return F.when(F.length(par) <= size, F.array(par)).otherwise(_packed(F.split(par, SENTENCE_END), step))
+    return _each(par, _sentences, size)
 
 
 def chunk_array(text: Column, size: int = 800, sep: str = BLANK_LINE) -> Column:
-    """Paragraphs packed greedily; the joiner does not count towards the size."""
-
-    def step(acc: Column, p: Column) -> Column:
-        fits = F.length(acc.cur) + F.length(p) <= size
-        closed = _append(acc.done, acc.cur)
-        split_up = let(
-            sentence_chunks(p, size),
-            lambda subs: _state(
-                F.concat(closed, F.slice(subs, 1, F.size(subs) - 1)), F.element_at(subs, -1)
-            ),
-        )
-        return (
-            F.when(fits, _state(acc.done, _glue(acc.cur, p, "\n\n")))
-            .when(F.length(p) > size, split_up)
-            .otherwise(_state(closed, p))
-        )
+    """Paragraphs packed greedily; the joiner does not count towards the size.
 
-    return _packed(paragraph_array(text, sep), step)
+    Lengths are added up and each chunk is joined once, so the work grows with the text; a fold of
+    Spark's would copy its list at every step.
+    """
+    return _each(paragraph_array(text, sep), _packed, size)
 
 
 def scored_array(

@@ -127,7 +127,7 @@ def test_packing_takes_about_linear_time(spark):
     assert took(80_000) < 3 * took(40_000) + 1
 
 
-def test_packing_across_blocks(one):
+def test_packing_many_paragraphs(one):
     words = [f"w{i}" for i in range(1000)]
     got = one(ck.chunk_array(F.col("x"), 10), "x string", ("\n\n".join(words),))
     want, cur = [], ""
