@@ -214,20 +214,31 @@ def _(t: Tables) -> DataFrame:
     return ck.next_heading(t.documents).select("doc_id", "heading_at")
 
 
-@query(
-    "summary_section",
-    r"""WITH s AS (SELECT doc_id, text, position('license' IN lower(text)) AS a, position('the' IN lower(text)) AS b FROM documents),
-      n AS (SELECT *, CASE WHEN a > 0 THEN substring(text, a + 7) END AS ta, CASE WHEN b > 0 THEN substring(text, b + 3) END AS tb FROM s),
-      c AS (SELECT *, trim(left(CASE WHEN position(E'\n' IN ta) > 0 THEN substring(ta, position(E'\n' IN ta) + 1) ELSE ta END, 60), E' \t\n') AS ca,
-          trim(left(CASE WHEN position(E'\n' IN tb) > 0 THEN substring(tb, position(E'\n' IN tb) + 1) ELSE tb END, 60), E' \t\n') AS cb FROM n)
-      SELECT doc_id, coalesce(nullif(ca, ''), nullif(cb, ''), trim(left(text, 50), E' \t\n')) AS summary FROM c""",
-)
+# The section under each phrase, up to the first line that looks like a heading; else the head of the text.
+SUMMARY_PHRASES, SUMMARY_CAP, SUMMARY_HEAD = ("license", "que", "the"), 300, 200
+SUMMARY_SQL = rf"""
+  phrases AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(SUMMARY_PHRASES))}) AS v(k, phrase)),
+  under AS (SELECT doc_id, k, substring(text, position(phrase IN lower(text)) + length(phrase)) AS rest
+    FROM documents, phrases WHERE position(phrase IN lower(text)) > 0),
+  sections AS (SELECT doc_id, k, trim(left(CASE WHEN position(E'\n' IN rest) > 0 THEN substring(rest, position(E'\n' IN rest) + 1)
+      ELSE rest END, {SUMMARY_CAP}), E' \t\n\r') AS sec FROM under),
+  section_lines AS (SELECT doc_id, k, sec, generate_subscripts(ls, 1) AS i, unnest(ls) AS line
+    FROM (SELECT *, string_split(sec, E'\n') AS ls FROM sections)),
+  section_starts AS (SELECT *, trim(line, E' \t\r') AS s, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, k ORDER BY i
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at FROM section_lines),
+  section_ends AS (SELECT doc_id, k, any_value(sec) AS sec, min(start_at) FILTER ({HEADING}) AS stop FROM section_starts GROUP BY ALL),
+  bodies AS (SELECT doc_id, k, CASE WHEN stop IS NULL THEN sec ELSE trim(left(sec, stop::BIGINT), E' \t\n\r') END AS body FROM section_ends),
+  summaries AS (SELECT d.doc_id, coalesce(b.body, trim(left(text, {SUMMARY_HEAD}), E' \t\n\r')) AS summary FROM documents d
+    LEFT JOIN (SELECT doc_id, arg_min(body, k) AS body FROM bodies WHERE body <> '' GROUP BY 1) b USING (doc_id))"""
+
+
+def summaries(rows: DataFrame) -> DataFrame:
+    return ck.summary_section(rows, headings=SUMMARY_PHRASES, cap=SUMMARY_CAP, fallback=SUMMARY_HEAD)
+
+
+@query("summary_section", f"WITH {SUMMARY_SQL} SELECT doc_id, summary FROM summaries")
 def _(t: Tables) -> DataFrame:
-    # Every line is blocked as a heading, so that the check covers the phrase search alone.
-    out = ck.summary_section(
-        t.documents, headings=("license", "the"), cap=60, fallback=50, blocked=("",)
-    )
-    return out.select("doc_id", "summary")
+    return summaries(t.documents).select("doc_id", "summary")
 
 
 @query(
@@ -267,9 +278,11 @@ def _(t: Tables) -> DataFrame:
 @query(
     "norm_lists",
     rf"""WITH w AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM (SELECT doc_id, {WORDS_SQL} AS l FROM documents)),
-      f AS (SELECT doc_id, lower(trim(w, E' \n')) AS k FROM w WHERE trim(w, E' \n') <> ''),
-      c AS (SELECT doc_id, least(count(DISTINCT k), 15) AS n FROM f GROUP BY 1)
-      SELECT d.doc_id, coalesce(c.n, 0) AS skills, CASE WHEN d.source = '' THEN 0 ELSE 1 END::BIGINT AS tools_and_technologies, 0::BIGINT AS benefits
+      f AS (SELECT doc_id, i, trim(w, E' \n') AS w FROM w WHERE trim(w, E' \n') <> ''),
+      u AS (SELECT doc_id, min(i) AS i, arg_min(w, i) AS w FROM f GROUP BY doc_id, lower(w)),
+      r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM u),
+      c AS (SELECT doc_id, string_agg(w, '|' ORDER BY n) AS skills FROM r WHERE n <= 15 GROUP BY 1)
+      SELECT d.doc_id, coalesce(c.skills, '') AS skills, trim(d.source) AS tools_and_technologies, '' AS benefits
       FROM documents d LEFT JOIN c USING (doc_id)""",
 )
 def _(t: Tables) -> DataFrame:
@@ -277,7 +290,7 @@ def _(t: Tables) -> DataFrame:
         "doc_id", F.split("text", " ").alias("skills"), F.col("source").alias("tools_and_technologies")
     )
     out = rec.norm_lists(rows)
-    return out.select("doc_id", *[F.size(c).alias(c) for c in ("skills", "tools_and_technologies", "benefits")])
+    return out.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("skills", "tools_and_technologies", "benefits")])
 
 
 @query(
@@ -298,9 +311,9 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "strip_large",
-    """SELECT doc_id, 0::BIGINT AS pos, lang AS section_title, left(text, 150) AS content FROM documents
-      UNION ALL SELECT doc_id, 1, left(text, 90), source FROM documents
-      UNION ALL SELECT doc_id, CASE WHEN length(text) >= 0 THEN 2 END, 'whole', text FROM documents WHERE length(text) < 200""",
+    """SELECT doc_id, 0::BIGINT AS pos, lang AS section_title, text AS content FROM documents WHERE length(text) < 200
+      UNION ALL SELECT doc_id, CASE WHEN length(text) < 200 THEN 1 ELSE 0 END, text, source FROM documents WHERE length(text) < 100
+      UNION ALL SELECT doc_id, (length(text) < 200)::INTEGER + (length(text) < 100)::INTEGER, 'id', doc_id::VARCHAR FROM documents""",
 )
 def _(t: Tables) -> DataFrame:
     def section(title: Column, content: Column) -> Column:
@@ -311,10 +324,10 @@ def _(t: Tables) -> DataFrame:
         "doc_id",
         text.alias("description"),
         F.array(
-            section(F.col("lang"), F.left(text, F.lit(150))),
-            section(F.left(text, F.lit(90)), F.col("source")),
-            section(F.lit("whole"), text),
+            section(F.col("lang"), text),
+            section(text, F.col("source")),
             section(F.rpad(F.col("lang"), 120, "-"), F.col("source")),
+            section(F.lit("id"), F.col("doc_id").cast("string")),
         ).alias("additional_sections"),
     )
     kept = rec.strip_large(rows)
@@ -366,14 +379,12 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "build_prompts_filtered",
-    rf"""WITH {RANK_SQL}, l AS (SELECT doc_id, string_agg('SECTION ' || (pos + 1) || E':\n' || chunk, E'\n\n---\n\n' ORDER BY pos) AS body FROM top GROUP BY 1)
-      SELECT doc_id, repeat('-', 34) || E'\n\nINPUT (filtered to relevant job content):\nJOB SUMMARY:\n' || left(text, 40) || E'\n\n---\n\n' || body
-        || E'\n\n' || repeat('-', 34) || E'\n\nOUTPUT:' AS prompt FROM l JOIN documents USING (doc_id)""",
+    rf"""WITH {RANK_SQL}, {SUMMARY_SQL}, l AS (SELECT doc_id, string_agg('SECTION ' || (pos + 1) || E':\n' || chunk, E'\n\n---\n\n' ORDER BY pos) AS body FROM top GROUP BY 1)
+      SELECT doc_id, repeat('-', 34) || E'\n\nINPUT (filtered to relevant job content):\nJOB SUMMARY:\n' || summary || E'\n\n---\n\n' || body
+        || E'\n\n' || repeat('-', 34) || E'\n\nOUTPUT:' AS prompt FROM l JOIN summaries USING (doc_id)""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = ck.top_chunks(_scored(t), 4).withColumns(
-        {"known": F.create_map().cast("map<string,string>"), "summary": F.left("text", F.lit(40))}
-    )
+    rows = summaries(ck.top_chunks(_scored(t), 4)).withColumn("known", F.create_map().cast("map<string,string>"))
     return pl.build_prompts(rows, mode="filtered").select("doc_id", "prompt")
 
 
