@@ -12,7 +12,7 @@ from postlake.operators import html as h
 from postlake.operators import merge as mg
 from postlake.operators import records as rec
 from postlake.operators import sites as si
-from postlake.plans.page_queries import with_posting
+from postlake.plans.page_queries import CLEAN_SQL, TITLE_SQL, with_posting
 from postlake.plans.registry import Tables, query
 from postlake.plans.url_queries import ANCHOR_SQL, DOMAIN_SQL, ORIGIN_SQL, form
 from postlake.session import scratch_path
@@ -447,10 +447,13 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "extract_details",
-    rf"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Role ' || page_id ELSE NULL END AS posted_title,
+    rf"""WITH {CLEAN_SQL} SELECT page_id, trim(CASE WHEN page_id % 2 = 0 THEN 'Role ' || page_id ELSE {TITLE_SQL} END, E' \n\t') AS title,
         CASE WHEN page_id % 2 = 0 THEN 'json_ld' ELSE 'html_basic' END AS parser_used,
+        CASE WHEN page_id % 2 = 0 THEN 'USD ' || (page_id * 1000 + 1) || '-' || (page_id * 1000 + 500) END AS posted_salary,
+        CASE WHEN page_id % 2 = 0 THEN 'full_time' END AS posted_kind, CASE WHEN page_id % 2 = 0 THEN '2026-04-07' END AS posted_on,
+        CASE WHEN page_id % 2 = 0 THEN {DOMAIN_SQL} END AS posted_company, page_id % 3 = 0 AS has_reply,
         CASE WHEN page_id % 3 = 0 THEN 'SQL' ELSE '' END AS required_skills,
-        CASE WHEN page_id % 3 = 0 THEN 30 ELSE 0 END::BIGINT AS total_tokens FROM pages""",
+        CASE WHEN page_id % 3 = 0 THEN 30 ELSE 0 END::BIGINT AS total_tokens FROM stripped JOIN pages USING (page_id, url)""",
 )
 def _(t: Tables) -> DataFrame:
     even = t.pages.where("page_id % 2 = 0")
@@ -460,13 +463,13 @@ def _(t: Tables) -> DataFrame:
         F.lit(20).alias("prompt_tokens"), F.lit(10).alias("completion_tokens"), F.lit(30).alias("total_tokens"),
     )
     out = rec.extract_details(pages, replies, force=True)
+    stated = lambda c: F.when(F.col("_meta.parser_used") == "json_ld", F.col(c))
     return out.select(
-        "page_id",
-        F.when(F.col("_meta.parser_used") == "json_ld", F.col("title")).alias("posted_title"),
-        "_meta.parser_used",
-        F.array_join("required_skills", "|").alias("required_skills"),
+        "page_id", "title", "_meta.parser_used", stated("salary").alias("posted_salary"), stated("employment_type").alias("posted_kind"),
+        stated("posted_on").alias("posted_on"), stated("company_name").alias("posted_company"),
+        (F.col("ai_usage.total_tokens") > 0).alias("has_reply"), F.array_join("required_skills", "|").alias("required_skills"),
         "ai_usage.total_tokens",
-    )
+    )
 
 
 # --- Sources and sinks ------------------------------------------------------
