@@ -273,16 +273,14 @@ def _list_text(c: Column) -> Column:
     )
 
 
-def _record(df: DataFrame, skills: Column, education: Column, places: Column, extra: Column) -> DataFrame:
-    usage = (
-        F.col("ai_usage")
-        if "ai_usage" in df.columns
-        else F.struct(
-            *[F.lit(0).cast("long").alias(n) for n in ("input_tokens", "output_tokens", "total_tokens")]
-        )
-    )
+def _record(
+    df: DataFrame, skills: Column, education: Column, places: Column, extra: Column, keep: Sequence[str] = ()
+) -> DataFrame:
+    none = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("input_tokens", "output_tokens", "total_tokens")])
+    usage = F.coalesce(F.col("ai_usage"), none) if "ai_usage" in df.columns else none
     url, job_id = _have(df, "url"), _have(df, "job_id")
     return df.select(
+        *keep,
         fallback_id(job_id, url).alias("id"),
         _have(df, "title").alias("title"),
         _have(df, "company_name").alias("company_name"),
@@ -325,8 +323,8 @@ def _skills(df: DataFrame, compat: bool) -> Column:
     return F.when(F.size(required) > 0, required).otherwise(listed)
 
 
-def to_record_api(details: DataFrame, compat: bool = False) -> DataFrame:
-    """The 18-field record of API details.
+def to_record_api(details: DataFrame, compat: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """The 18-field record of API details, behind the columns to keep.
 
     ``compat`` keeps two oddities: `skills` hides the reply's skills even when empty, and an
     empty education becomes the text of the qualification list.
@@ -338,10 +336,10 @@ def to_record_api(details: DataFrame, compat: bool = False) -> DataFrame:
         _have(details, "department").alias("department"),
         _have(details, "qualifications", "array<string>").alias("qualifications"),
     )
-    return _record(details, _skills(details, compat), _education(details, compat), _places(details), extra)
+    return _record(details, _skills(details, compat), _education(details, compat), _places(details), extra, keep)
 
 
-def to_record_dom(details: DataFrame, compat: bool = False) -> DataFrame:
+def to_record_dom(details: DataFrame, compat: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """The same record for page details, with six more lists in ``Scrap_json``."""
     names = (
         "preferred_skills", "tools_and_technologies", "certifications", "soft_skills",
@@ -356,7 +354,7 @@ def to_record_dom(details: DataFrame, compat: bool = False) -> DataFrame:
         (F.coalesce(F.col("_meta.ai_forced"), F.lit(False)) if has_meta else F.lit(False)).alias("ai_forced"),
         *[_have(details, n, "array<string>").alias(n) for n in names],
     )
-    return _record(details, _skills(details, False), _education(details, compat), _places(details), extra)
+    return _record(details, _skills(details, False), _education(details, compat), _places(details), extra, keep)
 
 
 def to_record_legacy(details: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from postlake.plans import (  # noqa: F401
+    flow_queries,
     merge_queries,
     page_queries,
     payload_queries,
