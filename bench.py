@@ -1,6 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
-BENCH_SF_DIR names the data folder, BENCH_CPUS the number of local cores.
+BENCH_SF_DIR names the data folder, BENCH_CPUS the number of local cores. Each table there is one file
+with one row group, which one task has to read whatever the number of cores; real tables are many files.
+So the tables are first written again as ``FILES`` files each, before the clock starts.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from postlake.plans.catalog import QUERIES
-from postlake.session import local_session, ship_package
+from postlake.session import local_session, scratch_path, ship_package
+
+FILES = 16
+TABLES = ("conversations", "customer", "documents", "events", "labels", "lineitem", "orders", "pages", "part")
 
 HEADLINE = (
     "site_overview",
@@ -48,13 +53,16 @@ def main() -> None:
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
+    spread = scratch_path(spark, "bench")
+    for table in TABLES:
+        spark.read.parquet(f"{folder}/{table}.parquet").repartition(FILES).write.parquet(f"{spread}/{table}.parquet")
     # Start-up, code generation and the Python workers are no part of a query's time.
     for name in ("site_overview", "dedupe_first"):
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        QUERIES[name](spark, spread).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        QUERIES[name](spark, spread).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     scale = folder.rstrip("/").rsplit("sf", 1)[-1]

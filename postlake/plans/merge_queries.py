@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -672,3 +674,23 @@ def _(t: Tables) -> DataFrame:
         F.col("user_id").alias("site"), F.round("value").cast("long").alias("url"), F.date_trunc("day", "ts").alias("captured_at")
     )
     return st.posting_lifetime(rows)
+
+
+@query(
+    "stream_lifetime",
+    """WITH s AS (SELECT user_id % 5 AS site, round(value * 3)::BIGINT AS url, date_trunc('day', ts) AS d FROM events),
+      n AS (SELECT max(d) AS newest FROM s)
+      SELECT site, url, min(d) AS first_seen, max(d) AS last_seen, max(d) = any_value(newest) AS is_active FROM s, n GROUP BY site, url""",
+)
+def _(t: Tables) -> DataFrame:
+    """Daily runs of five sites; four times some days land and the stream takes what is there."""
+    landed, mark, out = (scratch_path(t.spark, n) for n in ("runs", "offsets", "lifetimes"))
+    day = F.date_trunc("day", "ts").cast("timestamp")
+    rows = t.events.select((F.col("user_id") % 5).alias("site"), F.round(F.col("value") * 3).cast("long").alias("url"), day.alias("captured_at"))
+    for k in range(4):
+        part = F.least(F.floor((F.dayofmonth("captured_at") - 1) / 8), F.lit(3)) == k
+        rows.where(part).write.mode("append").parquet(landed)
+        seen = st.stream_lifetime(t.spark.readStream.schema(rows.schema).parquet(landed), timedelta(days=1))
+        started = seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+        started.trigger(availableNow=True).start().awaitTermination()
+    return st.lifetimes(t.spark.read.schema(seen.schema).parquet(out))

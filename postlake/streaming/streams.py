@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postlake.operators.dedupe import listing_key
 from postlake.sources.io import add_compacted, snapshot_columns, upsert_into_jobs
@@ -86,3 +91,71 @@ def posting_lifetime(snapshots: DataFrame, site: str = "site", url: str = "url",
     return seen.join(newest, site).select(
         site, url, "first_seen", "last_seen", (F.col("last_seen") == F.col("_newest")).alias("is_active")
     )
+
+
+def stream_lifetime(
+    snapshots: DataFrame,
+    period: timedelta,
+    delay: str = "0 seconds",
+    site: str = "site",
+    url: str = "url",
+    ts: str = "captured_at",
+) -> DataFrame:
+    """Sightings of postings as they arrive: site, url, first_seen, last_seen, is_active.
+
+    A posting that is seen is given out as active. When time has passed ``period``, the longest time
+    between two runs, without it, it is given out once as inactive and its state is dropped; a later
+    sighting starts anew. State is two times per active posting, so no site gathers in one task.
+    `lifetimes` folds what was given out. Spark leaves out rows that come more than ``delay`` behind the
+    newest one of the batches before, so it must cover the longest lateness. Rows without site, URL or
+    time are left out.
+    """
+    step = period // timedelta(microseconds=1)
+    fields = ["site", "url", "first", "last", "active"]
+
+    def seen(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, *known, False)], columns=fields)
+            return
+        times = [t for part in parts for t in (part["at"].min(), part["at"].max())]
+        first, last = (int(f([*times, *(known or ())])) for f in (min, max))
+        until = (last + step) // 1000 - 1
+        active = until > state.getCurrentWatermarkMs()
+        if active:
+            state.update((first, last))
+            state.setTimeoutTimestamp(until)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(*key, first, last, active)], columns=fields)
+
+    rows = snapshots.select(
+        F.col(site).alias("site"), F.col(url).alias("url"), F.col(ts).cast("timestamp").alias("time")
+    ).dropna()
+    kinds = rows.schema
+    given = (
+        rows.withWatermark("time", delay)
+        .withColumn("at", F.unix_micros("time"))
+        .groupBy("site", "url")
+        .applyInPandasWithState(
+            seen,
+            f"site {kinds['site'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, first long, last long, active boolean",
+            "first long, last long",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
+        )
+    )
+    return given.select(
+        F.col("site").alias(site), F.col("url").alias(url), F.timestamp_micros("first").alias("first_seen"),
+        F.timestamp_micros("last").alias("last_seen"), F.col("active").alias("is_active"),
+    )
+
+
+def lifetimes(given: DataFrame, site: str = "site", url: str = "url") -> DataFrame:
+    """First and last sighting of each posting and whether it is active, from what `stream_lifetime` gave out."""
+    return given.groupBy(site, url).agg(
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.max_by("is_active", F.struct("last_seen", ~F.col("is_active"))).alias("is_active"),
+    )

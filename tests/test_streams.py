@@ -125,3 +125,35 @@ def test_stream_reads_ids_that_start_with_an_underscore(spark, tmp_path):
     pages = st.stream_pages(spark, str(tmp_path / "in"))
     pages.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert {r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"_R1", ".R2", "=R3", "J"}
+
+
+def replay(spark, tmp_path, days, name):
+    """Days of (site, url) sightings, each landed and taken; rows that were given out, and the state left after each."""
+    from datetime import datetime, timedelta
+
+    schema, states = "site string, url string, captured_at timestamp", []
+    for i, seen in enumerate(days):
+        rows = [(s, u, datetime(2026, 1, 1) + timedelta(days=i)) for s, u in seen]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        given = st.stream_lifetime(spark.readStream.schema(schema).parquet(str(tmp_path / name)), timedelta(days=1))
+        out = given.writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out"))
+        query = out.option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    return spark.read.parquet(str(tmp_path / f"{name}-out")), states
+
+
+def test_lifetimes_of_a_replayed_stream(spark, tmp_path):
+    days = [[("s", "a"), ("s", "b"), ("t", "a")], [("s", "a"), ("s", "a"), (None, "x"), ("s", None)], [("s", "a"), ("s", "c"), ("t", "a")], [("s", "c")]]
+    given, states = replay(spark, tmp_path, days, "runs")
+    got = {(r.site, r.url): (r.first_seen.day, r.last_seen.day, r.is_active) for r in st.lifetimes(given).collect()}
+    assert got == {("s", "a"): (1, 3, False), ("s", "b"): (1, 1, False), ("s", "c"): (3, 4, True), ("t", "a"): (1, 3, False)}
+    # A posting that a run passed without is given out once as inactive, and nothing is kept of it.
+    assert given.where("url = 'b' AND NOT is_active").count() == 1
+    assert given.where("site = 't' AND NOT is_active").count() == 2
+    assert states[-1] == 1
+
+
+def test_lifetimes_of_no_rows(spark, tmp_path):
+    given = spark.createDataFrame([], "site string, url string, first_seen timestamp, last_seen timestamp, is_active boolean")
+    assert st.lifetimes(given).collect() == []
