@@ -67,9 +67,20 @@ def sample_keys(df: DataFrame, key: str, bound: int) -> DataFrame:
     return keys.orderBy(order, key).limit(bound)
 
 
-def sample_rows(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """The rows of at most ``bound`` keys. The keys are few by ``bound``, so they may be broadcast."""
-    return df.join(F.broadcast(sample_keys(df, key, bound)), key, "left_semi")
+def sample_rows(df: DataFrame, key: str, text: str, bound: int) -> DataFrame:
+    """At most ``bound`` distinct rows (key, text), chosen by the hashes of key, then text; null keys are left out.
+
+    So a key that very many rows share gives no more rows than any other bound of the same size. The
+    last pair of hashes that is taken is found first, by a distinct and an ordered limit of hashes.
+    """
+    h = F.xxhash64(F.col(key).cast("string"))
+    rows = df.where(F.col(key).isNotNull()).select(h.alias("_k"), F.xxhash64(F.col(text).cast("string")).alias("_t"), key, text)
+    pairs = rows.select("_k", "_t").distinct().orderBy("_k", "_t").limit(bound)
+    last = pairs.agg(F.max(F.struct("_k", "_t")).alias("m")).first()["m"]
+    if last is None:
+        return rows.limit(0).select(key, text)
+    taken = (F.col("_k") < last["_k"]) | ((F.col("_k") == last["_k"]) & (F.col("_t") <= last["_t"]))
+    return rows.where(taken).dropDuplicates(["_k", "_t"]).select(key, text)
 
 
 def by_group(

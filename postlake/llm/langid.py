@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from postlake.llm.common import stored, texts_in, with_columns
 
 UNKNOWN = "und"
+#: What a label must look like to name a language.
+CODE = r"^[a-z]{2,3}([-_][a-z0-9]+)*$"
 _BITS = 15
 _NO_WORD = re.compile(r"\S*[0-9]\S*|[\W_]+")
 _PART = 1 << 18  # code points scored at a time
@@ -81,6 +83,8 @@ def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = 3000, least
 
     Languages are counted over the whole table. Those with fewer than ``least`` distinct rows are left out;
     by default every declared language is in the model, which takes 128 KB for each. Repeated rows teach once.
+    Labels that are no language code (two or three letters, with or without further parts) teach nothing, so
+    junk in that column makes no languages.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +101,7 @@ def fit(df: DataFrame, key: str, text: str, lang: str, sample: int = 3000, least
     name = F.lower(F.col(lang).cast("string"))
     hashed = F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string"))
     labelled = df.select(F.col(text).cast("string").alias("t"), name.alias("l"), F.pmod(hashed, F.lit(1 << 52)).alias("h"))
-    labelled = labelled.where("l IS NOT NULL AND l <> ''")
+    labelled = labelled.where(F.rlike("l", F.lit(CODE)) & (F.col("l") != UNKNOWN))
     found = sample_by_language(labelled, sample).select("t", "l").coalesce(8).mapInPandas(count, "l string, n long, c binary").collect()
     counts: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}

@@ -352,7 +352,10 @@ class PageModel:
 
 
 def fit(df: DataFrame, key: str = "page_id", markup: str = "html", sample: int = 300) -> PageModel:
-    """Fit on at most ``sample`` pages, chosen by the hash of their key. Without a telling page all is kept."""
+    """Fit on at most ``sample`` distinct pages, chosen by the hashes of key and markup.
+
+    Pages without a key are left out of it; repeated rows teach once. Without a telling page all is kept.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -364,7 +367,7 @@ def fit(df: DataFrame, key: str = "page_id", markup: str = "html", sample: int =
                     out += [(x.tolist(), y, turn) for x, y in zip(features(page), taught(page)) if y is not None]
             yield pd.DataFrame(out, columns=["x", "y", "turn"])
 
-    chosen = sample_rows(df, key, sample).select(F.col(markup).cast("string").alias("m"))
+    chosen = sample_rows(df, key, markup, sample).select(F.col(markup).cast("string").alias("m"))
     got = chosen.mapInPandas(rows, "x array<double>, y int, turn int").toPandas()
     got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["turn", "key", "y"], kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,28 +243,39 @@ class SpanModel:
         if not rows:
             return added
         p = self.trees.probability(np.array(rows, float))
+        taken: list[list[tuple[int, int]]] = [[] for _ in texts]  # (start, end) of what is added, in order
         for j in np.argsort(-p, kind="stable"):
-            if p[j] >= self.cuts[spans[j][0]] and _apart([spans[j]], added[owners[j]])[0]:
+            kind, start, end = spans[j]
+            held = taken[owners[j]]
+            at = bisect_left(held, (start, end))
+            free = (at == 0 or held[at - 1][1] <= start) and (at == len(held) or end <= held[at][0])
+            if p[j] >= self.cuts[kind] and free:
+                held.insert(at, (start, end))
                 added[owners[j]].append(spans[j])
         return added
 
 
-def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000) -> SpanModel:
-    """Fit on the candidates of at most ``sample`` documents, chosen by the hash of their id."""
+def fit(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, most: int = 300_000
+) -> SpanModel:
+    """Fit on the candidates of at most ``sample`` distinct documents, and on at most ``most`` of those.
+
+    Both are chosen by hashes, of id and text and of the candidate's features. Documents without an id
+    are left out of it; repeated rows teach once; without any candidate none is ever chosen.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[tuple[list[float], int, int]] = []
+            out: list[tuple[bytes, int, int]] = []
             for value in batch["t"]:
-                out += zip(*examples(value or ""))
+                out += [(np.array(x, "<f8").tobytes(), y, kind) for x, y, kind in zip(*examples(value or ""))]
             yield pd.DataFrame(out, columns=["x", "y", "kind"])
 
-    texts = sample_rows(df, doc_id, sample).select(df[text].cast("string").alias("t"))
-    got = texts.mapInPandas(rows, "x array<double>, y int, kind int").toPandas()
-    got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["key", "y", "kind"], kind="stable")
-    order = np.random.default_rng(0).permutation(len(got))
-    x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)[order]
-    return SpanModel(x, got["y"].to_numpy(int)[order], got["kind"].to_numpy(int)[order])
+    texts = sample_rows(df, doc_id, text, sample).select(F.col(text).cast("string").alias("t"))
+    found = texts.mapInPandas(rows, "x binary, y int, kind int")
+    got = found.orderBy(F.xxhash64("x", "y", "kind"), "x", "y", "kind").limit(most).toPandas()
+    x = np.frombuffer(b"".join(got["x"]), "<f8").reshape(-1, N_FEATURES)
+    return SpanModel(x, got["y"].to_numpy(int), got["kind"].to_numpy(int))
 
 
 _SPAN = T.ArrayType(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.llm.common import sample_keys, texts_in, with_columns
+from postlake.llm.common import sample_keys, sample_rows, texts_in, with_columns
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BUCKETS = (1 << 22) - 1
@@ -127,14 +127,18 @@ def fit(
 ) -> ToxicityModel:
     """Fit on rows whose fold is not 2: at most ``positives`` toxic and ``unlabelled`` other documents.
 
-    Both are chosen by the hash of the id. The class prior is the toxic share of the labelled rows
-    of those folds. Only the toxic label of those rows is read.
+    Both are chosen by the hashes of id and text; distinct rows count, so an id that very many rows share
+    is bounded too. The class prior is the toxic share of the labelled rows of those folds. Only the
+    toxic label of those rows is read. Documents without an id are left out; without any toxic one
+    every document gets the same score.
     """
     known = labels.where(fold(F.col(doc_id)) != 2).where(F.col("toxic").isNotNull())
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    toxic = sample_keys(known.where("toxic = 1"), doc_id, positives).withColumn("_toxic", F.lit(True))
-    others = sample_keys(docs.where(fold(F.col(doc_id)) != 2), doc_id, unlabelled).withColumn("_toxic", F.lit(False))
-    chosen = docs.select(doc_id, text).join(F.broadcast(toxic.unionByName(others)), doc_id)
+    ids = sample_keys(known.where("toxic = 1"), doc_id, positives)
+    free = docs.where(fold(F.col(doc_id)) != 2).select(doc_id, text)
+    toxic = sample_rows(free.join(F.broadcast(ids), doc_id, "left_semi"), doc_id, text, positives)
+    others = sample_rows(free, doc_id, text, unlabelled)
+    chosen = toxic.withColumn("_toxic", F.lit(True)).unionByName(others.withColumn("_toxic", F.lit(False)))
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([np.array(sorted(word_ids(t)), "<i4").tobytes() for t in texts_in(batch, text)], pa.binary())]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlake.llm import ann, bpe, langid, mixing, pages, pii, repeats, simhash, sketches, toxicity
+from postlake.llm import ann, bpe, common, langid, mixing, pages, pii, repeats, simhash, sketches, toxicity
 from postlake.llm.queries import BPE_RANKS
 
 LONG = "the quick brown fox jumps over " * 20_000
@@ -137,3 +137,48 @@ def test_bpe_digests_equal_encode_then_decode(spark, docs):
     one = bpe.digests(docs.withColumn("n_tokens", F.lit("?")), path, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
     assert bpe.digests(docs.limit(0), path, pattern).collect() == []
+
+
+def test_samples_bound_rows_not_keys(spark):
+    """One id holds a third of the rows, and many labels are junk: what reaches the driver stays bounded."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"),
+        F.concat(F.lit("text number "), (F.col("id") % 20_000).cast("string")).alias("text"),
+    )
+    got = common.sample_rows(df, "doc_id", "text", 500)
+    assert got.count() == 500 == got.distinct().count()
+    assert set(common.sample_rows(df.repartition(7), "doc_id", "text", 500).collect()) == set(got.collect())
+    hot = common.sample_rows(df.where("doc_id = 7"), "doc_id", "text", 100)
+    assert hot.count() == 100
+    assert common.sample_rows(df.limit(0), "doc_id", "text", 5).count() == 0
+    labels = spark.createDataFrame([(7, 0, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, labels, positives=40, unlabelled=60)
+    assert toxicity.scored(df.limit(3), model).count() == 3
+
+
+def test_junk_labels_make_no_languages(spark):
+    df = spark.range(5_000).select(
+        F.col("id").alias("doc_id"), F.lit("the cat and the dog").alias("text"),
+        F.when(F.col("id") % 2 == 0, F.lit("en")).otherwise(F.concat(F.lit("label "), F.col("id").cast("string"))).alias("lang"),
+    )
+    assert langid.fit(df, "doc_id", "text", "lang").languages == ["en"]
+
+
+def test_redaction_of_many_candidates_takes_about_linear_time(spark, docs):
+    import time
+
+    model = pii.fit(docs)
+
+    def took(n):
+        text = "call bob at example dot com or 555 0100 22 33, " * n
+        start = time.perf_counter()
+        model.chosen([text], [pii.base_spans(text)])
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(4000) < 3 * took(2000) + 0.5
+
+
+def test_examples_are_bounded(spark):
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("a@b.co +1 555 555 0100 1.2.3.4 " * 40).alias("text"))
+    assert pii.find(df, pii.fit(df, most=50)).count() == 60
