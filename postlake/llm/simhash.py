@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.llm.common import by_group, stored, texts_in, with_columns
+from postlake.llm.common import by_group, stored, text_of, texts_in, with_columns
 from postlake.llm.graph import components
 
 #: Fingerprints of a shard that one tree may hold.
@@ -29,7 +29,7 @@ _BLOCK = 65_536  # shingles counted at a time
 
 def fingerprint(text: str, width: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
     """A 64-bit SimHash per seed of a text's word shingles (A-Z lower-cased, repeats included); no word: 0."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words = _words(text)
     if not words:
         return [0] * len(seeds)
     if len(words) < width:
@@ -104,9 +104,9 @@ class BKTree:
                     todo.append((child, on))
 
 
-def forest(values: np.ndarray, radius: int, check: np.ndarray | None = None, check_radius: int = 64) -> np.ndarray:
-    """For each value the position of its group's first value, over links within the radii."""
-    parent = np.arange(len(values))
+def _roots(size: int, pairs: Iterator[tuple[int, int]] | list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The first position of each position's group, and those of the pairs that joined two groups."""
+    parent, joined = np.arange(size), []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -114,14 +114,34 @@ def forest(values: np.ndarray, radius: int, check: np.ndarray | None = None, che
             i = parent[i]
         return i
 
+    for x, y in pairs:
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            joined.append((x, y))
+    return np.array([root(i) for i in range(size)], np.int64), joined
+
+
+def forest(values: np.ndarray, radius: int) -> np.ndarray:
+    """For each value the position of its group's first value, over links within the radius."""
+    links = ((node, int(other)) for node, found in BKTree(values).search(values, radius) for other in found)
+    return _roots(len(values), links)[0]
+
+
+def nearest_forest(values: np.ndarray, check: np.ndarray, radius: int, check_radius: int) -> np.ndarray:
+    """Pairs of positions that connect the groups within the radii, of all such pairs the nearest ones."""
+    left, right = [], []
     for node, found in BKTree(values).search(values, radius):
-        if check is not None:
-            found = found[np.bitwise_count(check[found] ^ check[node]) <= check_radius]
-        for other in found:
-            a, b = root(node), root(int(other))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(values))], np.int64)
+        found = found[found > node]
+        left.append(np.full(len(found), node))
+        right.append(found)
+    x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
+    apart = np.bitwise_count(check[x] ^ check[y]).astype(np.int16)
+    on = apart <= check_radius
+    x, y, apart = x[on], y[on], apart[on] + np.bitwise_count(values[x[on]] ^ values[y[on]])
+    order = np.lexsort((y, x, apart))
+    _, joined = _roots(len(values), list(zip(x[order].tolist(), y[order].tolist())))
+    return np.array(joined, np.int64).reshape(-1, 2)
 
 
 def _cut(bits: list[int], parts: int) -> list[list[int]]:
@@ -182,29 +202,37 @@ def _in_blocks(df: DataFrame, bound: int) -> DataFrame:
     )
 
 
-def _search(df: DataFrame, radius: int, check_radius: int) -> DataFrame:
-    """Forest links (a, b) of every (path, shard, block)."""
+def _search(df: DataFrame, radius: int, check_radius: int | None) -> DataFrame:
+    """Forest links (a, b) of every (path, shard, block); with a second fingerprint also (a_check, b_check)."""
     order = ["path", "shard", "block"]
-    checked = "check" in df.columns
 
-    def links(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+    def links(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
         fp = group["fp"]
         if len(fp) < 2:
             return None
-        check = group["check"].view(np.uint64) if checked else None
-        of = forest(fp.view(np.uint64), radius, check, check_radius)
+        of = forest(fp.view(np.uint64), radius)
         on = of != np.arange(len(of))
         return fp[of[on]], fp[on]
 
-    rows = df.select(*order, "fp", *(["check"] if checked else []))
-    return by_group(rows, order, "a long, b long", links, ["fp"])
+    def checked(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
+        fp, check = group["fp"], group["check"]
+        if len(fp) < 2:
+            return None
+        x, y = nearest_forest(fp.view(np.uint64), check.view(np.uint64), radius, check_radius or 0).T
+        return fp[x], fp[y], check[x], check[y]
+
+    if check_radius is None:
+        return by_group(df.select(*order, "fp"), order, "a long, b long", links, ["fp"])
+    rows = df.select(*order, "fp", "check")
+    return by_group(rows, order, "a long, b long, a_check long, b_check long", checked, ["fp", "check"])
 
 
-def near_links(fps: DataFrame, radius: int, check_radius: int = 64, bound: int = SHARD) -> DataFrame:
+def near_links(fps: DataFrame, radius: int, check_radius: int | None = None, bound: int = SHARD) -> DataFrame:
     """Links (a, b) that connect exactly the groups of fingerprints within ``radius`` bits.
 
-    ``fps`` has distinct rows (fp) or (fp, check); with ``check``, a second fingerprint, a link also
-    needs at most ``check_radius`` differing bits there.
+    ``fps`` has distinct rows (fp), or (fp, check) with ``check_radius``: then a link also needs at most so
+    many differing bits of the second fingerprint, each shard reports its nearest links, and they
+    carry the second fingerprints as well.
     """
     first = stored(_sized(_shards(fps, radius)), "shards")
     small = first.where(F.col("size") <= bound).drop("size").withColumn("block", F.lit(0).cast("long"))
@@ -214,18 +242,15 @@ def near_links(fps: DataFrame, radius: int, check_radius: int = 64, bound: int =
     return _search(small, radius, check_radius)
 
 
-def near_groups(docs: DataFrame, radius: int = 2, check_radius: int = 64, bound: int = SHARD) -> DataFrame:
-    """For each distinct fingerprint of ``docs`` (doc_id, fp[, check]): (fp, root, component_id).
+def near_groups(docs: DataFrame, radius: int = 2, bound: int = SHARD) -> DataFrame:
+    """For each distinct fingerprint of ``docs`` (doc_id, fp): (fp, root, component_id).
 
     ``component_id`` is the smallest doc_id of all documents that chains of links reach; null if
     none of them has a doc_id. ``root`` is the component's smallest fingerprint and never null.
     """
-    key = ["fp", *(["check"] if "check" in docs.columns else [])]
-    texts = stored(docs.groupBy(*key).agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    found = near_links(texts.select(*key), radius, check_radius, bound)
-    label = components(found)
-    own = texts.groupBy("fp").agg(F.min("first_id").alias("first_id"))
-    named = own.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    texts = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
+    label = components(near_links(texts.select("fp"), radius, bound=bound))
+    named = texts.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left")
     named = named.withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return named.join(least, "root").select("fp", "root", "component_id")
@@ -244,41 +269,85 @@ def near_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     return rows.join(near_groups(rows, radius), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def resemblance(one: str, other: str, width: int = 5) -> float:
+    """Share of common word shingles; a text of fewer words is one shingle, and so is an empty text."""
+
+    def shingles(text: str) -> set[bytes]:
+        words = _words(text)
+        return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+    a, b = shingles(one), shingles(other)
+    return len(a & b) / len(a | b)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """Of pairs (a, b) of text hashes those whose texts (t, text) resemble each other so much."""
+    sides = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("_one")), "a").join(
+        texts.select(F.col("t").alias("b"), F.col("text").alias("_other")), "b"
+    )
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        both = zip(texts_in(batch, "_one"), texts_in(batch, "_other"))
+        return [pa.array([resemblance(x, y, width) >= least for x, y in both], pa.bool_())]
+
+    judged = with_columns(sides, [T.StructField("alike", T.BooleanType())], make, ["a", "b"])
+    return judged.where("alike").select("a", "b")
+
+
 def drop_near_copies(
-    df: DataFrame, radius: int = 6, check_radius: int = 8, width: int = 3, doc_id: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    radius: int = 7,
+    check_radius: int = 16,
+    least: float = 0.8,
+    width: int = 5,
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """Keep one document of each group: the one with the smallest doc_id (of equal ones, one row).
 
-    Two documents are near copies when their fingerprints differ in at most ``radius`` bits and
-    second fingerprints, made with another seed, in at most ``check_radius``. The second keeps
-    unrelated documents apart, which the first alone would link now and then in a large corpus.
-    Documents without a doc_id go only for a near copy of theirs. All columns of ``df`` stay as they are.
+    Candidates are texts that have two fingerprints of three-word shingles, of different seeds, of which
+    one differs in at most ``radius`` bits and the other in at most ``check_radius``. A shard proposes the nearest pairs that
+    connect its candidates, and a pair is a link if the texts themselves share at least ``least`` of
+    their ``width``-word shingles. Groups are what chains of links reach, so a document goes only for
+    one that it is linked to. Null texts are empty ones. Documents without a doc_id go only for a near
+    copy of theirs; of repeated rows one stays. All columns of ``df`` stay as they are.
     """
-    columns = df.columns
-
-    def marked(frame: DataFrame) -> DataFrame:
-        return fingerprints(frame, text, {"_llm_fp": 42, "_llm_check": 43}, width)
-
-    def keys(frame: DataFrame) -> DataFrame:
-        return frame.select(
-            F.col(doc_id).alias("doc_id"), F.col("_llm_fp").alias("fp"), F.col("_llm_check").alias("check")
+    whole = text_of(df[text])
+    rows = df.select(F.col(doc_id).alias("doc_id"), whole.alias("text"))
+    hashed = F.xxhash64("text").alias("t")
+    marked = fingerprints(rows.select("doc_id", "text", hashed), into={"fp": 42, "check": 43}, keep=["doc_id", "t"])
+    marked = stored(marked, "documents")
+    nodes = stored(marked.groupBy("fp", "check").agg(F.min("t").alias("t")), "fingerprints")
+    # Texts with both fingerprints equal hang on one of them.
+    first = nodes.withColumnRenamed("t", "b")
+    same = marked.join(first, ["fp", "check"]).where("t <> b").select(F.col("t").alias("a"), "b")
+    at = lambda side: nodes.select(F.col("fp").alias(side), F.col("check").alias(f"{side}_check"), F.col("t").alias(f"t{side}"))
+    turned = nodes.select(F.col("check").alias("fp"), F.col("fp").alias("check"))
+    found = near_links(nodes.select("fp", "check"), radius, check_radius).unionByName(
+        near_links(turned, radius, check_radius).select(
+            F.col("a_check").alias("a"), F.col("b_check").alias("b"), F.col("a").alias("a_check"), F.col("b").alias("b_check")
         )
-
-    rows = stored(keys(marked(df.select(doc_id, text))), "documents")
-    groups = near_groups(rows, radius, check_radius)
-    best = rows.join(groups, "fp").groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "fp", "check")).alias("_one")
-    )
-    kept = best.select(
-        F.col("_one.doc_id").alias("_llm_id"), F.col("_one.fp").alias("_llm_fp2"), F.col("_one.check").alias("_llm_check2")
-    )
-    full = marked(df)
-    on = (
-        full[doc_id].eqNullSafe(kept["_llm_id"])
-        & (full["_llm_fp"] == kept["_llm_fp2"])
-        & (full["_llm_check"] == kept["_llm_check2"])
+    ).distinct()
+    near = found.join(at("a"), ["a", "a_check"]).join(at("b"), ["b", "b_check"])
+    near = near.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b"))
+    pairs = stored(same.unionByName(near).distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    texts = rows.select("text", hashed).join(asked, "t", "left_semi").dropDuplicates(["t"])
+    label = components(_alike(pairs, stored(texts, "texts"), least, width))
+    named = marked.join(label.select(F.col("node").alias("t"), "root"), "t", "left")
+    best = named.groupBy(F.coalesce("root", "t").alias("root")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "t")).alias("_one")
     )
-    return full.join(kept, on, "left_semi").dropDuplicates([doc_id, "_llm_fp", "_llm_check"]).select(*columns)
+    # One key for id and text, so that the documents are dealt out once.
+    key = lambda i, t: [F.xxhash64(F.lit(salt), i.cast("string"), i.isNull(), t).alias(f"_llm_{salt}") for salt in (1, 2)]
+    names = ["_llm_1", "_llm_2"]
+    kept = best.select(*key(F.col("_one.doc_id"), F.col("_one.t")))
+    full = df.select("*", *key(df[doc_id], F.xxhash64(whole)))
+    return full.join(kept, names, "left_semi").dropDuplicates(names).select(*[df[c] for c in df.columns])
 
 
 def hex_digits(fp: str | Column) -> Column:

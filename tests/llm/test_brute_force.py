@@ -174,6 +174,35 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert sum(100 <= d < 200 for d in kept) <= 1
 
 
+def test_near_copy_stage_against_all_pairs(spark, docs, texts):
+    """Every document that goes has a partner that shares 0.8 of its shingles, and no pair at 0.85 stays."""
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    ids = sorted(texts)
+    near = {i: set() for i in ids}
+    shingles = {i: set(zip(*(t.lower().split()[k:] for k in range(5)))) or {tuple(t.lower().split())} for i, t in texts.items()}
+    share = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if (likeness := share(a, b)) >= 0.8:
+                near[a].add(b)
+                near[b].add(a)
+                assert likeness < 0.85 or not {a, b} <= kept
+    assert all(near[i] for i in ids if i not in kept) and len(kept) < len(ids)
+
+
+def test_resemblance():
+    assert simhash.resemblance("a b c d e f", "A b c d e f") == 1 and simhash.resemblance("", "") == 1
+    assert simhash.resemblance("a b c d e f", "a b c d e g") == 1 / 3 and simhash.resemblance("a", "b") == 0
+
+
+def test_nearest_forest_joins_the_nearest_first():
+    fp, check = np.array([0, 1, 3, 7], np.uint64), np.array([0, 0, 0, 0], np.uint64)
+    assert sorted(map(tuple, simhash.nearest_forest(fp, check, 3, 64).tolist())) == [(0, 1), (1, 2), (2, 3)]
+    two = simhash.nearest_forest(fp, np.array([0, 255, 0, 255], np.uint64), 3, 4)
+    assert sorted(map(tuple, two.tolist())) == [(0, 2), (1, 3)]
+    assert len(simhash.nearest_forest(fp, np.array([0, 255, 65280, 16711680], np.uint64), 3, 4)) == 0
+
+
 def test_unlike_documents_without_ids_stay(spark):
     rnd = random.Random(5)
     clean = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(200)) for _ in range(12)]
