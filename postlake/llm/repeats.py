@@ -2,10 +2,15 @@
 
 A text's suffixes are retained where they start with a minimiser: the least hash of ``GRAM`` words
 among ``SPAN`` positions in a row. Each window of ``GRAM + SPAN - 1`` words (50) so picks one
-retained suffix by its own words alone; equal windows pick equal suffixes. Suffixes are sorted by
-their first words, and those that begin alike are compared: each carries hashes of the windows that
-picked it, which say how far it matches another one to the left and to the right. A passage is a
-longest run of windows that each occur more than once, within a document or across documents.
+retained suffix by its own words alone; equal windows pick equal suffixes, at the same distance from
+their start. Retained suffixes that begin alike meet. For each reach to the left they are sorted by
+the 50 words from there on, and neighbours that agree match; a match goes on to the left and to the
+right as long as the reaches next to it match too. A passage is a longest run of windows that each
+occur more than once, within a document or across documents.
+
+Words are compared by hashes: a suffix carries, for every reach that it was picked from, 48 bits of
+those 50 words' hash, so that its context need not travel. Two different windows are taken for one
+only if their 20 words at the suffix agree in 64 bits, and all 50 in those 48.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm.common import ROWS, by_group, stored, text_of, texts_in
@@ -62,13 +67,22 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 
 
 def _suffixes(docs: DataFrame, full: bool) -> DataFrame:
-    """Rows of retained suffixes: key alone, or with document, position, first window and window hashes."""
+    """Rows of retained suffixes: key alone, or with document, position, first window and window hashes.
+
+    A task takes each of its documents (doc, text) once, so that repeated rows make no more rows than tasks.
+    """
     schema = "key long, doc long, at int, first int, windows binary" if full else "key long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
+                ids = batch.column(batch.schema.get_field_index("doc")).to_pylist()
+                new = [i for i, doc in enumerate(ids) if doc not in seen and not seen.add(doc)]
+                batch = batch.take(pa.array(new, pa.int64()))
+                if not new:
+                    continue
                 found = [anchors(t) for t in texts_in(batch, "text")]
                 key = np.concatenate([f[0] for f in found])
                 if not full:
@@ -110,9 +124,16 @@ def _compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
     raw[:, :_BYTES] = np.frombuffer(b"".join(held), "u1").reshape(-1, _BYTES)
     row = np.repeat(np.arange(len(doc)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
-    window = (raw.view("<u8").ravel() << np.uint64(16)) | (at[row] - start).astype(np.uint64)
-    _, lead, where, times = np.unique(window, return_index=True, return_inverse=True, return_counts=True)
-    again = np.flatnonzero(times[where] > 1)
+    reach = at[row] - start  # words between the window's start and the suffix's
+    words = raw.view("<u8").ravel()
+    # Suffixes sorted by reach, then by the words from there on; neighbours are compared.
+    order = np.lexsort((words, reach))
+    like_last = np.zeros(len(order) + 1, bool)
+    like_last[1:-1] = (words[order][1:] == words[order][:-1]) & (reach[order][1:] == reach[order][:-1])
+    matched = np.zeros(len(order), bool)
+    matched[order] = like_last[:-1] | like_last[1:]
+    # A match goes on while the windows next to it, to the left and to the right, match too.
+    again = np.flatnonzero(matched)
     fresh = np.ones(len(again), bool)
     fresh[1:] = (np.diff(row[again]) != 0) | (np.diff(start[again]) != 1)
     begin = again[fresh]
@@ -120,11 +141,9 @@ def _compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
     n = len(begin)
     out = [doc[row[begin]], start[begin], start[end] + WORDS, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)]
     if group["parts"][0] > 1:
-        more = [
-            doc[row[lead]], start[lead], start[lead] + WORDS, np.full(len(lead), group["key"][0]),
-            window[lead].view(np.int64), times == 1,
-        ]
-        out[5] = np.zeros(n, bool)
+        lead = order[~like_last[:-1]]
+        window = (words[lead] << np.uint64(16)) | reach[lead].astype(np.uint64)
+        more = [doc[row[lead]], start[lead], start[lead] + WORDS, np.full(len(lead), group["key"][0]), window.view(np.int64), ~matched[lead]]
         out = [np.concatenate([a, b]) for a, b in zip(out, more)]
     return tuple(out)
 
@@ -148,16 +167,17 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     keyed = df.select(F.col(doc_id).alias("doc_id"), text_of(df[text]).alias("text"))
     keyed = keyed.withColumn("doc", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    often = _suffixes(keyed.select("text"), full=False).groupBy("key").count().where(F.col("count") > PART)
+    often = _suffixes(keyed.select("doc", "text"), full=False).groupBy("key").count().where(F.col("count") > PART)
     often = stored(often.select("key", F.ceil(F.col("count") / (PART // 2)).cast("int").alias("parts")), "frequent")
     rows = _suffixes(keyed.select("doc", "text"), full=True).join(often, "key", "left")
     rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc", "at"), F.col("parts")).cast("int"))
     found = stored(by_group(rows, ["key", "part"], _FOUND, _compare, least=2), "repeats")
     parts = found.where("key <> 0 OR window <> 0")
-    met = F.count(F.lit(1)).over(Window.partitionBy("key", "window"))
-    across = parts.withColumn("n", met).where("n > 1 AND once")
-    runs = found.where("key = 0 AND window = 0").unionByName(across.drop("n")).select("doc", "start", "end")
+    # Each part gives a window once, so one that occurs once in its part repeats if another part has it.
+    met = parts.groupBy("key", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    across = parts.where("once").join(met, ["key", "window"], "left_semi").select("doc", "start", "end")
+    runs = found.where("key = 0 AND window = 0").select("doc", "start", "end").unionByName(across)
     whole = by_group(runs, ["doc"], "doc long, start_word int, end_word int", _union, order=["start"])
     ids = keyed.select("doc", "doc_id").distinct()
     return whole.join(ids, "doc").select(

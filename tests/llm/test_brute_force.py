@@ -516,6 +516,19 @@ def test_passages(spark, monkeypatch, part):
     assert got == plain_passages(texts)
 
 
+def test_passages_of_one_phrase_and_of_repeated_rows(spark):
+    """One text that says the same 40,000 times is dealt over many parts; a repeated row is no repeat."""
+    hot = "buy now " * 40_000
+    alone = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, hot), (2, alone), (2, alone), (2, alone), (3, "x " + " ".join(f"w{i}" for i in range(100, 160)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.start_word, r.end_word) for r in repeats.passages(df).collect()}
+    assert got == {(1, 0, 80_000), (2, 100, 160), (3, 1, 61)}
+    keyed = df.select(F.xxhash64("doc_id", "text").alias("doc"), "text").where("doc_id = 1")
+    dealt = repeats._suffixes(keyed, True).groupBy("key", F.pmod(F.xxhash64("doc", "at"), F.lit(40)).alias("part")).count()
+    assert dealt.agg(F.max("count")).first()[0] < repeats.PART
+
+
 # mixing
 
 
