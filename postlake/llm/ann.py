@@ -10,6 +10,7 @@ nodes found are expanded, their neighbours scored, the best kept. Equal vectors
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,9 @@ class Settings:
     reverse: int = 24  # nodes that a node is a neighbour of, at most so many join a round or a search
     tables: int = 5  # groupings by random planes to start from
     group: int = 64  # wanted size of a group; larger ones are split by hash
-    rounds: int = 5
+    delta: float = 0.02  # building goes on until a smaller share of the links changes in a round
     beam: int = 384  # nodes that a search keeps per query
-    expand: int = 96  # nodes that it expands per round
-    hops: int = 8
+    expand: int = 96  # nodes that it expands per round; it goes on until none of the kept ones is open
     entries: int = 256  # nodes chosen by hash that every search is offered as starting points
 
 
@@ -156,15 +156,23 @@ class Index:
 
 
 def build(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", settings: Settings | None = None) -> Index:
-    """Index every usable vector of ``df``. Equal vectors share the node named by their smallest id."""
+    """Index every usable vector of ``df``. Equal vectors share the node that their hash names.
+
+    Vectors without an id, null, zero, with a null or non-finite component, or of another length than the
+    commonest are left out; repeated rows are members of one node. Rounds go on, whatever the size of the
+    table, until less than ``delta`` of the links change; links only ever get nearer, so they end.
+    """
     s = settings or Settings()
-    rows = stored(_packed(usable(df, vec_id, vector)).withColumn("_h", F.xxhash64("vector")), "vectors")
-    node = rows.groupBy("_h", "unit").agg(F.min("vec_id").alias("id"))
-    nodes = stored(node.select("id", "unit"), "nodes")
-    members = stored(rows.join(node, ["_h", "unit"]).select("id", "vec_id", "vector"), "members")
+    members = _packed(usable(df, vec_id, vector)).withColumn("id", F.xxhash64("vector"))
+    members = stored(members.select("id", "vec_id", "vector", "unit"), "members")
+    nodes = stored(members.groupBy("id").agg(F.min("unit").alias("unit")), "nodes")
+    members = members.drop("unit")
     graph = stored(_start(nodes, nodes.count(), s).withColumn("fresh", F.lit(True)), "graph")
-    for turn in range(s.rounds):
+    for turn in count():
         graph = stored(_round(graph, nodes, s, turn), "graph")
+        changed = graph.agg(F.avg(F.col("fresh").cast("double"))).first()[0]
+        if changed is None or changed < s.delta:
+            break
     return Index(nodes, stored(_around(graph, s.reverse, -1).select("w", "m"), "links"), members, s)
 
 
@@ -184,7 +192,8 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
     """(q, id, sim): up to ``beam`` nodes near each query by greedy search; ``queries`` has q, q_unit and own.
 
     ``own`` is the node of an indexed query, else null. Searches start there and at the nearest of
-    the entry nodes, whose number is a setting and so bounds what is broadcast.
+    the entry nodes, whose number is a setting and so bounds what is broadcast. They go on until no node
+    that is kept is open, and no node is expanded twice for a query.
     """
     s = index.settings
 
@@ -213,7 +222,7 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
     asked = asked.select("q", "q_unit")
     state = kept(_scored(first.distinct(), asked, index.nodes)).select("q", "id", "sim", F.lit(False).alias("done"), "_n")
     state = stored(state, "search")
-    for _ in range(s.hops):
+    while not state.where("NOT done").isEmpty():
         open_ = state.where("NOT done")
         rank = F.row_number().over(Window.partitionBy("q").orderBy("_n"))
         open_ = open_.withColumn("_o", rank).where(F.col("_o") <= s.expand).select("q", "id")
@@ -222,8 +231,6 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
         near = open_.join(index.links, F.col("id") == F.col("w")).select("q", F.col("m").alias("id")).distinct()
         new = _scored(near.join(state, ["q", "id"], "left_anti"), asked, index.nodes).withColumn("done", F.lit(False))
         state = stored(kept(seen.unionByName(new.select("q", "id", "sim", "done"))), "search")
-        if state.where("NOT done").isEmpty():
-            break
     return state.select("q", "id", "sim")
 
 
@@ -231,7 +238,8 @@ def neighbours(index: Index, vec_ids: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found to each indexed vector of ``vec_ids`` (q), itself left out.
 
     Scores are cosines of the original vectors in double precision; ties go to the smaller id. Ids
-    that repeat in the table count once for each row. Of the members of one node the k + 1 smallest
+    that repeat in the table count once for each row; asked for, such an id stands for the smallest of its
+    vectors, component by component. Of the members of one node the k + 1 smallest
     ids suffice, since they tie.
     """
     own = index.members.join(vec_ids.distinct(), F.col("vec_id") == F.col("q"))
@@ -239,7 +247,8 @@ def neighbours(index: Index, vec_ids: DataFrame, k: int = 5) -> DataFrame:
     asked = own.select("q", F.col("id").alias("own"), F.col("vector").alias("q_vector")).join(
         units, F.col("own") == units["id"]
     )
-    asked = stored(asked.select("q", "own", "q_unit", "q_vector").dropDuplicates(["q"]), "asked")
+    least = F.min(F.struct("q_vector", "own", "q_unit")).alias("x")
+    asked = stored(asked.groupBy("q").agg(least).select("q", "x.own", "x.q_unit", "x.q_vector"), "asked")
     found = search(index, asked.select("q", "q_unit", "own"))
     first = F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))
     few = index.members.withColumn("_n", first).where(F.col("_n") <= k + 1).drop("_n")

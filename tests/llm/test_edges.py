@@ -182,3 +182,12 @@ def test_redaction_of_many_candidates_takes_about_linear_time(spark, docs):
 def test_examples_are_bounded(spark):
     df = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("a@b.co +1 555 555 0100 1.2.3.4 " * 40).alias("text"))
     assert pii.find(df, pii.fit(df, most=50)).count() == 60
+
+
+def test_a_repeated_vector_id_asks_with_its_smallest_vector(spark):
+    rows = [(0, [0.0, 1.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.5])]
+    clash = ["q", "id", "unit", "sim", "rank", "score", "_h", "w", "m"]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").select("*", *[F.lit("?").alias(c) for c in clash])
+        got = ann.neighbours(ann.build(df), spark.createDataFrame([(0,)], "q long")).orderBy("rank").collect()
+        assert [(r.vec_id, round(r.score, 3)) for r in got] == [(1, 1.0), (3, 0.447), (2, 0.0)]
