@@ -63,8 +63,8 @@ def ship_package(spark: SparkSession) -> None:
     if spark.conf.get("spark.postlake.shipped", None):
         return
     folder = os.path.dirname(os.path.abspath(__file__))
-    made = shutil.make_archive(
-        os.path.join(tempfile.mkdtemp(prefix="postlake-"), "postlake"), "zip", os.path.dirname(folder), os.path.basename(folder)
-    )
+    # Spark serves the file to the executors from here; nothing else reads it.
+    kept = os.path.realpath(tempfile.mkdtemp(prefix="postlake-"))
+    made = shutil.make_archive(os.path.join(kept, "postlake"), "zip", os.path.dirname(folder), os.path.basename(folder))
     spark.sparkContext.addPyFile(made)
     spark.conf.set("spark.postlake.shipped", "true")
