@@ -300,7 +300,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Data
 
 def drop_near_copies(
     df: DataFrame,
-    radius: int = 7,
+    radius: int = 6,
     check_radius: int = 16,
     least: float = 0.8,
     width: int = 5,
