@@ -49,35 +49,37 @@ def _texts(v: Column, cap: int = LIST_CAP) -> Column:
 
 
 def raw_skills(v: Column) -> Column:
-    picks = []
-    for key in lex.RAW_SKILL_KEYS:
-        value = jv.field(v, key)
-        listed = _texts(value)
-        picks.append(F.when(jv.is_array(value) & (F.size(listed) > 0), listed))
-        picks.append(
-            F.when(jv.string_value(value).isNotNull(), F.slice(split_list(jv.as_text(value)), 1, LIST_CAP))
-        )
-    bullets = jv.field(v, "bulletFields")
-    for key in lex.RAW_BULLET_KEYS:
-        value = jv.field(bullets, key)
-        picks.append(
-            F.when(
-                jv.string_value(value).isNotNull(),
-                F.slice(split_list(jv.as_text(value), ";"), 1, LIST_CAP),
-            )
+    def listed(value: Column) -> Column:
+        return let(_texts(value), lambda texts: F.when(F.size(texts) > 0, texts))
+
+    def split(value: Column, sep: str) -> Column:
+        return let(jv.string_value(value), lambda s: F.slice(split_list(s, sep), 1, LIST_CAP))
+
+    def plain(value: Column) -> Column:
+        return F.coalesce(listed(value), split(value, ","))
+
+    def bullet(value: Column) -> Column:
+        return F.coalesce(split(value, ";"), _texts(value))
+
+    def picked(bound: Column) -> Column:
+        plains = [let(jv.field(bound, key), plain) for key in lex.RAW_SKILL_KEYS]
+        bullets = let(
+            jv.field(bound, "bulletFields"),
+            lambda b: F.coalesce(*[let(jv.field(b, key), bullet) for key in lex.RAW_BULLET_KEYS]),
         )
-        picks.append(F.when(jv.is_array(value), _texts(value)))
-    return F.coalesce(*picks, lit_array([]))
+        return F.coalesce(*plains, bullets, lit_array([]))
+
+    return let(v, picked)
 
 
 def raw_list(v: Column, keys: Sequence[str] = lex.RAW_QUALIFICATION_KEYS) -> Column:
     """First list (even an empty one) or single string under the keys."""
-    picks = []
-    for key in keys:
-        value = jv.field(v, key)
-        picks.append(F.when(jv.is_array(value), _texts(value)))
-        picks.append(F.when(jv.string_value(value).isNotNull(), F.array(jv.string_value(value))))
-    return F.coalesce(*picks, lit_array([]))
+
+    def pick(value: Column) -> Column:
+        single = let(jv.string_value(value), lambda s: F.when(s.isNotNull(), F.array(s)))
+        return F.coalesce(_texts(value), single)
+
+    return let(v, lambda bound: F.coalesce(*[let(jv.field(bound, key), pick) for key in keys], lit_array([])))
 
 
 def drop_keys(raw: Column, keys: Sequence[str] = lex.RAW_KNOWN_KEYS) -> Column:

@@ -227,9 +227,8 @@ def _(t: Tables) -> DataFrame:
       UNION ALL SELECT p_partkey, 1, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'x' END FROM part""",
 )
 def _(t: Tables) -> DataFrame:
-    return raw_parts(t).select(
-        "p_partkey", F.posexplode(pl.raw_skills(jv.parse(F.col("raw")))).alias("pos", "skill")
-    )
+    rows = raw_parts(t).select("p_partkey", pl.raw_skills(jv.parse(F.col("raw"))).alias("skills"))
+    return explode_rows(rows, ["p_partkey"], "skills", "skill")
 
 
 @query("raw_list", "SELECT p_partkey, p_type AS item FROM part WHERE p_partkey % 3 <> 0")
