@@ -93,23 +93,23 @@ def drop_keys(raw: Column, keys: Sequence[str] = lex.RAW_KNOWN_KEYS) -> Column:
 def raw_sections(raw: Column, known: Sequence[str] = lex.RAW_KNOWN_KEYS, cap: int = 5) -> Column:
     """Left-over short attributes as ``array<struct<section_title, content>>``."""
 
-    def typed(values: Column) -> Column:
-        return F.transform(
-            drop_keys(raw, known),
-            lambda e: F.struct(
-                e.key.alias("section_title"),
-                F.when(jv.is_string(values[e.key]), jv.as_text(values[e.key]))
-                .when(
-                    jv.is_scalar(values[e.key]),
-                    F.when(e.value == "true", F.lit("True"))
-                    .when(e.value == "false", F.lit("False"))
-                    .otherwise(e.value),
-                )
-                .alias("content"),
-                jv.is_string(values[e.key]).alias("is_text"),
-            ),
+    def section(e: Column, value: Column) -> Column:
+        return F.struct(
+            e.key.alias("section_title"),
+            F.when(jv.is_string(value), jv.as_text(value))
+            .when(
+                jv.is_scalar(value),
+                F.when(e.value == "true", F.lit("True"))
+                .when(e.value == "false", F.lit("False"))
+                .otherwise(e.value),
+            )
+            .alias("content"),
+            jv.is_string(value).alias("is_text"),
         )
 
+    def typed(values: Column) -> Column:
+        return F.transform(drop_keys(raw, known), lambda e: let(values[e.key], lambda value: section(e, value)))
+
     kept = F.filter(
         let(jv.as_map(jv.parse(raw)), typed),
         lambda s: s.content.isNotNull()
