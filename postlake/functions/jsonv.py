@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.functions.text import filled, lit_array, strip
+from postlake.functions.text import filled, let, lit_array, strip
 
 # JSON texts of empty scalars.
 _FALSY = ("null", '""', "0", "0.0", "-0.0", "false")
@@ -43,12 +43,14 @@ def is_container(v: Column) -> Column:
 
 
 def is_string(v: Column) -> Column:
-    return F.when(is_container(v), False).otherwise(F.coalesce(text_of(v).startswith('"'), F.lit(False)))
+    return let(
+        v, lambda x: F.when(is_container(x), False).otherwise(F.coalesce(text_of(x).startswith('"'), F.lit(False)))
+    )
 
 
 def is_scalar(v: Column) -> Column:
     """Number, boolean or string."""
-    return F.when(is_container(v), False).otherwise(F.coalesce(text_of(v) != "null", F.lit(False)))
+    return let(v, lambda x: F.when(is_container(x), False).otherwise(F.coalesce(text_of(x) != "null", F.lit(False))))
 
 
 def truthy(v: Column) -> Column:
@@ -73,7 +75,7 @@ def as_map(v: Column) -> Column:
 
 def string_value(v: Column) -> Column:
     """The stripped value of a JSON string that is not blank."""
-    return F.when(is_string(v), filled(as_text(v)))
+    return let(v, lambda x: F.when(is_string(x), filled(as_text(x))))
 
 
 def scalar_text(v: Column) -> Column:
@@ -84,10 +86,15 @@ def scalar_text(v: Column) -> Column:
 def first_of(m: Column, keys: Sequence[str], pick: Callable[[Column], Column]) -> Column:
     """First value of a ``map<string,variant>`` that ``pick`` turns into something.
 
-    The expression has the same size for any number of keys.
+    The expression has the same size for any number of keys. The map and each value are bound, so
+    that what gives them (parsing a text, say) runs once a row however often ``pick`` names them.
     """
-    picked = F.transform(lit_array(keys), lambda k: pick(F.try_element_at(m, k)))
-    return F.try_element_at(F.filter(picked, lambda x: x.isNotNull()), F.lit(1))
+
+    def found(bound: Column) -> Column:
+        picked = F.transform(lit_array(keys), lambda k: let(F.try_element_at(bound, k), pick))
+        return F.try_element_at(F.filter(picked, lambda x: x.isNotNull()), F.lit(1))
+
+    return let(m, found)
 
 
 def first_truthy(m: Column, keys: Sequence[str]) -> Column:

@@ -33,6 +33,31 @@ def test_first_key_takes_strings_and_small_objects_only(one):
     assert get({}) is None
 
 
+@pytest.mark.parametrize(
+    "read",
+    [
+        lambda v: pl.first_key(jv.as_map(v), ("title", "job_title", "name")),
+        pl.raw_skills,
+        pl.raw_list,
+        jv.string_value,
+        jv.is_scalar,
+    ],
+)
+def test_a_raw_object_is_parsed_once_a_row(spark, read):
+    rows = spark.createDataFrame([('{"skills": "a, b"}',)], "raw string").select(read(jv.parse(F.col("raw"))).alias("v"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("raw#") == 2  # read once, given once by its source
+
+
+def test_raw_skills_keep_the_order_of_their_branches(one):
+    get = lambda obj: variant(one, pl.raw_skills, obj)
+    assert get({"skills": " , ", "tools": "c"}) == []
+    assert get({"bulletFields": {"skills": [], "requirements": "x"}}) == []
+    assert get({"bulletFields": {"skills": ["p", " "], "requirements": "x"}}) == ["p"]
+    assert get({"skills": None, "tools": 3, "bulletFields": None}) == [] and get("text") == []
+    assert variant(one, pl.raw_list, {"qualifications": [], "requirements": "r"}) == []
+    assert variant(one, pl.raw_list, {"qualifications": " ", "requirements": " r "}) == ["r"]
+
+
 def test_raw_skills(one):
     get = lambda obj: variant(one, pl.raw_skills, obj)
     assert get({"skills": ["a", " ", "b"], "tools": "c"}) == ["a", "b"]
