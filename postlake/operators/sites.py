@@ -17,6 +17,7 @@ that added it: the rounds grow with the logarithm of the longest chain.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,33 +28,61 @@ from postlake.session import stored
 #: Spans of ``seq`` in which the runs of one name are ordered apart, so that a hot name is not one task.
 SPANS = 256
 
-_GIVEN, _FINAL = "u", "f"
+# A run at a name is one number, twice the run and its role there: what is shuffled in each round stays small.
+_GIVEN, _FINAL = 0, 1
+
+
+def _run(node: Column) -> Column:
+    return F.shiftright(node, 1)
+
+
+def _role(node: Column) -> Column:
+    return node.bitwiseAND(F.lit(1).cast("long"))
+
+
+def _node(run: Column, role: int | Column) -> Column:
+    return run * 2 + (F.lit(role) if isinstance(role, int) else role)
 
 
 def _runs(runs: DataFrame) -> DataFrame:
-    """Runs with a key of their own; equal rows are one run, those without a URL can't be placed."""
+    """Runs numbered in order of ``seq``, then of a hash of their values; equal rows are one run.
+
+    Those without a URL can't be placed. The numbers hold for what is stored of them.
+    """
     fields = ["seq", "url", "final_url", "type", "confidence"]
     named = runs.select(*fields).where(F.col("url").isNotNull() & F.col("final_url").isNotNull())
-    key = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
-    return named.withColumn("run", key).dropDuplicates(["run"]).withColumn("seq", F.coalesce("seq", F.lit(0)).cast("long"))
+    hashed = F.substring(F.unhex(F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)), 1, 16)
+    distinct = named.withColumn("_tie", hashed).dropDuplicates(["_tie"])
+    ordered = distinct.withColumn("seq", F.coalesce("seq", F.lit(0)).cast("long")).orderBy("seq", "_tie")
+    return ordered.drop("_tie").withColumn("run", F.monotonically_increasing_id())
 
 
 def _touched(runs: DataFrame) -> DataFrame:
-    """A row per run and name it touches: run, role, name, and the run and role before it at that name."""
+    """A row per run and name it touches: its node, the name, and the node before it at that name."""
     name = lambda role, column: F.struct(F.lit(role).alias("role"), F.col(column).alias("name"))
     both = F.array(name(_GIVEN, "url"), name(_FINAL, "final_url"))
     roles = F.when(F.col("url") == F.col("final_url"), F.slice(both, 2, 1)).otherwise(both)
-    rows = runs.select("run", "seq", F.explode(roles).alias("t")).select("run", "seq", "t.*")
+    rows = runs.select("run", "seq", F.explode(roles).alias("t"))
     low, high = runs.agg(F.min("seq"), F.max("seq")).first()
     width = ((high - low) // SPANS + 1) if low is not None else 1
-    rows = rows.withColumn("span", F.floor((F.col("seq") - F.lit(low or 0)) / width))
-    me = F.struct("seq", "run", "role")
-    inside = Window.partitionBy("name", "span").orderBy("seq", "run", "role")
-    ends = rows.groupBy("name", "span").agg(F.max(me).alias("last"))
+    span = F.floor((F.col("seq") - F.lit(low or 0)) / width).cast("int")
+    rows = rows.select(_node(F.col("run"), F.col("t.role")).alias("node"), F.col("t.name").alias("name"), span.alias("span"))
+    inside = Window.partitionBy("name", "span").orderBy("node")
+    ends = rows.groupBy("name", "span").agg(F.max("node").alias("last"))
     ends = ends.withColumn("ahead", F.lag("last").over(Window.partitionBy("name").orderBy("span"))).drop("last")
-    linked = rows.withColumn("before", F.lag(me).over(inside)).join(ends, ["name", "span"])
-    before = F.coalesce("before", "ahead")
-    return linked.select("run", "role", "name", before["run"].alias("b_run"), before["role"].alias("b_role"))
+    linked = rows.withColumn("before", F.lag("node").over(inside)).join(ends, ["name", "span"])
+    return linked.select("node", "name", F.coalesce("before", "ahead").alias("before"))
+
+
+def _rounds(rows: DataFrame, open_rows: Column, again: Callable[[DataFrame, DataFrame], DataFrame], name: str) -> DataFrame:
+    """Rows after rounds of ``again(open rows, all rows)`` until none is open. A round stores what it changed only."""
+    rows = stored(rows, name)
+    done, left = [rows.where(~open_rows)], rows.where(open_rows)
+    while left.limit(1).count():
+        changed = stored(again(left, reduce(DataFrame.unionByName, [*done, left])), name)
+        done.append(changed.where(~open_rows))
+        left = changed.where(open_rows)
+    return reduce(DataFrame.unionByName, done)
 
 
 def _refusals(touched: DataFrame) -> DataFrame:
@@ -63,11 +92,9 @@ def _refusals(touched: DataFrame) -> DataFrame:
     So a run waits for up to two others (``waits``). A round replaces a run it waits for by what that
     is known to be, or, if that one waits for a single run, by that single run.
     """
-    state = (
-        F.when(F.col("b_run").isNull(), F.col("known").isNotNull())
-        .when(F.col("b_role") == _FINAL, F.lit(True))
-    )
-    rows = touched.withColumn("state", state).withColumn("wait", F.when(state.isNull(), F.col("b_run")))
+    before = F.col("before")
+    state = F.when(before.isNull(), F.col("known").isNotNull()).when(_role(before) == _FINAL, F.lit(True))
+    rows = touched.select(_run(F.col("node")).alias("run"), state.alias("state"), F.when(state.isNull(), _run(before)).alias("wait"))
     judged = (
         rows.groupBy("run")
         .agg(
@@ -79,14 +106,14 @@ def _refusals(touched: DataFrame) -> DataFrame:
             "refused",
             F.when(F.col("single") | F.coalesce("free", F.lit(False)), F.lit(False)).when(F.size("waits") == 0, F.lit(True)),
         )
-        .select("run", "refused", "waits")
+        .select("run", "refused", F.when(F.col("refused").isNull(), F.col("waits")).alias("waits"))
     )
-    judged = stored(judged, "refusals")
-    while judged.where(F.col("refused").isNull()).limit(1).count():
+
+    def again(left: DataFrame, judged: DataFrame) -> DataFrame:
         known = judged.select(F.col("run").alias("wait"), F.col("refused").alias("r"), F.col("waits").alias("w"))
-        waiting = judged.where(F.col("refused").isNull()).select("run", F.explode("waits").alias("wait"))
+        waiting = left.select("run", F.explode("waits").alias("wait"))
         next_wait = F.when(F.col("r").isNull(), F.when(F.size("w") == 1, F.col("w")[0]).otherwise(F.col("wait")))
-        again = (
+        return (
             waiting.join(known, "wait")
             .groupBy("run")
             .agg(F.bool_or(~F.col("r")).alias("free"), F.collect_set(next_wait).alias("waits"))
@@ -96,26 +123,18 @@ def _refusals(touched: DataFrame) -> DataFrame:
                 "waits",
             )
         )
-        judged = stored(judged.where(F.col("refused").isNotNull()).unionByName(again), "refusals")
-    return judged.select("run", "refused")
+
+    return _rounds(judged, F.col("refused").isNull(), again, "refusals").select("run", "refused")
 
 
 def _followed(links: DataFrame) -> DataFrame:
-    """Site of each node: links (node, to, site) doubled until none leads on. Each node is led to by one other."""
-    links = stored(links, "links")
-    while links.where(F.col("to").isNotNull()).limit(1).count():
-        ahead = links.select(F.col("node").alias("to"), F.col("to").alias("on"), F.col("site").alias("end"))
-        links = stored(
-            links.join(ahead, "to", "left").select(
-                "node", F.col("on").alias("to"), F.coalesce("site", "end").alias("site")
-            ),
-            "links",
-        )
-    return links.select("node", "site")
+    """Site of each node: links (node, to, id, added_by) doubled until none leads on. Each node is led to by one other."""
 
+    def again(left: DataFrame, links: DataFrame) -> DataFrame:
+        ahead = links.select(F.col("node").alias("to"), F.col("to").alias("on"), "id", "added_by")
+        return left.select("node", "to").join(ahead, "to", "left").select("node", F.col("on").alias("to"), "id", "added_by")
 
-def _node(run: str, role: str | Column) -> Column:
-    return F.concat(F.col(run), F.lit(role) if isinstance(role, str) else role)
+    return _rounds(links, F.col("to").isNotNull(), again, "links").drop("to")
 
 
 def resolve_runs(sites: DataFrame, runs: DataFrame) -> DataFrame:
@@ -128,18 +147,21 @@ def resolve_runs(sites: DataFrame, runs: DataFrame) -> DataFrame:
     runs = stored(_runs(runs), "runs")
     known = sites.select(F.col("domain").alias("name"), F.col("id").alias("known")).where(F.col("name").isNotNull())
     touched = _touched(runs)
-    first = touched.where(F.col("b_run").isNull()).join(known, "name", "left")
-    later = touched.where(F.col("b_run").isNotNull()).withColumn("known", F.lit(None).cast("long"))
+    first = touched.where(F.col("before").isNull()).join(known, "name", "left").drop("name")
+    later = touched.where(F.col("before").isNotNull()).drop("name").withColumn("known", F.lit(None).cast("long"))
     touched = stored(first.unionByName(later), "touched")
     refused = _refusals(touched)
+    before = F.col("before")
 
     # What the run before it left: a name is free after a site moved away, else taken.
     left = refused.select(F.col("run").alias("b_run"), F.col("refused").alias("b_refused"))
-    seen = touched.join(left, "b_run", "left").withColumn(
-        "taken",
-        F.when(F.col("b_run").isNull(), F.col("known").isNotNull())
-        .when(F.col("b_role") == _FINAL, F.lit(True))
-        .otherwise(F.col("b_refused")),
+    seen = touched.withColumn("b_run", _run(before)).join(left, "b_run", "left").select(
+        _run(F.col("node")).alias("run"),
+        _role(F.col("node")).alias("role"),
+        F.when(before.isNull(), F.col("known").isNotNull())
+        .when(_role(before) == _FINAL, F.lit(True))
+        .otherwise(F.col("b_refused"))
+        .alias("taken"),
     )
     found = seen.groupBy("run").agg(
         F.coalesce(F.bool_or(F.when(F.col("role") == _GIVEN, F.col("taken"))), F.lit(False)).alias("given"),
@@ -155,19 +177,19 @@ def resolve_runs(sites: DataFrame, runs: DataFrame) -> DataFrame:
 
     # A name's site is the one that the run before it left there.
     led = judged.select(F.col("run").alias("b_run"), F.col("outcome").alias("b_outcome"))
-    moved = (F.col("b_role") == _FINAL) & (F.col("b_outcome") == "moved")
-    added = (F.col("b_role") == _FINAL) & (F.col("b_outcome") == "added")
-    stays = (F.col("b_role") == _FINAL) | (F.col("b_outcome") == "refused")
-    site = F.struct(F.col("known").alias("id"), F.when(added, F.col("b_run")).alias("added_by"))
-    links = seen.drop("b_refused").join(led, "b_run", "left").select(
-        _node("run", F.col("role")).alias("node"),
-        F.when(added, F.lit(None)).when(moved, _node("b_run", _GIVEN)).when(stays, _node("b_run", F.col("b_role"))).alias("to"),
-        F.when(F.col("b_run").isNull() | added, site).alias("site"),
+    moved = (_role(before) == _FINAL) & (F.col("b_outcome") == "moved")
+    added = (_role(before) == _FINAL) & (F.col("b_outcome") == "added")
+    stays = (_role(before) == _FINAL) | (F.col("b_outcome") == "refused")
+    links = touched.withColumn("b_run", _run(before)).join(led, "b_run", "left").select(
+        "node",
+        F.when(added, F.lit(None)).when(moved, _node(F.col("b_run"), _GIVEN)).when(stays, before).alias("to"),
+        F.col("known").alias("id"),
+        F.when(added, F.col("b_run")).alias("added_by"),
     )
     role = F.when(F.col("outcome") == "moved", F.lit(_GIVEN)).when(F.col("outcome") == "updated", F.lit(_FINAL))
-    owned = judged.withColumn("node", _node("run", role)).join(_followed(links), "node", "left")
-    own = F.when(F.col("outcome") == "added", F.col("run")).otherwise(F.col("site.added_by"))
-    return runs.join(owned.select("run", "outcome", F.col("site.id").alias("id"), own.alias("added_by")), "run")
+    owned = judged.withColumn("node", _node(F.col("run"), role)).join(_followed(links), "node", "left")
+    own = F.when(F.col("outcome") == "added", F.col("run")).otherwise(F.col("added_by"))
+    return runs.join(owned.select("run", "outcome", "id", own.alias("added_by")), "run")
 
 
 def refused_runs(resolved: DataFrame) -> DataFrame:
@@ -188,7 +210,7 @@ def applied(sites: DataFrame, resolved: DataFrame) -> DataFrame:
     values = ("domain", "type", "confidence")
     value = F.struct(F.col("final_url").alias("domain"), "type", "confidence")
     done = resolved.where("outcome <> 'refused'").groupBy("id", "added_by")
-    last = done.agg(F.max_by(value, F.struct("seq", "run")).alias("_new"))
+    last = done.agg(F.max_by(value, "run").alias("_new"))
     updates = last.where(F.col("id").isNotNull()).select("id", "_new")
     pick: Callable[[str], Column] = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c))
     known = sites.join(updates, "id", "left").select("id", *[pick(c).alias(c) for c in values])

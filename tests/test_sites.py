@@ -108,3 +108,14 @@ def test_odd_runs(spark):
     assert si.upsert_sites(sites, spark.createDataFrame([], RUNS)).collect() == sites.collect()
     empty = si.upsert_sites(sites.limit(0), spark.createDataFrame(rows[2:3], RUNS).withColumn("x", F.lit(1)))
     assert [r.domain for r in empty.collect()] == ["b"]
+
+
+def test_runs_are_numbered_in_order(spark):
+    """Rounds shuffle these numbers, not digests: they stay small and order the runs, equal seq by a fixed tie."""
+    rows = [("a", f"f{i % 50}", "T", 0.5, i // 3) for i in range(300)] + [("a", "b", "T", 0.1, None)]
+    runs = spark.createDataFrame(rows, RUNS)
+    sites = spark.createDataFrame([(1, "a", "X", 0.1)], SITES)
+    one, two = (sorted(si.resolve_runs(sites, r).collect(), key=lambda r: r.run) for r in (runs, runs.orderBy(F.rand(1)).repartition(7)))
+    assert all(isinstance(r.run, int) for r in one) and len({r.run for r in one}) == 301
+    assert [r.seq for r in one] == sorted(r.seq for r in one)
+    assert [(r.final_url, r.outcome, r.id) for r in one] == [(r.final_url, r.outcome, r.id) for r in two]
