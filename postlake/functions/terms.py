@@ -6,14 +6,25 @@ these columns can't stand inside a lambda; texts that lie in an array are passed
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from typing import Any
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that are Python objects at a time.
+PIECE = 128
+
+
+def in_pieces(column: pa.Array, work: Callable[[Any], Any], kind: pa.DataType) -> pa.Array:
+    """``work`` for each value. Only a piece of the batch and of its results is held as Python objects."""
+    spans = range(0, len(column), PIECE)
+    made = [pa.array([work(v) for v in column.slice(at, PIECE).to_pylist()], kind) for at in spans]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
 
 @lru_cache(maxsize=16)
 def _machine(terms: tuple[str, ...]) -> tuple[ahocorasick.Automaton, frozenset[int]]:
@@ -60,8 +71,8 @@ def terms_in(text: Column, terms: Sequence[str], labels: Sequence[str] | None =
     wanted, names = tuple(terms), tuple(labels or terms)
 
     def find(texts: pa.Array) -> pa.Array:
-        found = (sorted(names[i] for i in occurring(t or "", wanted, True)) for t in texts.to_pylist())
-        return pa.array(list(found), pa.list_(pa.string()))
+        each = lambda t: sorted(names[i] for i in occurring(t or "", wanted, True))
+        return in_pieces(texts, each, pa.list_(pa.string()))
 
     return F.arrow_udf(find, "array<string>")(text)
 
@@ -85,7 +96,7 @@ def counts_in(text: Column, groups: Sequence[Sequence[str]]) -> Column:
     (terms, group_of), n = _flat(groups), len(groups)
 
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array([_counts(t, terms, group_of, n) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return in_pieces(texts, lambda t: _counts(t, terms, group_of, n), pa.list_(pa.int32()))
 
     return F.arrow_udf(count, "array<int>")(text)
 
@@ -95,7 +106,7 @@ def counts_in_each(texts: Column, groups: Sequence[Sequence[str]]) -> Column:
     (terms, group_of), n = _flat(groups), len(groups)
 
     def count(lists: pa.Array) -> pa.Array:
-        found = [None if ts is None else [_counts(t, terms, group_of, n) for t in ts] for ts in lists.to_pylist()]
-        return pa.array(found, pa.list_(pa.list_(pa.int32())))
+        each = lambda ts: None if ts is None else [_counts(t, terms, group_of, n) for t in ts]
+        return in_pieces(lists, each, pa.list_(pa.list_(pa.int32())))
 
     return F.arrow_udf(count, "array<array<int>>")(texts)

@@ -23,7 +23,7 @@ from postlake.functions.text import (
     or_empty,
     strip,
 )
-from postlake.functions.terms import counts_in_each
+from postlake.functions.terms import counts_in_each, in_pieces
 
 BLANK_LINE = r"\n\s*\n"
 SENTENCE_END = r"(?<=[.!?])\s+"
@@ -79,7 +79,7 @@ def _each(values: Column, work: Callable[[Any, int], list[str]], size: int) -> C
     """``work`` for each value, in one Arrow pass; null stays null. Not for use inside a lambda."""
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else work(v, size) for v in column.to_pylist()], pa.list_(pa.string()))
+        return in_pieces(column, lambda v: None if v is None else work(v, size), pa.list_(pa.string()))
 
     return F.arrow_udf(run, "array<string>")(values)
 

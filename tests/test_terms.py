@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postlake.functions import terms as tm
@@ -46,3 +47,18 @@ def test_many_terms_cost_about_as_much_as_few():
 
     took(50)
     assert took(5000) < 2 * max(took(50) for _ in range(3)) + 0.15
+
+
+def test_a_batch_is_worked_in_pieces():
+    """Python objects exist for a piece of a batch at a time, whatever the batch holds."""
+    import tracemalloc
+
+    column = pa.array([[f"{i} {k} " + "x" * 500 for k in range(8)] for i in range(20 * tm.PIECE)])
+    tracemalloc.start()
+    got = tm.in_pieces(column, lambda v: [s.upper() for s in v], column.type)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [[s.upper() for s in v] for v in column.to_pylist()]
+    assert peak < column.nbytes / 3
+    assert tm.in_pieces(column.slice(0, 0), list, column.type).to_pylist() == []
+    assert tm.in_pieces(pa.array([None, ["a"]]), lambda v: v, pa.list_(pa.string())).to_pylist() == [None, ["a"]]
