@@ -14,12 +14,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from postlake.operators.dedupe import listing_key
 from postlake.sources.io import add_compacted, snapshot_columns, upsert_into_jobs
 
+#: Tasks that list the files of a batch. Spark's default is one a file up to 10,000, each with a result for the driver.
+LISTING_TASKS = 64
+#: Threads that move read files into the archive; Spark's default of one falls behind.
+ARCHIVE_THREADS = 16
+
+
+def _listing_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of the given one, but for how landed files are listed and archived.
+
+    Such files are small and read many a task, so their block locations, most of a listing, serve nothing.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    tasks, threads = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.streaming.fileSource.cleaner.numThreads"
+    own.conf.set(tasks, str(min(int(own.conf.get(tasks)), LISTING_TASKS)))
+    own.conf.set(threads, str(max(int(own.conf.get(threads, "1")), ARCHIVE_THREADS)))
+    own.conf.set("spark.sql.sources.ignoreDataLocality", "true")
+    return own
+
 
 def stream_pages(spark: SparkSession, root: str, max_files: int = 10_000, archive: str | None = None) -> DataFrame:
     """New page snapshots as a stream of `read_page_snapshots` rows, as `write_page_snapshots` lands them.
 
     With ``archive``, files move there once the batch after theirs is planned, and are not listed again.
+    The stream runs in a session of its own, whose listing jobs have ``LISTING_TASKS`` tasks at most.
     """
+    spark = _listing_session(spark)
     reader = (
         spark.readStream.format("text")
         .option("wholetext", True)

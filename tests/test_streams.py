@@ -157,3 +157,20 @@ def test_lifetimes_of_a_replayed_stream(spark, tmp_path):
 def test_lifetimes_of_no_rows(spark, tmp_path):
     given = spark.createDataFrame([], "site string, url string, first_seen timestamp, last_seen timestamp, is_active boolean")
     assert st.lifetimes(given).collect() == []
+
+
+def test_a_batch_is_listed_by_few_tasks(spark, tmp_path):
+    """A listing task per file would send the driver a result per file."""
+    io.write_page_snapshots(page_rows(spark, [f"J{i}" for i in range(150)]).repartition(4), str(tmp_path / "in"))
+    pages = st.stream_pages(spark, str(tmp_path / "in")).drop("html")
+    query = (
+        pages.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(str(query.runId))]
+    sizes = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if tracker.getStageInfo(s)]
+    assert sizes and max(sizes) <= st.LISTING_TASKS
+    assert spark.read.parquet(str(tmp_path / "out")).select("job_id").distinct().count() == 150
+    assert spark.conf.get("spark.sql.sources.ignoreDataLocality") == "false"  # the caller's session is as it was
